@@ -73,9 +73,14 @@ def is_nonexistent(c: Column | str, tz: str) -> Column:
 
 
 def is_ambiguous(c: Column | str, tz: str) -> Column:
-    """True for wall-clock times the autumn shift repeats: one hour later shows the same clock."""
+    """True for wall-clock times the autumn shift repeats: the shift later shows the same clock.
+
+    Clocks shift by an hour, in a few zones by half an hour.
+    """
     c = _col(c)
-    return _to_wall(_to_utc(c, tz) + F.expr("INTERVAL 1 HOUR"), tz) == c
+    utc = _to_utc(c, tz)
+    hour, half = F.expr("INTERVAL 1 HOUR"), F.expr("INTERVAL 30 MINUTE")
+    return (_to_wall(utc + hour, tz) == c) | (_to_wall(utc + half, tz) == c)
 
 
 def dst_edges(tz: str, lo: str, hi: str) -> list[tuple[str, datetime, datetime]]:

@@ -58,40 +58,63 @@ def error_by(scored: DataFrame, col: str, labels: list[str] | dict[int, str] | N
     return out
 
 
+def ranked(value: str) -> Column:
+    """A score to rank by. The last digits of a mean depend on the order of the sum, so scores
+    that agree to nine digits count as equal and ties are settled by name, on every run alike."""
+    return F.round(value, 9)
+
+
 def mark_extremes(df: DataFrame, value: str) -> DataFrame:
     """Flags on the rows that hold the largest and the smallest value."""
-    edge = df.agg(F.max(value).alias("hi"), F.min(value).alias("lo"))
-    return df.withColumn("is_max", F.col(value) == edge.select("hi").scalar()).withColumn(
-        "is_min", F.col(value) == edge.select("lo").scalar()
+    edge = df.agg(F.max(ranked(value)).alias("hi"), F.min(ranked(value)).alias("lo"))
+    row = edge.select(F.struct("hi", "lo")).scalar()
+    return (
+        df.withColumn("_edge", row)
+        .withColumn("is_max", ranked(value) == F.col("_edge.hi"))
+        .withColumn("is_min", ranked(value) == F.col("_edge.lo"))
+        .drop("_edge")
     )
 
 
 def entity_error(scored: DataFrame, min_support: int = 100) -> DataFrame:
     """Per entity: place, RMSE, mean demand and hours; entities with few hours left out.
 
-    Attributes are taken from the entity's first hour that has them.
+    An entity has one place as a rule, so rows are summed per entity and place, a hash aggregate;
+    should an entity have several, the place of its earliest rows stands.
     """
-
-    def first(c: str) -> Column:
-        return F.min_by(c, F.when(F.col(c).isNotNull(), F.col("datetime")))
-
+    place = ["station_name", "start_lat", "start_lng"]
+    miss = residual(Y, P)
+    parts = scored.groupBy("station_id", *place).agg(
+        F.min("datetime").alias("since"),
+        F.sum(miss * miss).alias("sse"),
+        F.sum("departures").alias("total"),
+        F.count("departures").alias("n"),
+    )
+    first = F.min(F.struct("since", *place))
     return (
-        scored.groupBy("station_id")
+        parts.groupBy("station_id")
         .agg(
-            first("station_name").alias("station_name"),
-            first("start_lat").alias("lat"),
-            first("start_lng").alias("lng"),
-            rmse(Y, P).alias("rmse"),
-            F.avg("departures").alias("mean_demand"),
-            F.count("departures").alias("n_hours"),
+            first.alias("first"),
+            F.sqrt(F.sum("sse") / F.sum("n")).alias("rmse"),
+            (F.sum("total") / F.sum("n")).alias("mean_demand"),
+            F.sum("n").alias("n_hours"),
         )
         .where(F.col("n_hours") >= min_support)
+        .select(
+            "station_id",
+            "first.station_name",
+            F.col("first.start_lat").alias("lat"),
+            F.col("first.start_lng").alias("lng"),
+            "rmse",
+            "mean_demand",
+            "n_hours",
+        )
     )
 
 
 def top_entities(table: DataFrame, k: int = 10, worst: bool = True) -> DataFrame:
     """The k entities with the largest (or smallest) RMSE; ties in id order."""
-    order = F.desc("rmse") if worst else F.asc("rmse")
+    order = ranked("rmse").desc() if worst else ranked("rmse").asc()
     return (
         table.orderBy(order, "station_id")
         .limit(k)
@@ -138,8 +161,8 @@ def geo_error(table: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFr
 def entity_summary(table: DataFrame) -> DataFrame:
     """Distribution of the entities' RMSE, with the names at both ends; ties in id order."""
     q = _quantile_row(table, {"median": 0.5, "p90": 0.9}).select(F.struct("median", "p90"))
-    worst = F.min(F.struct((-F.col("rmse")).alias("r"), "station_id", "station_name"))
-    best = F.min(F.struct("rmse", "station_id", "station_name"))
+    worst = F.min(F.struct((-ranked("rmse")).alias("r"), "station_id", "station_name"))
+    best = F.min(F.struct(ranked("rmse").alias("r"), "station_id", "station_name"))
     return (
         table.agg(
             F.count("*").alias("n_entities"),
@@ -188,7 +211,7 @@ def focus_entity(scored: DataFrame, min_support: int = 600) -> DataFrame:
         scored.groupBy("station_id", "station_name")
         .agg(F.avg("departures").alias("mean_demand"), F.count("departures").alias("n"))
         .where(F.col("n") >= min_support)
-        .orderBy(F.desc("mean_demand"), "station_id")
+        .orderBy(ranked("mean_demand").desc(), "station_id")
         .limit(1)
     )
 

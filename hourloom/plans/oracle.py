@@ -144,7 +144,7 @@ COMMON = {
     "focus": """
         SELECT station_id, station_name, avg(departures) AS mean_demand, count(*) AS n
         FROM test GROUP BY 1, 2 HAVING count(*) >= 90
-        ORDER BY mean_demand DESC, station_id LIMIT 1""",
+        ORDER BY round(mean_demand, 9) DESC, station_id LIMIT 1""",
     "focus_rows": """
         SELECT station_id, station_name, datetime, departures, pred
         FROM test WHERE station_id IN (SELECT station_id FROM focus)""",
@@ -267,7 +267,7 @@ def _error_by(col: str, label: str | None) -> str:
     named = f", {label} AS label" if label else ""
     return f"""
         SELECT CAST("{col}" AS BIGINT) AS "{col}", {r('rmse')}, n,
-               rmse = max(rmse) OVER () AS is_max, rmse = min(rmse) OVER () AS is_min{named}
+               round(rmse, 9) = max(round(rmse, 9)) OVER () AS is_max, round(rmse, 9) = min(round(rmse, 9)) OVER () AS is_min{named}
         FROM (SELECT "{col}", sqrt(avg((pred - departures) ** 2)) AS rmse, count(*) AS n
               FROM held_out GROUP BY 1)"""
 
@@ -597,7 +597,7 @@ ORACLES: dict[str, str] = {
         f"{name}_entities": sql(
             f"""SELECT station_id, station_name, {r('lat')}, {r('lng')}, {r('rmse')}, {r('mean_demand')},
                        n_hours, substr(station_name, 1, 30) AS short_name
-                FROM (SELECT * FROM entities ORDER BY rmse {order}, station_id LIMIT 10)"""
+                FROM (SELECT * FROM entities ORDER BY round(rmse, 9) {order}, station_id LIMIT 10)"""
         )
         for name, order in {"worst": "DESC", "best": "ASC"}.items()
     },
@@ -619,9 +619,9 @@ ORACLES: dict[str, str] = {
     ),
     "entity_summary": sql(
         f"""SELECT count(*) AS n_entities, {r('avg(rmse)', 'mean_rmse')}, {r('max(rmse)', 'max_rmse')},
-                   (SELECT station_name FROM entities ORDER BY rmse DESC, station_id LIMIT 1) AS max_name,
+                   (SELECT station_name FROM entities ORDER BY round(rmse, 9) DESC, station_id LIMIT 1) AS max_name,
                    {r('min(rmse)', 'min_rmse')},
-                   (SELECT station_name FROM entities ORDER BY rmse, station_id LIMIT 1) AS min_name,
+                   (SELECT station_name FROM entities ORDER BY round(rmse, 9), station_id LIMIT 1) AS min_name,
                    {r('quantile_cont(rmse, 0.5)', 'median_rmse')}, {r('quantile_cont(rmse, 0.9)', 'p90_rmse')}
             FROM entities"""
     ),

@@ -6,7 +6,7 @@ from collections import defaultdict
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,15 +124,22 @@ def skipped_files(spark: SparkSession, pattern: str, wanted: list[str]) -> DataF
 
 
 def bad_rows(spark: SparkSession, pattern: str, wanted: list[str]) -> DataFrame:
-    """Rows per file whose number of fields does not fit the file's header."""
+    """Per file: rows, rows whose number of fields does not fit the header, rows without a value
+    in one of the wanted columns."""
     groups, _ = group_by_header(spark, glob(spark, pattern), wanted)
+    gap = reduce(Column.__or__, [F.col(c).isNull() for c in wanted])
     parts = []
     for header, files in sorted(groups.items()):
         text = T.StructType([T.StructField(c, T.StringType()) for c in (*header, "_corrupt_record")])
-        raw = spark.read.schema(text).option("header", True).csv(files)
+        # Whole lines must be parsed to see their length, hence no pruning of columns.
+        raw = (
+            spark.read.schema(text).option("header", True).option("columnPruning", False).csv(files)
+        )
         parts.append(
-            raw.select("*", F.col("_metadata.file_name").alias("file"))
-            .groupBy("file")
-            .agg(F.count_if(F.col("_corrupt_record").isNotNull()).alias("n_bad"), F.count("*").alias("n_rows"))
+            raw.groupBy(F.col("_metadata.file_name").alias("file")).agg(
+                F.count("*").alias("n_rows"),
+                F.count_if(F.col("_corrupt_record").isNotNull()).alias("n_bad"),
+                F.count_if(gap).alias("n_incomplete"),
+            )
         )
     return reduce(DataFrame.unionByName, parts)
