@@ -29,33 +29,33 @@ def parse_wall(c: Column | str) -> Column:
     return _col(c).try_cast(NTZ)
 
 
-def floor_day(c: Column | str) -> Column:
-    return F.to_date(_col(c)).cast(NTZ)
+def floor_day(c: str) -> Column:
+    return F.expr(f"CAST(to_date({c}) AS timestamp_ntz)")
 
 
-def floor_hour(c: Column | str) -> Column:
-    return floor_day(c) + F.make_dt_interval(hours=F.hour(_col(c)))
+def floor_hour(c: str) -> Column:
+    return F.expr(f"CAST(to_date({c}) AS timestamp_ntz) + make_dt_interval(0, hour({c}))")
 
 
-def floor_to(c: Column | str, grain: str) -> Column:
+def floor_to(c: str, grain: str) -> Column:
     return {"hour": floor_hour, "day": floor_day}[grain](c)
 
 
-def hour_of_day(c: Column | str) -> Column:
-    return F.hour(_col(c)).cast("byte")
+def hour_of_day(c: str) -> Column:
+    return F.expr(f"CAST(hour({c}) AS tinyint)")
 
 
-def day_of_week(c: Column | str) -> Column:
+def day_of_week(c: str) -> Column:
     """0 = Monday."""
-    return F.weekday(_col(c)).cast("byte")
+    return F.expr(f"CAST(weekday({c}) AS tinyint)")
 
 
-def month(c: Column | str) -> Column:
-    return F.month(_col(c)).cast("byte")
+def month(c: str) -> Column:
+    return F.expr(f"CAST(month({c}) AS tinyint)")
 
 
-def is_weekend(c: Column | str) -> Column:
-    return (F.weekday(_col(c)) >= 5).cast("byte")
+def is_weekend(c: str) -> Column:
+    return F.expr(f"CAST(weekday({c}) >= 5 AS tinyint)")
 
 
 def _to_utc(c: Column, tz: str) -> Column:
@@ -129,20 +129,16 @@ def instant_to_wall(c: Column | str, tz: str) -> Column:
     return _to_wall(wall("1970-01-01") + F.make_dt_interval(secs=seconds), tz)
 
 
-def block_of(c: Column | str, days: int) -> Column:
+def block_of(c: str, days: int) -> Column:
     """Number of the fixed-length block of days the time falls in, counted from 1970-01-01."""
-    return F.floor(F.unix_date(F.to_date(_col(c))) / days).cast("int")
+    return F.expr(f"CAST(floor(unix_date(to_date({c})) / {days}) AS int)")
 
 
-def block_start(block: Column | str, days: int) -> Column:
-    return F.date_from_unix_date(_col(block) * days).cast(NTZ)
-
-
-def split_of(c: Column | str, train_end: str, val_end: str) -> Column:
+def split_of(c: str, train_end: str, val_end: str) -> Column:
     """Time split: left-inclusive, right-exclusive bounds."""
-    c = _col(c)
-    return (
-        F.when(c < wall(train_end), "train").when(c < wall(val_end), "val").otherwise("test")
+    return F.expr(
+        f"CASE WHEN {c} < timestamp_ntz'{train_end}' THEN 'train' "
+        f"WHEN {c} < timestamp_ntz'{val_end}' THEN 'val' ELSE 'test' END"
     )
 
 

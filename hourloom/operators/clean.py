@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hourloom.functions import clock
 
 
 def valid_trips(df: DataFrame, ts: str = "started_at", key: str = "start_station_id") -> DataFrame:
     """Read the time column as wall clock and drop rows without a time or a key."""
-    return df.withColumn(ts, clock.parse_wall(ts)).dropna(subset=[ts, key])
+    if df.schema[ts].dataType != T.TimestampNTZType():
+        df = df.withColumn(ts, clock.parse_wall(ts))
+    return df.dropna(subset=[ts, key])
 
 
 def in_span(ts: str, lo: str, hi: str) -> Column:
-    return F.col(ts).between(clock.wall(lo), clock.wall(hi))
+    return F.expr(f"{ts} BETWEEN timestamp_ntz'{lo}' AND timestamp_ntz'{hi}'")
 
 
 def between_times(df: DataFrame, lo: str, hi: str, ts: str = "started_at") -> DataFrame:

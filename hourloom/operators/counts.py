@@ -23,8 +23,8 @@ def hourly_counts(
     follow, gives every consumer of the counts the same plan, so that one exchange serves them all.
     """
     steps = trips.select(F.col(key).alias(out_key), clock.floor_to(ts, grain).alias(out_ts))
-    known = steps.where(F.col(out_key).isNotNull() & F.col(out_ts).isNotNull())
-    return known.groupBy(out_key, out_ts).agg(F.count("*").alias(out))
+    known = steps.where(f"{out_key} IS NOT NULL AND {out_ts} IS NOT NULL")
+    return known.groupBy(out_key, out_ts).agg(F.expr(f"count(*) AS {out}"))
 
 
 def modal_dim(
@@ -38,19 +38,15 @@ def modal_dim(
     in any of the columns. Values are counted before they meet in their group, so a hot group costs
     one row per distinct value and map task.
     """
-    axes = F.array(
-        *[F.struct(F.lit(c).alias("axis"), F.col(c).cast("double").alias("value")) for c in cols]
-    )
+    axes = ", ".join(f"struct('{c}' AS axis, CAST({c} AS double) AS value)" for c in cols)
     counted = (
         trips.dropna(subset=[*keys, *cols])
-        .select(*keys, F.inline(axes))
+        .selectExpr(*keys, f"inline(array({axes}))")
         .groupBy(*keys, "axis", "value")
-        .agg(F.count("*").alias("n"))
-    )
-    best = F.struct((-F.col("n")).alias("rank"), F.col("value").alias("value"))
-    return counted.groupBy(*keys).agg(
-        *[F.min(F.when(F.col("axis") == c, best)).getField("value").alias(c) for c in cols]
+        .agg(F.expr("count(*) AS n"))
     )
+    best = "min(CASE WHEN axis = '{0}' THEN struct(-n AS rank, value) END).value AS {0}"
+    return counted.groupBy(*keys).agg(*[F.expr(best.format(c)) for c in cols])
 
 
 def station_dim(

@@ -6,7 +6,7 @@ split, departures and the clipped prediction ``pred``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourloom.functions.errors import mae, residual, rmse
@@ -47,7 +47,7 @@ def scatter_sample(
 
 
 def error_by(scored: DataFrame, col: str, labels: list[str] | dict[int, str] | None = None) -> DataFrame:
-    """RMSE and rows per value of a column, the extremes marked."""
+    """RMSE and rows per value of a calendar column (at most a few dozen), the extremes marked."""
     grouped = scored.groupBy(col).agg(rmse(Y, P).alias("rmse"), F.count("*").alias("n"))
     out = mark_extremes(grouped, "rmse")
     if isinstance(labels, dict):
@@ -65,14 +65,13 @@ def ranked(value: str) -> Column:
 
 
 def mark_extremes(df: DataFrame, value: str) -> DataFrame:
-    """Flags on the rows that hold the largest and the smallest value."""
-    edge = df.agg(F.max(ranked(value)).alias("hi"), F.min(ranked(value)).alias("lo"))
-    row = edge.select(F.struct("hi", "lo")).scalar()
-    return (
-        df.withColumn("_edge", row)
-        .withColumn("is_max", ranked(value) == F.col("_edge.hi"))
-        .withColumn("is_min", ranked(value) == F.col("_edge.lo"))
-        .drop("_edge")
+    """Flags on the rows of a short report that hold the largest and the smallest value."""
+    everything = Window.partitionBy()
+    return df.withColumns(
+        {
+            "is_max": ranked(value) == F.max(ranked(value)).over(everything),
+            "is_min": ranked(value) == F.min(ranked(value)).over(everything),
+        }
     )
 
 

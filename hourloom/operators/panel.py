@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourloom.functions import clock
@@ -47,30 +47,52 @@ class Span:
         )
         return first, last
 
-    def steps(self, n: int) -> Column:
-        return F.lit(n * self.step)
+    # SQL text of the bounds, for use inside expressions.
 
-    def start_of(self, block: Column | str) -> Column:
-        return clock.block_start(block, self.block_days)
+    def steps(self, n: int) -> str:
+        return f"INTERVAL '{n}' {self.grain.upper()}"
 
-    def end_of(self, block: Column | str) -> Column:
+    @property
+    def first(self) -> str:
+        return f"timestamp_ntz'{self.lo}'"
+
+    @property
+    def last(self) -> str:
+        return f"timestamp_ntz'{self.hi}'"
+
+    @property
+    def block_start(self) -> str:
+        return f"CAST(date_from_unix_date({BLOCK} * {self.block_days}) AS timestamp_ntz)"
+
+    @property
+    def block_end(self) -> str:
         """First step after the block."""
-        return clock.block_start(F.col(block) + 1 if isinstance(block, str) else block + 1,
-                                 self.block_days)
+        return f"CAST(date_from_unix_date(({BLOCK} + 1) * {self.block_days}) AS timestamp_ntz)"
 
     def hours(self, like: DataFrame, ts: str = "datetime") -> DataFrame:
         """The time steps as a table of one column."""
-        one = like.sparkSession.range(1)
-        return one.select(F.explode(self.sequence(clock.wall(self.lo), clock.wall(self.hi))).alias(ts))
+        steps = f"explode(sequence({self.first}, {self.last}, {self.steps(1)})) AS {ts}"
+        return like.sparkSession.range(1).selectExpr(steps)
 
-    def sequence(self, lo: Column, hi: Column) -> Column:
-        return F.sequence(lo, hi, F.lit(self.step))
+
+def _spread(keys: DataFrame, *cols: str) -> DataFrame:
+    """Key rows over all shuffle partitions.
+
+    The number is given, not left to the planner: it would see a few small key rows and merge
+    their partitions, though thousands of dense rows are about to grow from each.
+    """
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keys.repartition(n, *cols)
 
 
 def build_grid(keys: DataFrame, span: Span, ts: str = "datetime") -> DataFrame:
     """Every key row at every time step, generated row by row where the key lies."""
-    steps = span.sequence(clock.wall(span.lo), clock.wall(span.hi))
-    return keys.repartition(*keys.columns).withColumn(ts, F.explode(steps))
+    steps = f"explode(sequence({span.first}, {span.last}, {span.steps(1)})) AS {ts}"
+    return _spread(keys, *keys.columns).selectExpr("*", steps)
+
+
+def _zero_filled(df: DataFrame, value: str) -> DataFrame:
+    return df.withColumn(value, F.expr(f"CAST(coalesce({value}, 0) AS int)"))
 
 
 def fill_grid(
@@ -81,28 +103,37 @@ def fill_grid(
     value: str = "departures",
 ) -> DataFrame:
     """Counts on the grid, 0 where there was no event."""
-    return grid.join(counts.select(key, ts, value), [key, ts], "left").withColumn(
-        value, F.coalesce(F.col(value), F.lit(0)).cast("int")
-    )
+    return _zero_filled(grid.join(counts.select(key, ts, value), [key, ts], "left"), value)
 
 
-def _lag_columns(window, value: str, lags: list[int], unit: str) -> dict[str, Column]:
-    return {f"lag_{n}{unit}": F.lag(value, n).over(window).cast("float") for n in lags}
-
-
-def _lead_in(block: str, ts: str, span: Span, max_lag: int) -> Column:
-    """The blocks a row takes part in: its own, and the next one when it lies in its lead-in.
+def _lead_in(df: DataFrame, ts: str, span: Span, longest: int) -> DataFrame:
+    """Rows in every block they take part in: their own, and the next one's lead-in.
 
     The array is never empty; ``explode_outer`` keeps the planner from adding a filter on it below
     the counts, which would make their exchange differ from the one the grid uses.
     """
-    late = F.col(ts) >= span.end_of(block) - span.steps(max_lag)
-    return F.explode_outer(
-        F.when(late, F.array(F.col(block), F.col(block) + 1)).otherwise(F.array(F.col(block)))
+    late = f"{ts} >= {span.block_end} - {span.steps(longest)}"
+    blocks = f"CASE WHEN {late} THEN array({BLOCK}, {BLOCK} + 1) ELSE array({BLOCK}) END"
+    return df.withColumn(BLOCK, clock.block_of(ts, span.block_days)).withColumn(
+        BLOCK, F.expr(f"explode_outer({blocks})")
+    )
+
+
+def _lagged(
+    df: DataFrame, span: Span, key: str, ts: str, value: str, lags: tuple[int, ...]
+) -> DataFrame:
+    """Lags inside (entity, block); lead-in rows and rows without all lags go."""
+    window = f"OVER (PARTITION BY {key}, {BLOCK} ORDER BY {ts})"
+    made = {f"lag_{n}{span.grain[0]}": f"CAST(lag({value}, {n}) {window} AS float)" for n in lags}
+    kept = [c for c in df.columns if c != BLOCK]
+    return (
+        df.selectExpr(*df.columns, *[f"{sql} AS {name}" for name, sql in made.items()])
+        .where(f"{ts} >= {span.block_start} AND " + " AND ".join(f"{c} IS NOT NULL" for c in made))
+        .select(*kept, *made)
     )
 
 
-def _check_lags(lags: list[int], span: Span) -> int:
+def _longest(lags: tuple[int, ...], span: Span) -> int:
     longest = max(lags)
     if longest * span.step > timedelta(days=span.block_days):
         raise ValueError(f"lag {longest} is longer than a block of {span.block_days} days")
@@ -118,18 +149,7 @@ def add_lags(
     lags: tuple[int, ...] = (1, 2, 24),
 ) -> DataFrame:
     """Lags of a dense panel in time order; rows without all of them are dropped."""
-    lags = list(lags)
-    longest = _check_lags(lags, span)
-    window = Window.partitionBy(key, BLOCK).orderBy(ts)
-    made = _lag_columns(window, value, lags, span.grain[0])
-    return (
-        panel.withColumn(BLOCK, clock.block_of(ts, span.block_days))
-        .withColumn(BLOCK, _lead_in(BLOCK, ts, span, longest))
-        .withColumns(made)
-        .where(F.col(ts) >= span.start_of(BLOCK))
-        .dropna(subset=list(made))
-        .drop(BLOCK)
-    )
+    return _lagged(_lead_in(panel, ts, span, _longest(lags, span)), span, key, ts, value, lags)
 
 
 def dense_panel(
@@ -147,29 +167,16 @@ def dense_panel(
     exchanged, by (entity, block). The dense rows are generated behind that exchange, and the grid
     join and the lag window both use its partitioning and sort order.
     """
-    lags = list(lags)
-    longest = _check_lags(lags, span)
+    longest = _longest(lags, span)
     first, last = span.blocks
-    start = F.greatest(span.start_of(BLOCK) - span.steps(longest), clock.wall(span.lo))
-    stop = F.least(span.end_of(BLOCK) - span.steps(1), clock.wall(span.hi))
-    grid = (
-        keys.withColumn(BLOCK, F.explode(F.sequence(F.lit(first), F.lit(last))))
-        .repartition(key, BLOCK)
-        .withColumn(ts, F.explode(span.sequence(start, stop)))
-    )
-    facts = counts.select(
-        key, ts, value, clock.block_of(ts, span.block_days).alias(BLOCK)
-    ).withColumn(BLOCK, _lead_in(BLOCK, ts, span, longest))
-    window = Window.partitionBy(key, BLOCK).orderBy(ts)
-    made = _lag_columns(window, value, lags, span.grain[0])
-    return (
-        grid.join(facts, [key, BLOCK, ts], "left")
-        .withColumn(value, F.coalesce(F.col(value), F.lit(0)).cast("int"))
-        .withColumns(made)
-        .where(F.col(ts) >= span.start_of(BLOCK))
-        .dropna(subset=list(made))
-        .drop(BLOCK)
-    )
+    start = f"greatest({span.block_start} - {span.steps(longest)}, {span.first})"
+    stop = f"least({span.block_end} - {span.steps(1)}, {span.last})"
+    blocks = keys.selectExpr("*", f"explode(sequence({first}, {last})) AS {BLOCK}")
+    steps = f"explode(sequence({start}, {stop}, {span.steps(1)})) AS {ts}"
+    grid = _spread(blocks, key, BLOCK).selectExpr("*", steps)
+    facts = _lead_in(counts.select(key, ts, value), ts, span, longest)
+    filled = _zero_filled(grid.join(facts, [key, BLOCK, ts], "left"), value)
+    return _lagged(filled, span, key, ts, value, lags)
 
 
 def density_report(

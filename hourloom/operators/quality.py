@@ -22,7 +22,7 @@ def quality_report(
     raw = trips.select(clock.parse_wall(ts).alias("t"), F.col(key).alias("k"))
     valid = F.col("t").isNotNull() & F.col("k").isNotNull()
     ranged = valid & in_span("t", lo, hi)
-    edge = clock.is_nonexistent("t", tz) | clock.is_ambiguous("t", tz)
+    edge = clock.within_edges("t", clock.dst_edges(tz, lo, hi))
     return raw.agg(
         F.count("*").alias("n_loaded"),
         F.count_if(F.col("t").isNull()).alias("n_bad_time"),

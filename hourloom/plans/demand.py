@@ -24,12 +24,12 @@ def clean(trips: DataFrame, lo: str, hi: str, tz: str | None) -> DataFrame:
 
 def keys_of(counts: DataFrame, key: str = "station_id", value: str = "departures") -> DataFrame:
     """Entities with at least one event. Reads the counts as they are, so their exchange is shared."""
-    return counts.groupBy(key).agg(F.sum(value).alias("_n")).where("_n > 0").select(key)
+    return counts.groupBy(key).agg(F.expr(f"sum({value}) AS _n")).where("_n > 0").select(key)
 
 
 def hours_of(counts: DataFrame, ts: str = "datetime", value: str = "departures") -> DataFrame:
     """Time steps with at least one event anywhere."""
-    return counts.groupBy(ts).agg(F.sum(value).alias("_n")).where("_n > 0").select(ts)
+    return counts.groupBy(ts).agg(F.expr(f"sum({value}) AS _n")).where("_n > 0").select(ts)
 
 
 def hour_dim(
@@ -138,9 +138,7 @@ def features_from_hourly(hourly: DataFrame, span: Span, train_end: str, val_end:
 
 def filled_hours(hours: DataFrame, span: Span, lags: tuple[int, ...] = LAGS) -> DataFrame:
     """Hour attributes for every step that has lags: last known value, 0 before the first one."""
-    all_steps = span.hours(hours).where(
-        F.col("datetime") >= clock.wall(span.lo) + span.steps(max(lags))
-    )
+    all_steps = span.hours(hours).where(f"datetime >= {span.first} + {span.steps(max(lags))}")
     return forward_fill(
         join_hourly(all_steps, hours), "datetime", S.HOUR_COLS, default=0, max_rows=span.n_steps
     )

@@ -42,22 +42,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def rides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as trips, without station names. Every 50th user is renamed late in the range."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    return table(spark, sf_dir, "events").select(
-        F.col("event_id").cast("string").alias("ride_id"),
-        F.col("ts").alias("started_at"),
-        F.col("user_id").cast("string").alias("start_station_id"),
-        (k % 7).cast("double").alias("start_lat"),
-        (k % 5).cast("double").alias("start_lng"),
+    k = "CAST(get_json_object(props, '$.k') AS int)"
+    return table(spark, sf_dir, "events").selectExpr(
+        "CAST(event_id AS string) AS ride_id",
+        "ts AS started_at",
+        "CAST(user_id AS string) AS start_station_id",
+        f"CAST({k} % 7 AS double) AS start_lat",
+        f"CAST({k} % 5 AS double) AS start_lng",
         "user_id",
-        ((F.col("user_id") % 50 == 0) & (F.col("ts") >= clock.wall("2024-01-20"))).alias("moved"),
+        "user_id % 50 = 0 AND ts >= timestamp_ntz'2024-01-20 00:00:00' AS moved",
     )
 
 
 def with_names(spark: SparkSession, sf_dir: str, df: DataFrame, out: str) -> DataFrame:
     """Names from the customer table; a renamed user carries a suffix."""
-    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_name")
-    name = F.when(F.col("moved"), F.concat("c_name", F.lit(" (moved)"))).otherwise(F.col("c_name"))
+    names = table(spark, sf_dir, "customer").selectExpr("c_custkey AS user_id", "c_name")
+    name = F.expr("CASE WHEN moved THEN concat(c_name, ' (moved)') ELSE c_name END")
     return df.join(names, "user_id", "left").withColumn(out, name)
 
 
@@ -93,22 +93,22 @@ def shifted_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly readings from the error events; hours without one are missing."""
     errors = table(spark, sf_dir, "events").where("event_type = 'error'")
+    readings = {
+        "temperature": "max(value)",
+        "precipitation": "min(value)",
+        "snowfall": "CAST(0 AS double)",
+        "snow_depth": "CAST(count(*) AS double)",
+    }
     return errors.groupBy(clock.floor_hour("ts").alias("datetime")).agg(
-        F.max("value").alias("temperature"),
-        F.min("value").alias("precipitation"),
-        F.lit(0.0).alias("snowfall"),
-        F.count("*").cast("double").alias("snow_depth"),
+        *[F.expr(f"{sql} AS {name}") for name, sql in readings.items()]
     )
 
 
 def holidays(spark: SparkSession) -> DataFrame:
-    rows = F.array(
-        *[
-            F.struct(F.lit(d).cast("date").alias("date"), F.lit(n).alias("holiday_name"))
-            for d, n in HOLIDAY_DATES.items()
-        ]
+    rows = ", ".join(
+        f'struct(date\'{d}\' AS date, "{name}" AS holiday_name)' for d, name in HOLIDAY_DATES.items()
     )
-    return spark.range(1).select(F.inline(rows))
+    return spark.range(1).selectExpr(f"inline(array({rows}))")
 
 
 def clean_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,9 +140,9 @@ def model_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features with a stated forecast, so that every report can be checked value by value."""
-    lag = {n: F.col(f"lag_{n}h").cast("double") for n in demand.LAGS}
-    pred = F.greatest(F.lit(0.0), 0.5 * lag[1] + 0.2 * lag[2] + 0.3 * lag[24])
-    return features(spark, sf_dir).withColumn("pred", pred)
+    weights = {"lag_1h": 0.5, "lag_2h": 0.2, "lag_24h": 0.3}
+    blend = " + ".join(f"{w}D * CAST({lag} AS double)" for lag, w in weights.items())
+    return features(spark, sf_dir).withColumn("pred", F.expr(f"greatest(0D, {blend})"))
 
 
 def lag_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import zipfile
 from collections.abc import Callable
 from contextlib import ExitStack
+from datetime import datetime
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,8 @@ from hourloom.session import shared_dir, tune
 from hourloom.sources import archives, files, sinks, tables
 from hourloom.streaming import ingest
 
+# Results as the engine gives them, and the same in plain types.
+RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 DIGITS = 6
 ROW = ["station_id", "datetime"]
@@ -36,6 +39,7 @@ def query(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return tidy(fn(tune(spark), sf_dir))
 
+    RAW[fn.__name__] = fn
     QUERIES[fn.__name__] = run
     return fn
 
@@ -225,7 +229,7 @@ def pending_archives(spark, sf):
 def appended_results(spark, sf):
     """Two batches of scores appended to one table."""
     path = shared_dir(spark, "append")
-    metrics = driver.lag_metrics(spark, sf)
+    metrics = sinks.materialize(driver.lag_metrics(spark, sf), "scores")
     sinks.append_result(metrics.where("split = 'val'"), path)
     sinks.append_result(metrics.where("split = 'test'"), path)
     return spark.read.schema(S.METRICS).parquet(path)
@@ -304,9 +308,9 @@ def dst_edges_converted(spark, sf):
 def utc_to_wall_clock(spark, sf):
     """Event times read as UTC text, shown on the local clock, per hour."""
     stamp = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("+00:00"))
-    local = clock.instant_to_wall(stamp, driver.TZ)
-    events = driver.table(spark, sf, "events")
-    return events.groupBy(clock.floor_hour(local).alias("datetime")).agg(F.count("*").alias("n"))
+    local = clock.instant_to_wall(stamp, driver.TZ).alias("t")
+    events = driver.table(spark, sf, "events").select(local)
+    return events.groupBy(clock.floor_hour("t").alias("datetime")).agg(F.count("*").alias("n"))
 
 
 # Counts and dimension
@@ -357,7 +361,7 @@ def hourly_demand_fan_out(spark, sf):
 @query
 def describe_hourly(spark, sf):
     cols = ["departures", "temperature", "precipitation", "snow_depth", "start_lat", "is_holiday"]
-    return quality.describe_numeric(driver.hourly(spark, sf), cols)
+    return quality.describe_numeric(sinks.materialize(driver.hourly(spark, sf), "hourly"), cols)
 
 
 @query
@@ -534,14 +538,14 @@ def leaderboard(spark, sf):
 
 @query
 def improvement_over_naive(spark, sf):
-    return results.improvement(driver.lag_metrics(spark, sf), "lag_1h")
+    return results.improvement(sinks.materialize(driver.lag_metrics(spark, sf), "scores"), "lag_1h")
 
 
 @query
 def metrics_upsert(spark, sf):
     """A model's scores replaced and a new model added, twice over, in a versioned table."""
     path = shared_dir(spark, "metrics")
-    all_ = driver.lag_metrics(spark, sf)
+    all_ = sinks.materialize(driver.lag_metrics(spark, sf), "scores")
     rerun = all_.where("model = 'blend'").withColumn("model", F.lit("lag_24h"))
     new = rerun.unionByName(all_.where("model = 'blend'"))
     sinks.upsert_versioned(all_.where("model <> 'blend'"), path, ["model"])
@@ -552,7 +556,9 @@ def metrics_upsert(spark, sf):
 def _runs(spark, sf):
     """Learning-curve rows derived from the scores: error shrinks with the fraction."""
     wide = results.leaderboard(driver.lag_metrics(spark, sf), digits=6)
-    n_train = driver.features(spark, sf).where("split = 'train'").agg(F.count("*")).scalar()
+    # Rows of the training panel: stations times the hours between warm-up and validation.
+    hours = (datetime.fromisoformat(driver.TRAIN_END) - datetime.fromisoformat(driver.SPAN.lo)).days * 24
+    n_train = demand.keys_of(driver.counts(spark, sf)).agg(F.count("*") * (hours - max(demand.LAGS))).scalar()
     fraction = F.explode(F.array(*[F.lit(f) for f in S.FRACTIONS])).alias("fraction")
     return wide.select("model", "rmse_val", "rmse_test", fraction).select(
         "model",
@@ -635,9 +641,8 @@ def report_labels(spark, sf):
 # Reports
 
 
-@query
-def residual_summary(spark, sf):
-    return diagnostics.residual_summary(_test(spark, sf))
+# A report that reads its input once takes it straight from the log; one that reads it several times
+# takes it from a written table, as a job would that has several reports to make.
 
 
 def _test(spark, sf):
@@ -648,14 +653,26 @@ def _held_out(spark, sf):
     return clean.for_split(driver.scored(spark, sf), "val", "test")
 
 
+PAIR = ["departures", "pred"]
+
+
+def _stored_test(spark, sf, *cols):
+    return sinks.materialize(_test(spark, sf).select(*cols), "scored")
+
+
+@query
+def residual_summary(spark, sf):
+    return diagnostics.residual_summary(_test(spark, sf))
+
+
 @query
 def residual_histogram(spark, sf):
-    return diagnostics.residual_histogram(_test(spark, sf))
+    return diagnostics.residual_histogram(_stored_test(spark, sf, *PAIR))
 
 
 @query
 def scatter_sample(spark, sf):
-    return diagnostics.scatter_sample(_test(spark, sf), 3_000, S.SEED)
+    return diagnostics.scatter_sample(_stored_test(spark, sf, *ROW, *PAIR), 3_000, S.SEED)
 
 
 @query
@@ -692,6 +709,10 @@ def _entities(spark, sf):
     return diagnostics.entity_error(_test(spark, sf), min_support=90)
 
 
+def _stored_entities(spark, sf):
+    return sinks.materialize(_entities(spark, sf), "entities")
+
+
 @query
 def entity_error(spark, sf):
     return _entities(spark, sf)
@@ -719,12 +740,12 @@ def error_trend_line(spark, sf):
 
 @query
 def geo_error(spark, sf):
-    return diagnostics.geo_error(_entities(spark, sf))
+    return diagnostics.geo_error(_stored_entities(spark, sf))
 
 
 @query
 def entity_summary(spark, sf):
-    return diagnostics.entity_summary(_entities(spark, sf))
+    return diagnostics.entity_summary(_stored_entities(spark, sf))
 
 
 @query
@@ -742,7 +763,7 @@ def price_quantiles_by_flag(spark, sf):
 
 @query
 def hexbin_density(spark, sf):
-    return binning.hexbin(_test(spark, sf))
+    return binning.hexbin(_stored_test(spark, sf, *PAIR))
 
 
 @query
@@ -762,7 +783,7 @@ def total_series(spark, sf):
 
 @query
 def daily_totals(spark, sf):
-    return diagnostics.daily_totals(diagnostics.total_series(_test(spark, sf)))
+    return diagnostics.daily_totals(diagnostics.total_series(_stored_test(spark, sf, "datetime", *PAIR)))
 
 
 @query
@@ -778,7 +799,7 @@ def daily_totals_with_gaps(spark, sf):
 
 @query
 def daily_error(spark, sf):
-    return diagnostics.daily_error(diagnostics.total_series(_test(spark, sf)))
+    return diagnostics.daily_error(diagnostics.total_series(_stored_test(spark, sf, "datetime", *PAIR)))
 
 
 @query
@@ -788,26 +809,31 @@ def focus_entity(spark, sf):
 
 @query
 def focus_series(spark, sf):
-    return diagnostics.focus_series(_test(spark, sf), min_support=90)
+    return diagnostics.focus_series(_stored_test(spark, sf, *ROW, "station_name", *PAIR), min_support=90)
 
 
 @query
 def focus_error(spark, sf):
-    return diagnostics.focus_error(_test(spark, sf), min_support=90)
+    return diagnostics.focus_error(_stored_test(spark, sf, *ROW, "station_name", *PAIR), min_support=90)
 
 
 # Samples
 
 
+def _stored_train(spark, sf):
+    rows = clean.for_split(driver.features(spark, sf), "train").select(*ROW, "departures")
+    return sinks.materialize(rows, "train")
+
+
 @query
 def uniform_sample(spark, sf):
-    rows = driver.features(spark, sf).where("split = 'train'")
+    rows = _stored_train(spark, sf)
     return sampling.sample_exact(rows, 5_000, S.SEED, ROW).select(*ROW, "departures")
 
 
 @query
 def nested_sample(spark, sf):
-    rows = driver.features(spark, sf).where("split = 'train'")
+    rows = _stored_train(spark, sf)
     large = sampling.sample_exact(rows, 5_000, S.SEED, ROW)
     return sampling.sample_exact(large, 1_000, S.SEED, ROW).select(*ROW, "departures")
 
@@ -825,16 +851,15 @@ def sampled_line_items(spark, sf):
 @query
 def standardized_inputs(spark, sf):
     """Scaling fitted on the training rows, applied to the test rows."""
-    rows = driver.model_features(spark, sf)
     cols = ["temperature", "lag_1h", "lag_24h", "start_lat"]
+    rows = sinks.materialize(driver.model_features(spark, sf).select(*ROW, "split", *cols), "rows")
     stats = linear.standardize(clean.for_split(rows, "train"), cols)
     return linear.apply_standard(clean.for_split(rows, "test"), stats, cols).select(*ROW, *cols)
 
 
 def _ridge(spark, sf, scale: bool):
-    rows = demand.cast_features(driver.model_features(spark, sf)).select(
-        "split", "departures", "lag_24h"
-    )
+    rows = driver.model_features(spark, sf).select("split", "departures", "lag_24h")
+    rows = sinks.materialize(rows, "rows")
     model = linear.fit_ridge(clean.for_split(rows, "train"), ["lag_24h"], alpha=50.0, scale=scale)
     return results.evaluate(model.transform(rows), "ridge")
 
@@ -971,15 +996,11 @@ def streamed_hourly_counts(spark, sf):
     return counts.hourly_counts(ingest.read_ingested(spark, f"{base}-table"))
 
 
-def scored_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of the naive forecast by split: log to leaderboard in one plan."""
-    rows = results.naive(driver.features(tune(spark), sf_dir))
+@query
+def naive_from_log(spark, sf):
+    """Scores of the naive forecast by split, from the event log in one plan."""
+    rows = results.naive(driver.features(spark, sf))
     y, p = "departures", "prediction"
-    return tidy(
-        rows.groupBy("split").agg(
-            F.count("*").alias("n"), rmse(y, p).alias("rmse"), mae(y, p).alias("mae")
-        )
+    return rows.groupBy("split").agg(
+        F.count("*").alias("n"), rmse(y, p).alias("rmse"), mae(y, p).alias("mae")
     )
-
-
-QUERIES["naive_from_log"] = scored_summary
