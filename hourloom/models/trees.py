@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,7 +50,12 @@ def fit_rf(
         featureSubsetStrategy=subset,
         seed=seed,
     )
-    return Pipeline(stages=[assembler(features), forest]).fit(rows)
+    assemble = assembler(features)
+    data = assemble.transform(rows).select("features", label).persist()
+    try:
+        return PipelineModel([assemble, forest.fit(data)])
+    finally:
+        data.unpersist()
 
 
 def best_round(errors: list[float], patience: int) -> tuple[int, bool]:

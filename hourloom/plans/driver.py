@@ -27,6 +27,7 @@ SCHEMAS = {
     "props string",
     "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, "
     "c_mktsegment string",
+    "region": "r_regionkey int, r_name string",
     "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
     "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
     "o_orderdate timestamp_ntz, o_orderpriority string",

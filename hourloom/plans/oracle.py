@@ -499,7 +499,7 @@ ORACLES: dict[str, str] = {
            FROM features WHERE split IN ('val', 'test') GROUP BY 1"""
     ),
     "feature_vectors": sql(
-        "SELECT station_id, {}, {} FROM model_rows WHERE split = 'test'".format(
+        "SELECT station_id, {}, {} FROM model_rows".format(
             text("datetime"),
             ", ".join(r(_float32(f'"{c}"'), f"x{i:02d}") for i, c in enumerate(S.FEATURES)),
         )
@@ -544,10 +544,9 @@ ORACLES: dict[str, str] = {
                row_number() OVER (ORDER BY gain DESC, feature) <= 3 AS is_top
         FROM (SELECT event_type AS feature, count(*) AS splits, sum(value) AS gain FROM events GROUP BY 1)""",
     "label_table": """
-        SELECT CAST(feature AS BIGINT) AS feature, n,
-               coalesce(n_name, CAST(feature AS VARCHAR)) AS label
-        FROM (SELECT s_nationkey AS feature, count(*) AS n FROM supplier GROUP BY 1)
-        LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON feature = n_nationkey""",
+        SELECT CAST(feature AS BIGINT) AS feature, n, coalesce(r_name, CAST(feature AS VARCHAR)) AS label
+        FROM (SELECT c_nationkey AS feature, count(*) AS n FROM customer GROUP BY 1)
+        LEFT JOIN region ON feature = r_regionkey""",
     "report_labels": """
         SELECT hour, lpad(CAST(hour AS VARCHAR), 2, '0') || ':00' AS clock,
                ['Mon','Tue','Wed','Thu','Fri','Sat','Sun'][hour % 7 + 1] AS weekday,
@@ -642,12 +641,12 @@ ORACLES: dict[str, str] = {
     ),
     "total_series": sql(f"SELECT {text('datetime')}, departures, {r('pred')} FROM series"),
     "daily_totals": sql(f"SELECT {text('day')}, departures, {r('pred')} FROM daily"),
-    "daily_totals_with_gaps": f"""
+    "daily_order_totals": f"""
         SELECT {text('day')}, coalesce(n, 0) AS departures, {r('coalesce(p, 0)', 'pred')}
         FROM (SELECT CAST(unnest(generate_series(min(o_orderdate), max(o_orderdate), INTERVAL 1 DAY)) AS DATE)
-                     AS day FROM orders WHERE o_custkey % 50 = 7)
+                     AS day FROM orders)
         LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n, sum(round(o_totalprice, 0)) AS p
-                   FROM orders WHERE o_custkey % 50 = 7 GROUP BY 1) USING (day)""",
+                   FROM orders GROUP BY 1) USING (day)""",
     "daily_error": sql(
         f"""SELECT {r('sqrt(avg((pred - departures) ** 2))', 'rmse')},
                    {r('avg(abs(pred - departures))', 'mae')}, count(*) AS n FROM daily"""

@@ -499,7 +499,7 @@ def split_selection(spark, sf):
 @query
 def feature_vectors(spark, sf):
     """Model inputs as one vector, taken apart again."""
-    rows = demand.cast_features(clean.for_split(driver.model_features(spark, sf), "test"))
+    rows = demand.cast_features(driver.model_features(spark, sf))
     v = vector_to_array("features")
     return linear.assemble(rows).select(
         *ROW, *[v[i].alias(f"x{i:02d}") for i in range(len(S.FEATURES))]
@@ -607,13 +607,11 @@ def labelled_shares(spark, sf):
 
 @query
 def label_table(spark, sf):
-    """Nation labels from a table, for supplier counts."""
-    n = driver.table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("feature")).agg(
+    """Customers per nation code, labelled from the region table: most codes have no label there."""
+    n = driver.table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("feature")).agg(
         F.count("*").alias("n")
     )
-    labels = spark.read.schema("n_nationkey int, n_name string, n_regionkey int").parquet(
-        f"{sf}/nation.parquet"
-    ).where("n_nationkey < 20").select(F.col("n_nationkey").alias("feature"), F.col("n_name").alias("label"))
+    labels = driver.table(spark, sf, "region").selectExpr("r_regionkey AS feature", "r_name AS label")
     return joins.with_label_table(n, labels)
 
 
@@ -787,9 +785,9 @@ def daily_totals(spark, sf):
 
 
 @query
-def daily_totals_with_gaps(spark, sf):
-    """Daily order totals of one market, whose days without orders come out as 0."""
-    rows = driver.table(spark, sf, "orders").where("o_custkey % 50 = 7").select(
+def daily_order_totals(spark, sf):
+    """Daily totals of all orders; a day without orders comes out as 0."""
+    rows = driver.table(spark, sf, "orders").select(
         F.col("o_orderdate").alias("datetime"),
         F.lit(1).alias("departures"),
         F.round(F.col("o_totalprice"), 0).alias("pred"),
@@ -949,7 +947,7 @@ def _search(spark, sf):
     train, val = clean.for_split(rows, "train"), clean.for_split(rows, "val")
     small = {"depth": 3, "bins": 32}
     trials = search.search(
-        spark, train, val, n_trials=2, rounds=4, patience=2, max_rows=50_000, parallelism=2, limits=small
+        spark, train, val, n_trials=2, rounds=4, patience=2, parallelism=2, limits=small
     )
     return rows, trials, small
 
