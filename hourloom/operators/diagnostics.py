@@ -38,11 +38,15 @@ def residual_histogram(scored: DataFrame, bins: int = 80, clip: float = 20.0) ->
 
 
 def scatter_sample(
-    scored: DataFrame, n: int = 30_000, seed: int = 42, keys: tuple[str, ...] = ("station_id", "datetime")
+    scored: DataFrame,
+    n: int = 30_000,
+    seed: int = 42,
+    keys: tuple[str, ...] = ("station_id", "datetime"),
+    method: str = "xxhash64",
 ) -> DataFrame:
     """Actual and predicted value of ``n`` rows, with the common axis maximum."""
-    points = sample_exact(scored, n, seed, list(keys)).select(*keys, "departures", "pred")
-    top = points.agg(F.greatest(F.max("departures").cast("double"), F.max("pred")))
+    points = sample_exact(scored, n, seed, list(keys), method).select(*keys, Y, P)
+    top = points.agg(F.greatest(F.max(Y).cast("double"), F.max(P)))
     return points.withColumn("axis_max", top.scalar())
 
 

@@ -670,7 +670,7 @@ def residual_histogram(spark, sf):
 
 @query
 def scatter_sample(spark, sf):
-    return diagnostics.scatter_sample(_stored_test(spark, sf, *ROW, *PAIR), 3_000, S.SEED)
+    return diagnostics.scatter_sample(_stored_test(spark, sf, *ROW, *PAIR), 3_000, S.SEED, method="md5")
 
 
 @query
@@ -826,21 +826,21 @@ def _stored_train(spark, sf):
 @query
 def uniform_sample(spark, sf):
     rows = _stored_train(spark, sf)
-    return sampling.sample_exact(rows, 5_000, S.SEED, ROW).select(*ROW, "departures")
+    return sampling.sample_exact(rows, 5_000, S.SEED, ROW, "md5").select(*ROW, "departures")
 
 
 @query
 def nested_sample(spark, sf):
     rows = _stored_train(spark, sf)
-    large = sampling.sample_exact(rows, 5_000, S.SEED, ROW)
-    return sampling.sample_exact(large, 1_000, S.SEED, ROW).select(*ROW, "departures")
+    large = sampling.sample_exact(rows, 5_000, S.SEED, ROW, "md5")
+    return sampling.sample_exact(large, 1_000, S.SEED, ROW, "md5").select(*ROW, "departures")
 
 
 @query
 def sampled_line_items(spark, sf):
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     rows = driver.table(spark, sf, "lineitem").select(*keys)
-    return sampling.sample_exact(rows, 20_000, 7, keys)
+    return sampling.sample_exact(rows, 20_000, 7, keys, "md5")
 
 
 # Models
@@ -974,8 +974,8 @@ def learning_curve(spark, sf):
     parts = [clean.for_split(rows, s) for s in ("train", "val", "test")]
     trainers = {"ridge": lambda train, val: linear.fit_ridge(train, ["lag_24h"], alpha=50.0, scale=False)}
     path = shared_dir(spark, "curve")
-    curve.learning_curve(spark, *parts, ["ridge"], trainers, S.FRACTIONS[:2], path=path)
-    runs = curve.learning_curve(spark, *parts, ["ridge"], trainers, path=path)
+    curve.learning_curve(spark, *parts, ["ridge"], trainers, S.FRACTIONS[:2], path=path, method="md5")
+    runs = curve.learning_curve(spark, *parts, ["ridge"], trainers, path=path, method="md5")
     return runs.drop("elapsed_s")
 
 

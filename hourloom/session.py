@@ -15,6 +15,8 @@ PLAN_CONF = {
     # Lets the (entity, block) exchange of a panel serve the grid join and the lag window alike,
     # so that the dense rows are generated in place and never shuffled.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # A feature table has three splits: write them side by side instead of sorting every row first.
+    "spark.sql.maxConcurrentOutputFileWriters": "16",
 }
 
 

@@ -124,20 +124,24 @@ def test_describe_equals_pandas(spark):
         assert mine == pytest.approx(list(want[c]))
 
 
-def test_samples_are_exact_nested_and_stable(spark, sf):
-    rows = driver.features(spark, sf).select("station_id", "datetime", "departures")
+@pytest.mark.parametrize("method", ["xxhash64", "md5"])
+def test_samples_are_exact_nested_and_stable(spark, sf, method):
     keys = ["station_id", "datetime"]
+    rows = driver.features(spark, sf).select(*keys, "departures").persist()
     total = rows.count()
-    big = sampling.sample_exact(rows, 3000, 1, keys)
-    small = sampling.sample_exact(rows.repartition(5), 700, 1, keys)
+
+    def draw(df, n, seed=1):
+        return sampling.sample_exact(df, n, seed, keys, method)
+
+    big, small = draw(rows, 3000), draw(rows.repartition(5), 700)
     assert big.count() == 3000 and small.count() == 700
     assert small.exceptAll(big).count() == 0
-    assert sampling.sample_exact(rows, 700, 2, keys).exceptAll(small).count() > 0
-    assert sampling.sample_exact(rows, total + 5, 1, keys).count() == total
-    assert sampling.sample_exact(rows, total, 1, keys).count() == total
-    assert sampling.sample_exact(rows, 0, 1, keys).count() == 0
-    brute = rows.orderBy(sampling.sample_order(keys, 1), *keys).limit(700)
+    assert draw(rows, 700, seed=2).exceptAll(small).count() > 0
+    assert draw(rows, total + 5).count() == draw(rows, total).count() == total
+    assert draw(rows, 1).count() == 1 and draw(rows, 0).count() == 0
+    brute = rows.orderBy(sampling.sample_order(keys, 1, method), *keys).limit(700)
     assert brute.exceptAll(small).count() == 0
+    rows.unpersist()
 
 
 def test_holidays(spark):
