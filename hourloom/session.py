@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -37,12 +36,16 @@ def build_session(app: str = "hourloom", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder name under the cluster's shared checkpoint folder.
+    """A new folder name, with its scheme, under the cluster's shared checkpoint folder.
 
-    The folder comes from ``spark.checkpoint.dir``. Only where that is unset (single-process tests)
-    a temporary folder of this machine is used.
+    The folder comes from ``spark.checkpoint.dir``. Where that is unset a local session uses its
+    warehouse folder; on a cluster it must be set, since executors do not share other folders.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="hourloom-")
-    return f"{base.rstrip('/')}/hourloom-{label}-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/hourloom-{label}-{uuid.uuid4().hex}")
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return at.makeQualified(system.getUri(), system.getWorkingDirectory()).toString()
