@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -14,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hourloom.session import shared_dir
+
 # What a worker handles at a time, whatever the length of the texts.
 ROWS_PER_BATCH, BYTES_PER_BATCH = 2000, 4 << 20
 
@@ -23,17 +23,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder name under ``spark.checkpoint.dir``, which all executors of a cluster share.
-
-    Where it is unset a folder of this machine serves a local master; any other master is refused.
-    """
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        top = tempfile.mkdtemp(prefix="hourloom-llm-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/llm-{label}-{uuid.uuid4().hex}"
+    """A new folder name under the folder that all executors share."""
+    return shared_dir(spark, f"llm-{label}")
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -68,13 +59,6 @@ def file_bytes(path: str, limit: int = 16 << 20) -> bytes:
     return data
 
 
-def qualified(spark: SparkSession, path: str) -> str:
-    """The path with its scheme, as Spark itself resolves it."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    return at.makeQualified(system.getUri(), system.getWorkingDirectory()).toString()
-
-
 def worker_cache(key: Any, make: Callable[[], Any]) -> Any:
     """An object built once per Python worker; the four last used are kept."""
     held = sys.__dict__.setdefault("_hourloom_llm_cache", {})

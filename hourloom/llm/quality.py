@@ -166,12 +166,14 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
     # Ids and labels only: a bounded number of rows, broadcast to the documents.
     picked = marked.orderBy(F.xxhash64("_key"), "_key").limit(sample)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(picked), "_key")
+    # Rows that share a key are one document, so that the sample is bounded however often a key repeats.
+    rows = rows.groupBy("_key", "label").agg(F.min("_text").alias("_text"))
     found = rows.select(F.xxhash64("_key", "_text").alias("h"), "_text", F.col("label").cast("double")).mapInArrow(
         _terms, "h long, terms binary, label double"
     ).toArrow()
     if not found.num_rows:
         return fit(np.zeros((0, TERMS), np.float32), np.zeros(0))
-    order = np.argsort(found.column("h").to_numpy(), kind="stable")[: 2 * sample]
+    order = np.argsort(found.column("h").to_numpy(), kind="stable")
     terms = np.frombuffer(b"".join(found.column("terms").to_pylist()), np.float32).reshape(-1, TERMS)
     return fit(terms[order], found.column("label").to_numpy()[order])
 

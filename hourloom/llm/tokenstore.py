@@ -31,12 +31,12 @@ from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm.base import cut_points, file_bytes, qualified, range_of, shared_folder, small_batches, stored, worker_cache
+from hourloom.llm.base import cut_points, file_bytes, range_of, shared_folder, small_batches, stored, worker_cache
 
 MAGIC = b"HLTOKS01"
 SHARD_BYTES = 8 << 20  # of text, on average
 KEYS_PER_BUCKET = 4
-CACHE_WORDS, CACHED_CHARS = 600_000, 64
+CACHE_WORDS, CACHED_CHARS = 300_000, 64
 SEPARATORS = " \t\r\n"
 _MARKS = ".,!?;:"
 
@@ -351,7 +351,7 @@ def write_store(
     rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     cuts = cut_points(rows, "_key", max(1, -(-size // shard_bytes_wanted)))
-    folder = qualified(spark, shared_folder(spark, "tokens"))
+    folder = shared_folder(spark, "tokens")
     encoded = rows.select(range_of("_key", cuts).alias("shard"), "_key", "_text").mapInArrow(
         _encode(held, tokenizer, end_id, width), "shard int, _key long, ids binary"
     )

@@ -377,6 +377,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
     sizes = {int(r["label"]): r["count"] for r in marked.groupBy("label").count().collect()}
     parts = [marked.filter(F.col("label") == y).orderBy(F.xxhash64("_key"), "_key").limit(sample) for y in (0, 1)]
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(parts[0].union(parts[1])), "_key")
+    # Rows that share a key are one document, so that the sample is bounded however often a key repeats.
+    rows = rows.groupBy("_key", "label").agg(F.min("_text").alias("_text"))
     most = TRAIN_WINDOWS * STRIDE + WINDOW
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,7 +392,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), batch.column(2)], ["h", "words", "label"])
 
     got = rows.select(F.xxhash64("_key", "_text"), "_text", F.col("label").cast("double")).mapInArrow(split, "h long, words string, label double").toArrow()
-    order = np.argsort(got.column("h").to_numpy(), kind="stable")[: 4 * sample]
+    order = np.argsort(got.column("h").to_numpy(), kind="stable")
     texts, y = got.column("words").to_pylist(), got.column("label").to_numpy()
     y = y[order]
     stands = tuple(sizes.get(c, 0) / max(1, int((y == c).sum())) for c in (0, 1))
