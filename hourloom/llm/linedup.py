@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm.base import cut_points, range_of, shared_folder, small_batches
+from hourloom.llm.base import cut_points, range_of, shared_folder, small_batches, stored
 
 MIN_CHARS, MIN_DOCS = 20, 3
 BATCHES, FANOUT = 3, 2
@@ -138,7 +138,8 @@ def dedupe_lines(
     part = range_of("_key", cuts)
     for i in reversed(range(max(1, len(cuts)))):
         runs.add(hashed_lines(rows.filter(part == i), "_key", "_text"))
-    repeated = runs.repeated(min_docs)
+    # From files, so that Spark can split a line that very many documents hold.
+    repeated = stored(runs.repeated(min_docs), "repeated-lines")
     doomed = hashed_lines(rows, "_key", "_text").join(repeated, "line").filter(F.col("_key") < F.col("last"))
     drops = doomed.groupBy("_key").agg(F.collect_set("line").alias("_drop"))
     joined = (
