@@ -49,7 +49,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of what is left, checked by decoding them."""
     path = public_tokenizers.path(BYTE_RANKS)
     encoded = bpe.encode(docs, path, public_tokenizers.PATTERN, carry=("text", "lang", "source"))
-    back = bpe.decode(encoded, path, public_tokenizers.PATTERN)
+    back = bpe.decode(encoded, path)
     same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return back.select("doc_id", "lang", "source", "n_tokens", "ids", same.alias("round_trip"))
 

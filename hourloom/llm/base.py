@@ -71,6 +71,32 @@ def worker_cache(key: Any, make: Callable[[], Any]) -> Any:
     return held[key]
 
 
+class Remembered(dict):
+    """Values by text that a worker has met, in two generations of bounded size.
+
+    When the younger one is full it becomes the older one; what is asked for again moves back.
+    """
+
+    def __init__(self, limit: int, longest: int):
+        super().__init__()
+        self.limit, self.longest, self.older = limit, longest, {}
+
+    def lacking(self, texts: list[list[str]]) -> list[str]:
+        """The different texts without a value; the others are in the dictionary afterwards."""
+        if len(self) > self.limit:
+            self.older = dict(self)
+            self.clear()
+        new = set().union(*texts).difference(self)
+        back = new.intersection(self.older)
+        self.update((t, self.older[t]) for t in back)
+        return list(new.difference(back))
+
+    def forget_long(self, texts: list[str]) -> None:
+        for t in texts:
+            if len(t) > self.longest:
+                self.pop(t, None)
+
+
 def fold_of(key: str, folds: int) -> Column:
     """crc32 of the key's text, modulo the number of folds; null for a null key."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % folds

@@ -23,12 +23,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourloom.llm.base import file_bytes, small_batches, worker_cache
+from hourloom.llm.base import Remembered, file_bytes, small_batches, worker_cache
 
 NO_PAIR = np.int32(2**31 - 1)
 MATRIX_CELLS = 1 << 20
 # Different words, and different pieces, whose ids a worker remembers.
-CACHE_ENTRIES, CACHED_CHARS = 400_000, 64
+CACHE_ENTRIES, CACHED_CHARS = 100_000, 64
 # The characters with Unicode's property White_Space.
 WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _GAP = re.compile(rf"[{WHITE}\x1c-\x1f]{{2}}|\A[{WHITE}\x1c-\x1f]|[{WHITE}\x1c-\x1f]\Z")
@@ -46,7 +46,6 @@ class Vocabulary:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.token = {rank: t for t, rank in ranks.items()}
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         left, right, merged = [], [], []
         for t, rank in ranks.items():
@@ -183,8 +182,8 @@ class Encoder:
         self.vocab = Vocabulary(ranks)
         # White space as the encoder's own engine has it (Unicode's property, without 0x1C-0x1F).
         self.pattern = regex.compile(pattern.replace(r"[^\s", "[^" + WHITE).replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]"))
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}  # behind a space
+        self.pieces = Remembered(CACHE_ENTRIES, CACHED_CHARS)
+        self.words = Remembered(CACHE_ENTRIES, CACHED_CHARS)  # behind a space
 
     def _split(self, text: str) -> list[str]:
         if _GAP.search(text):
@@ -193,41 +192,37 @@ class Encoder:
 
     def _encode_new(self, words: list[str]) -> list[bytes]:
         split = [self.pattern.findall(w) for w in words]
-        new = list(set().union(*split).difference(self.pieces))
+        new = self.pieces.lacking(split)
         found = merge_pieces([p.encode() for p in new], self.vocab)
         self.pieces.update(zip(new, found, strict=True))
         get = self.pieces.__getitem__
         out = [b"".join(map(get, pieces)) for pieces in split]
-        for p in new:
-            if len(p) > CACHED_CHARS:
-                del self.pieces[p]
+        self.pieces.forget_long(new)
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        for held in (self.pieces, self.words):
-            if len(held) > CACHE_ENTRIES:
-                held.clear()
         split = [self._split(t) for t in texts]
         firsts = self._encode_new([words[0] for words in split])
         rest = [words[1:] for words in split]
-        new = list(set().union(*rest).difference(self.words))
+        new = self.words.lacking(rest)
         for start in range(0, len(new), 20_000):
             part = new[start : start + 20_000]
             self.words.update(zip(part, self._encode_new([" " + w for w in part]), strict=True))
         get = self.words.__getitem__
         out = [first + b"".join(map(get, words)) for first, words in zip(firsts, rest, strict=True)]
-        for w in new:
-            if len(w) > CACHED_CHARS:
-                del self.words[w]
+        self.words.forget_long(new)
         return out
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.vocab.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
+class Decoder:
+    """The bytes of ids."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.token = {rank: t for t, rank in ranks.items()}
 
-def _encoder(path: str, pattern: str, payload: bytes) -> Encoder:
-    return worker_cache(("bpe", path, pattern, len(payload)), lambda: Encoder(ranks_of(payload), pattern))
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def encode(
@@ -241,8 +236,8 @@ def encode(
     n = 1 + len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, pattern, held.value)
-        for batch in small_batches(batches, 0):
+        encoder = worker_cache(("bpe", path, pattern, len(held.value)), lambda: Encoder(ranks_of(held.value), pattern))
+        for batch in small_batches(batches, 0, size=1 << 20):
             ids = encoder.encode([t or "" for t in batch.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), *[batch.column(1 + i) for i in range(n)]],
@@ -254,16 +249,16 @@ def encode(
     return out.select(F.col("_c0").alias(key), "n_tokens", "ids", *[F.col(f"_c{i + 1}").alias(c) for i, c in enumerate(carry)])
 
 
-def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
+def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """The rows with ``decoded``, the bytes that the ids stand for; null ids give null."""
     held = encoded.sparkSession.sparkContext.broadcast(file_bytes(path))
     names = encoded.columns
     at = names.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, pattern, held.value)
-        for batch in batches:
-            back = [None if x is None else encoder.decode(x) for x in batch.column(at).to_pylist()]
+        decoder = worker_cache(("tokens", path, len(held.value)), lambda: Decoder(ranks_of(held.value)))
+        for batch in small_batches(batches, at):
+            back = [None if x is None else decoder.decode(x) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(back, pa.binary())], [*names, "decoded"])
 
     kinds = ", ".join(f"`{c}` {kind}" for c, kind in encoded.dtypes)

@@ -31,11 +31,11 @@ from hourloom.llm.base import small_batches, worker_cache
 ORDER = 3
 DOCS_PER_LANGUAGE = 600  # bound of the labelled sample
 MAX_LANGUAGES = 64
-TABLE_BYTES = 96 << 20
+TABLE_BYTES = 48 << 20
 UNKNOWN = "und"
 _START = b"\n" * ORDER
 _LETTER = regex.compile(r"\p{L}")
-_SLICE = 1 << 18
+_SLICE, _ROWS = 1 << 18, 1024
 
 
 def normal_bytes(text: str) -> bytes:
@@ -70,49 +70,57 @@ def _context_counts(stats: Statistics, order: int) -> tuple[np.ndarray, list[tup
     return contexts, out
 
 
+def _predictions(keep: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]], parents: np.ndarray) -> np.ndarray:
+    """Probabilities after the kept contexts: (context, byte, language)."""
+    out = parents.astype(np.float64)
+    for lang, (at, n) in enumerate(counts):
+        first, last = np.searchsorted(at, [keep[0] * 256, keep[-1] * 256 + 256])
+        at, n = at[first:last], n[first:last]
+        row = np.searchsorted(keep, at // 256)
+        ok = keep[np.minimum(row, len(keep) - 1)] == at // 256
+        c = np.zeros((len(keep), 256))
+        c[row[ok], at[ok] % 256] = n[ok]
+        seen = c > 0
+        t, q = c.sum(axis=1, keepdims=True), seen.sum(axis=1, keepdims=True)
+        lower = np.where(seen, 0.0, out[:, :, lang])
+        rest = lower.sum(axis=1, keepdims=True)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            p = np.where(seen, c / (t + q), q / (t + q) * lower / rest)
+        out[:, :, lang] = np.where(t > 0, p, out[:, :, lang])
+    return out
+
+
 class CodeTable:
     """Bits of every (context row, byte) in every language."""
 
     def __init__(self, stats: Statistics):
         self.languages = stats.languages
         n_lang = len(stats.languages)
-        rows = [np.full((1, 256, n_lang), 1 / 256)]  # the uniform row, number 0
+        # Row 0 is the uniform distribution; then the rows of the contexts, shorter ones first.
+        table = np.full((1, 256, n_lang), 1 / 256, np.float32)
         self.row_of = np.zeros(1, np.int32)  # by context value, for the order so far
-        total = 1
-        room = TABLE_BYTES // (256 * 4 * n_lang)
+        room = max(1, TABLE_BYTES // (256 * 4 * n_lang))
         for order in range(ORDER + 1):
             contexts, counts = _context_counts(stats, order)
-            parent_of = self.row_of if order == 0 else np.tile(self.row_of, 256)
             keep = np.arange(len(contexts))
-            if order > 0 and total + len(contexts) > room:
+            if len(table) + len(contexts) > room:
                 weight = np.zeros(len(contexts))
                 for at, n in counts:
                     weight += np.bincount(at // 256, n, len(contexts))
-                keep = np.sort(np.argsort(-weight, kind="stable")[: max(0, room - total)])
-            new_index = np.full(len(contexts), -1)
-            new_index[keep] = np.arange(len(keep))
-            flat = np.concatenate(rows)
-            parents = flat[parent_of[contexts[keep]]]
-            made = np.empty_like(parents)
-            for lang, (at, n) in enumerate(counts):
-                c = np.zeros((len(keep), 256))
-                ctx = new_index[at // 256]
-                ok = ctx >= 0
-                c[ctx[ok], at[ok] % 256] = n[ok]
-                seen = c > 0
-                t, q = c.sum(axis=1, keepdims=True), seen.sum(axis=1, keepdims=True)
-                lower = np.where(seen, 0.0, parents[:, :, lang])
-                rest = lower.sum(axis=1, keepdims=True)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    p = np.where(seen, c / (t + q), q / (t + q) * lower / rest)
-                made[:, :, lang] = np.where(t > 0, p, parents[:, :, lang])
-            rows = [flat, made.astype(np.float32)]
-            row_of = parent_of.copy()
-            row_of[contexts[keep]] = total + np.arange(len(keep), dtype=np.int32)
-            self.row_of = row_of
-            total += len(keep)
-        flat = np.concatenate(rows)
-        self.bits = -np.log2(flat.reshape(-1, n_lang), dtype=np.float32)
+                keep = np.sort(np.argsort(-weight, kind="stable")[: max(0, room - len(table))])
+            if order:
+                self.row_of = np.tile(self.row_of, 256)
+            parents = self.row_of[contexts[keep]]
+            grown = np.empty((len(table) + len(keep), 256, n_lang), np.float32)
+            grown[: len(table)] = table
+            for start in range(0, len(keep), _ROWS):
+                part = slice(start, start + _ROWS)
+                made = _predictions(keep[part], counts, table[parents[part]])
+                grown[len(table) + start : len(table) + start + len(made)] = made
+            self.row_of[contexts[keep]] = len(table) + np.arange(len(keep), dtype=np.int32)
+            table = grown
+        np.log2(table, out=table)
+        self.bits = np.negative(table, out=table).reshape(-1, n_lang)
 
     def code_lengths(self, data: bytes) -> np.ndarray:
         """Bits of the whole text in each language."""

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from hourloom.llm.base import small_batches
 
-SAMPLE = 3000  # bound of the labelled sample, in documents
+SAMPLE = 1500  # bound of the labelled sample, in documents
 DIMS, NEIGHBOURS, BLOCK = 24, 25, 512
 CLASSES = 16
 STEPS = 12
@@ -147,8 +147,12 @@ def fit(rows: np.ndarray, labels: np.ndarray, dims: int = DIMS) -> Model:
     spread = rows.std(axis=0) + 1e-3
     weight = 1 / np.sqrt(spread)
     mean = rows.mean(axis=0)
-    _, _, basis = np.linalg.svd((rows - mean) * weight, full_matrices=False)
-    projection = (weight[:, None] * basis[:dims].T).astype(np.float32)
+    centred = (rows - mean) * weight
+    # Singular vectors of a wide matrix from the small matrix of its rows' products.
+    values, left = np.linalg.eigh((centred @ centred.T).astype(np.float64))
+    top = np.argsort(-values, kind="stable")[:dims]
+    basis = (left[:, top].T @ centred) / np.sqrt(np.maximum(values[top], 1e-9))[:, None]
+    projection = (weight[:, None] * basis.T).astype(np.float32)
     model = Model(mean.astype(np.float32), projection, np.zeros((0, 1), np.float32), labels)
     model.vectors = model.latent(rows).astype(np.float32)
     return model
@@ -174,8 +178,11 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
     if not found.num_rows:
         return fit(np.zeros((0, TERMS), np.float32), np.zeros(0))
     order = np.argsort(found.column("h").to_numpy(), kind="stable")
-    terms = np.frombuffer(b"".join(found.column("terms").to_pylist()), np.float32).reshape(-1, TERMS)
-    return fit(terms[order], found.column("label").to_numpy()[order])
+    packed = found.column("terms")
+    terms = np.empty((len(order), TERMS), np.float32)
+    for row, at in enumerate(order.tolist()):
+        terms[row] = np.frombuffer(packed[at].as_buffer(), np.float32)
+    return fit(terms, found.column("label").to_numpy()[order])
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -46,7 +46,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids, and the bytes they stand for."""
     path = public_tokenizers.path(BYTE_RANKS)
     encoded = bpe.encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
-    back = bpe.decode(encoded, path, public_tokenizers.PATTERN)
+    back = bpe.decode(encoded, path)
     return back.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

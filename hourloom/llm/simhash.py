@@ -31,8 +31,9 @@ from hourloom.llm.base import small_batches, stored
 from hourloom.llm.components import components
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
-# Fingerprints per shard that the tree aims at, and the sample that it is fitted on.
-SHARD_ROWS, SAMPLE_PER_SHARD, MAX_DEPTH = 4096, 256, 12
+# The shards follow the square root of the number of fingerprints: a tree twice as deep would deal out
+# more copies than it saves comparisons, since tasks prune on. The sample fits the tree.
+SHARDS_PER_ROOT, SAMPLE_PER_SHARD, MAX_DEPTH = 1 / 16, 256, 14
 
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -251,10 +252,11 @@ def _deal(tree: Tree, reach: int):
     return run
 
 
-def near_links(values: DataFrame, reach: int = MAX_BITS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def near_links(values: DataFrame, reach: int = MAX_BITS, depth: int | None = None) -> DataFrame:
     """(u, v): a spanning forest of each block's links; ``values`` has different fingerprints in _fp."""
     n = values.count()
-    depth = max(0, min(MAX_DEPTH, int(np.ceil(np.log2(max(1, n / shard_rows))))))
+    if depth is None:
+        depth = max(0, min(MAX_DEPTH, round(np.log2(max(1, n) ** 0.5 * SHARDS_PER_ROOT))))
     wanted = SAMPLE_PER_SHARD << depth
     # A bounded sample fits the tree; all fingerprints are dealt and searched.
     part = int(min(1.0, 1.2 * wanted / max(1, n)) * (1 << 30))
@@ -263,7 +265,7 @@ def near_links(values: DataFrame, reach: int = MAX_BITS, shard_rows: int = SHARD
     tree = Tree(sample, depth)
     dealt = stored(values.mapInArrow(_deal(tree, reach), "_fp long, _shard long, _home boolean"), "shards")
     # Shards beyond twice the mean are cut into a grid of blocks; there are at most 2^depth shards.
-    share = max(shard_rows, -(-dealt.count() // (1 << depth)))
+    share = max(1, -(-dealt.count() // (1 << depth)))
     sizes = dealt.groupBy("_shard").count().filter(F.col("count") > 2 * share)
     cuts = sizes.select("_shard", F.ceil(F.col("count") / share).cast("int").alias("_cut"))
     chunk = F.pmod(F.xxhash64("_fp", F.lit(3)), F.col("_cut")).cast("int")

@@ -21,6 +21,7 @@ numbered in the order of their ids; a null key comes before all others; an empty
 from __future__ import annotations
 
 import os
+import string
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,14 +32,14 @@ from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm.base import cut_points, file_bytes, range_of, shared_folder, small_batches, stored, worker_cache
+from hourloom.llm.base import Remembered, cut_points, file_bytes, range_of, shared_folder, small_batches, stored, worker_cache
 
 MAGIC = b"HLTOKS01"
 SHARD_BYTES = 8 << 20  # of text, on average
 KEYS_PER_BUCKET = 4
 CACHE_WORDS, CACHED_CHARS = 300_000, 64
 SEPARATORS = " \t\r\n"
-_MARKS = ".,!?;:"
+_LAST_LATIN = "\u00ff"
 
 
 # --- encoding -------------------------------------------------------------------------------------
@@ -55,7 +56,7 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.kind = np.dtype(f"<u{width}")
         self.end = np.array([end_id], self.kind).tobytes()
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered(CACHE_WORDS, CACHED_CHARS)
 
     def _encode_words(self, words: list[str]) -> dict[str, bytes]:
         """Words encoded together; offsets tell which ids belong to which word."""
@@ -67,16 +68,20 @@ class WordEncoder:
         return {w: ids[a:b].tobytes() for w, a, b in zip(words, bounds[:-1], bounds[1:], strict=True)}
 
     def _learn(self, words: list[str]) -> None:
-        """Ids of new words; letters before closing marks are a word of their own."""
+        """Ids of new words. Case does not count, and marks behind letters are a word of their own.
+
+        That is said of Latin letters up to U+00FF only, which have one lower case and no marks to join.
+        """
         parts = {}
         for w in words:
-            body = w.rstrip(_MARKS)
-            if len(body) < len(w) and body.isascii() and body.isalpha():
-                parts[w] = (body.lower(), w[len(body) :])
-        lacking = {x for pair in parts.values() for x in pair}.difference(self.known)
-        plain = list(lacking.union(w for w in words if w not in parts))
-        for start in range(0, len(plain), 512):
-            self.known.update(self._encode_words(plain[start : start + 512]))
+            body = w.rstrip(string.punctuation)
+            if body and body.isalpha() and max(body) <= _LAST_LATIN:
+                low = body.lower()
+                if len(body) < len(w) or low != w:
+                    parts[w] = (low, w[len(body) :])
+        others = list({x for pair in parts.values() for x in pair}.union(w for w in words if w not in parts).difference(self.known))
+        for start in range(0, len(others), 512):
+            self.known.update(self._encode_words(others[start : start + 512]))
         for w, (body, marks) in parts.items():
             self.known[w] = self.known[body] + self.known[marks]
 
@@ -86,15 +91,11 @@ class WordEncoder:
             for c in SEPARATORS[1:]:
                 t = t.replace(c, " ")
             split.append(t.split(" "))
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = list(set().union(*split).difference(self.known))
+        new = self.known.lacking(split)
         self._learn(new)
         get = self.known.__getitem__
         out = [b"".join(map(get, words)) + self.end for words in split]
-        for word in new:
-            if len(word) > CACHED_CHARS:
-                del self.known[word]
+        self.known.forget_long(new)
         return out
 
 
@@ -337,7 +338,9 @@ class TokenStore:
                 ["_key", "start", "n_tokens", "ids"],
             )
 
-        found = dealt.groupBy("shard").applyInArrow(look_up, "_key long, start long, n_tokens long, ids binary")
+        # As many tasks as shards, however small the keys are.
+        spread = dealt.repartition(max(1, len(starts)), "shard")
+        found = spread.groupBy("shard").applyInArrow(look_up, "_key long, start long, n_tokens long, ids binary")
         return found.withColumnRenamed("_key", key)
 
 
