@@ -85,7 +85,9 @@ def _predictions(keep: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]],
         lower = np.where(seen, 0.0, out[:, :, lang])
         rest = lower.sum(axis=1, keepdims=True)
         with np.errstate(divide="ignore", invalid="ignore"):
-            p = np.where(seen, c / (t + q), q / (t + q) * lower / rest)
+            # A context that has seen all bytes has nothing to escape to.
+            escape = np.where(q < 256, q, 0)
+            p = np.where(seen, c / (t + escape), escape / (t + escape) * lower / rest)
         out[:, :, lang] = np.where(t > 0, p, out[:, :, lang])
     return out
 
@@ -98,8 +100,8 @@ class CodeTable:
         n_lang = len(stats.languages)
         # Row 0 is the uniform distribution; then the rows of the contexts, shorter ones first.
         table = np.full((1, 256, n_lang), 1 / 256, np.float32)
-        self.row_of = np.zeros(1, np.int32)  # by context value, for the order so far
-        room = max(1, TABLE_BYTES // (256 * 4 * n_lang))
+        room = min((1 << 16) - 1, max(1, TABLE_BYTES // (256 * 4 * n_lang)))
+        self.row_of = np.zeros(1, np.uint16)  # by context value, for the order so far
         for order in range(ORDER + 1):
             contexts, counts = _context_counts(stats, order)
             keep = np.arange(len(contexts))
@@ -117,7 +119,7 @@ class CodeTable:
                 part = slice(start, start + _ROWS)
                 made = _predictions(keep[part], counts, table[parents[part]])
                 grown[len(table) + start : len(table) + start + len(made)] = made
-            self.row_of[contexts[keep]] = len(table) + np.arange(len(keep), dtype=np.int32)
+            self.row_of[contexts[keep]] = len(table) + np.arange(len(keep))
             table = grown
         np.log2(table, out=table)
         self.bits = np.negative(table, out=table).reshape(-1, n_lang)
