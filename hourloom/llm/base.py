@@ -27,6 +27,18 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return shared_dir(spark, f"llm-{label}")
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """The table, after the session's Arrow batches were limited to fewer rows than Spark's default.
+
+    Texts may be long, and a batch is held on both sides of every Python worker. A limit that the
+    caller has set stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(name)) == 10_000:
+        df.sparkSession.conf.set(name, str(ROWS_PER_BATCH // 2))
+    return df
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and go on from the files: cuts lineage, survives lost executors."""
     path = shared_folder(df.sparkSession, label)

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourloom.llm.base import Remembered, file_bytes, small_batches, worker_cache
+from hourloom.llm.base import Remembered, bounded, file_bytes, small_batches, worker_cache
 
 NO_PAIR = np.int32(2**31 - 1)
 MATRIX_CELLS = 1 << 20
@@ -230,7 +230,7 @@ def encode(
 ) -> DataFrame:
     """(key, n_tokens, ids) and the carried columns; ``ids`` are little-endian unsigned 32-bit integers."""
     held = docs.sparkSession.sparkContext.broadcast(file_bytes(path))
-    rows = docs.select(
+    rows = bounded(docs).select(
         F.col(text).alias("_text"), F.col(key).alias("_c0"), *[F.col(c).alias(f"_c{i + 1}") for i, c in enumerate(carry)]
     )
     n = 1 + len(carry)
@@ -262,4 +262,4 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(back, pa.binary())], [*names, "decoded"])
 
     kinds = ", ".join(f"`{c}` {kind}" for c, kind in encoded.dtypes)
-    return encoded.mapInArrow(run, f"{kinds}, decoded binary")
+    return bounded(encoded).mapInArrow(run, f"{kinds}, decoded binary")

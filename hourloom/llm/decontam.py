@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourloom.llm.base import small_batches, worker_cache
+from hourloom.llm.base import bounded, small_batches, worker_cache
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -140,7 +140,7 @@ def contamination(
     of hit words with their byte offsets in the original text.
     """
     names = ["_key", *[f"c{i}" for i in range(len(carry))]]
-    out = docs.select(
+    out = bounded(docs).select(
         F.col(text).alias("_text"), F.lit(0).cast("long").alias("_n_words"),
         F.array().cast(f"array<{SPAN}>").alias("_spans"), F.array().cast("array<string>").alias("_items"),
         F.col(key).alias("_c0"), *[F.col(c).alias(f"_c{i + 1}") for i, c in enumerate(carry)],

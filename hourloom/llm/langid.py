@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourloom.llm.base import small_batches, worker_cache
+from hourloom.llm.base import bounded, small_batches, worker_cache
 
 ORDER = 3
 DOCS_PER_LANGUAGE = 600  # bound of the labelled sample
@@ -160,7 +160,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = DOCS_PER_LANGUAGE) -> Statistics:
     """Counts of a sample of about ``per_language`` documents of each language, drawn by a hash of the key."""
-    rows = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+    rows = bounded(docs).filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("_text"), F.xxhash64(key).alias("_h")
     )
     sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
@@ -181,7 +181,7 @@ def predict(docs: DataFrame, stats: Statistics, key: str = "doc_id", text: str =
     """(key, lang_pred, score) and the carried columns of every row."""
     held = docs.sparkSession.sparkContext.broadcast(stats)
     tag = (tuple(stats.languages), int(sum(int(c.sum()) for c in stats.counts)), sum(len(g) for g in stats.grams))
-    rows = docs.select(F.col(text).alias("_text"), F.col(key).alias("_c0"), *[F.col(c).alias(f"_c{i + 1}") for i, c in enumerate(carry)])
+    rows = bounded(docs).select(F.col(text).alias("_text"), F.col(key).alias("_c0"), *[F.col(c).alias(f"_c{i + 1}") for i, c in enumerate(carry)])
     n = 1 + len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

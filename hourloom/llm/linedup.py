@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm.base import cut_points, range_of, shared_folder, small_batches, stored
+from hourloom.llm.base import bounded, cut_points, range_of, shared_folder, small_batches, stored
 
 MIN_CHARS, MIN_DOCS = 20, 3
 BATCHES, FANOUT = 3, 2
@@ -49,7 +49,7 @@ def _hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def hashed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(_key, line): the different lines of every document that are long enough."""
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL_KEY)).alias("_key"), F.col(text).alias("_text"))
+    rows = bounded(docs).select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL_KEY)).alias("_key"), F.col(text).alias("_text"))
     return rows.mapInArrow(_hash_lines, "_key long, line binary")
 
 
@@ -129,7 +129,7 @@ def dedupe_lines(
 ) -> DataFrame:
     """(key, n_lines, n_dropped, kept) and the carried columns; ``kept`` is the text that is left."""
     spark = docs.sparkSession
-    rows = docs.select(
+    rows = bounded(docs).select(
         F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"),
         *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)],
     )

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourloom.llm.base import small_batches
+from hourloom.llm.base import bounded, small_batches
 
 ROUNDS = 8
 _FIRST_DAY, _DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
@@ -261,7 +261,7 @@ def pseudonyms(docs: DataFrame, key: bytes, doc_key: str = "doc_id", text: str =
                 spans.append([{"kind": k, "start": a, "stop": b} for k, a, b in values])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string()), pa.array(spans, _SPANS)], ["_key", "_text", "_values"])
 
-    rows = docs.select(F.col(doc_key).alias("_key"), F.col(text).alias("_text"))
+    rows = bounded(docs).select(F.col(doc_key).alias("_key"), F.col(text).alias("_text"))
     kind = dict(rows.dtypes)["_key"]
     out = rows.mapInArrow(run, f"_key {kind}, _text string, _values array<struct<kind:string,start:int,stop:int>>")
     return out.select(F.col("_key").alias(doc_key), F.col("_text").alias("text"), F.col("_values").alias("values"))

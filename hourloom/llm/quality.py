@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourloom.llm.base import small_batches
+from hourloom.llm.base import bounded, small_batches
 
 SAMPLE = 1500  # bound of the labelled sample, in documents
 DIMS, NEIGHBOURS, BLOCK = 24, 25, 512
@@ -169,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
     marked = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & learn).groupBy(F.col(key).alias("_key")).agg(F.max(label).alias("label"))
     # Ids and labels only: a bounded number of rows, broadcast to the documents.
     picked = marked.orderBy(F.xxhash64("_key"), "_key").limit(sample)
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(picked), "_key")
+    rows = bounded(docs).select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(picked), "_key")
     # Rows that share a key are one document, so that the sample is bounded however often a key repeats.
     rows = rows.groupBy("_key", "label").agg(F.min("_text").alias("_text"))
     found = rows.select(F.xxhash64("_key", "_text").alias("h"), "_text", F.col("label").cast("double")).mapInArrow(
@@ -194,6 +194,6 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
             rows = np.stack([term_counts(t.as_py()) for t in batch.column(1)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held.value.score(rows), pa.float64())], ["_key", "score"])
 
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    rows = bounded(docs).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = dict(rows.dtypes)["_key"]
     return rows.mapInArrow(run, f"_key {kind}, score double").withColumnRenamed("_key", key)

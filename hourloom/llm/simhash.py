@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourloom.llm.base import small_batches, stored
+from hourloom.llm.base import bounded, small_batches, stored
 from hourloom.llm.components import components
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
@@ -69,7 +69,7 @@ def _fingerprints(shingle: int):
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(_key, _fp) of every row."""
-    rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
+    rows = bounded(docs).select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
     return rows.mapInArrow(_fingerprints(shingle), "_key long, _fp long")
 
 

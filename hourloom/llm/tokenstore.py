@@ -32,7 +32,7 @@ from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm.base import Remembered, cut_points, file_bytes, range_of, shared_folder, small_batches, stored, worker_cache
+from hourloom.llm.base import Remembered, bounded, cut_points, file_bytes, range_of, shared_folder, small_batches, stored, worker_cache
 
 MAGIC = b"HLTOKS01"
 SHARD_BYTES = 8 << 20  # of text, on average
@@ -351,7 +351,7 @@ def write_store(
     """Encode, write the shards and return the store. ``width`` is 2 for ids below 65536, else 4."""
     spark: SparkSession = docs.sparkSession
     held = spark.sparkContext.broadcast(file_bytes(tokenizer))
-    rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
+    rows = bounded(docs).select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     cuts = cut_points(rows, "_key", max(1, -(-size // shard_bytes_wanted)))
     folder = shared_folder(spark, "tokens")

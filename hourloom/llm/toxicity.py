@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourloom.llm.base import small_batches, worker_cache
+from hourloom.llm.base import bounded, small_batches, worker_cache
 
 WINDOW, STRIDE = 32, 28
 SAMPLE = 2000  # bound of the labelled sample, in documents of each class
@@ -376,7 +376,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
     marked = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & learn).groupBy(F.col(key).alias("_key")).agg(F.max(label).alias("label"))
     sizes = {int(r["label"]): r["count"] for r in marked.groupBy("label").count().collect()}
     parts = [marked.filter(F.col("label") == y).orderBy(F.xxhash64("_key"), "_key").limit(sample) for y in (0, 1)]
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(parts[0].union(parts[1])), "_key")
+    rows = bounded(docs).select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(parts[0].union(parts[1])), "_key")
     # Rows that share a key are one document, so that the sample is bounded however often a key repeats.
     rows = rows.groupBy("_key", "label").agg(F.min("_text").alias("_text"))
     most = TRAIN_WINDOWS * STRIDE + WINDOW
@@ -410,6 +410,6 @@ def predict(docs: DataFrame, net: Network, key: str = "doc_id", text: str = "tex
             scores = scorer.scores(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["_key", "score"])
 
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    rows = bounded(docs).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = dict(rows.dtypes)["_key"]
     return rows.mapInArrow(run, f"_key {kind}, score double").withColumnRenamed("_key", key)
