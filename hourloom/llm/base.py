@@ -72,17 +72,11 @@ def file_bytes(path: str, limit: int = 16 << 20) -> bytes:
 
 
 def worker_cache(key: tuple, make: Callable[[], Any]) -> Any:
-    """An object built once per Python worker; workers outlive jobs, so they hold two objects at most.
-
-    The first part of the key names the kind; a new object of a kind replaces the old one.
-    """
+    """An object built once per Python worker; workers outlive jobs, so they hold one object at a time."""
     held = sys.__dict__.setdefault("_hourloom_llm_cache", {})
     if key not in held:
-        for old in [k for k in held if k[0] == key[0]] or list(held)[: max(0, len(held) - 1)]:
-            del held[old]
+        held.clear()
         held[key] = make()
-    else:
-        held[key] = held.pop(key)
     return held[key]
 
 
