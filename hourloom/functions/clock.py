@@ -117,12 +117,6 @@ def within_edges(c: Column | str, edges: list[tuple[str, datetime, datetime]]) -
     return reduce(Column.__or__, hits, F.lit(False))
 
 
-def localized(c: Column | str, tz: str) -> Column:
-    """The wall-clock time, or null where it does not name exactly one instant."""
-    c = _col(c)
-    return F.when(is_nonexistent(c, tz) | is_ambiguous(c, tz), None).otherwise(c)
-
-
 def instant_to_wall(c: Column | str, tz: str) -> Column:
     """Text with a UTC offset (or a TIMESTAMP) to the wall clock of ``tz``."""
     seconds = (F.unix_micros(_col(c).cast("timestamp")) / 1_000_000).cast("decimal(18,6)")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 
+from pyspark import SparkContext
 from pyspark.ml import PipelineModel
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,9 +91,8 @@ def fit_gbt(
     """Gradient-boosted trees, stopped early on ``val``.
 
     Boosting is sequential and seeded, so a run of fewer rounds is a prefix of a longer one. Runs
-    grow twofold until the validation error has not improved for ``patience`` rounds, and the model
-    is then cut at its best round. That costs at most a small multiple of the final model, while
-    the stop follows the patience rule to the letter.
+    grow threefold until the validation error has not improved for ``patience`` rounds, and the
+    model keeps the trees up to its best round. The stop follows the patience rule to the letter.
     """
     assemble = assembler(features)
     keep = ["features", label]
@@ -121,9 +121,9 @@ def fit_gbt(
                 break
             kept, stopped = best_round(model.evaluateEachIteration(check, "squared"), patience)
             if stopped or n >= rounds:
-                model = model if kept == n else boost(kept)
+                model = first_trees(model, kept)
                 break
-            n = min(rounds, 2 * n)
+            n = min(rounds, 3 * n)
     finally:
         data.unpersist()
         if check is not None:
@@ -131,6 +131,24 @@ def fit_gbt(
     return PipelineModel([assemble, model])
 
 
+def first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
+    """The ensemble of the first n trees, as a run of n rounds would have given."""
+    if n >= model.getNumTrees:
+        return model
+    context, java = SparkContext._active_spark_context, model._java_obj
+    ml = context._jvm.org.apache.spark.ml.regression
+    kept = context._gateway.new_array(ml.DecisionTreeRegressionModel, n)
+    weights = context._gateway.new_array(context._gateway.jvm.double, n)
+    for i, (tree, weight) in enumerate(zip(list(java.trees())[:n], list(java.treeWeights())[:n])):
+        kept[i], weights[i] = tree, weight
+    cut = GBTRegressionModel(ml.GBTRegressionModel(java.uid(), kept, weights, java.numFeatures()))
+    for param in model.params:
+        if model.isSet(param):
+            cut._set(**{param.name: model.getOrDefault(param)})
+    cut._transfer_params_to_java()
+    return cut
+
+
 def depth_for_leaves(leaves: int) -> int:
     """Depth of the smallest full tree with that many leaves."""
     return max(1, math.ceil(math.log2(leaves)))

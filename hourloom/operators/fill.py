@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from hourloom.functions import clock
 
 _BLOCK = "_fill_block"
-ONE_WINDOW_ROWS = 200_000
 
 
 def forward_fill(
@@ -16,22 +15,14 @@ def forward_fill(
     ts: str,
     cols: list[str],
     default: float | None = None,
-    max_rows: int | None = None,
     block_days: int = 90,
 ) -> DataFrame:
     """Last non-null value up to each row; ``default`` before the first one.
 
-    Meant for a table of one row per time step. A timeline known to be short (``max_rows``) is
-    filled by one window. Else it is cut into blocks: values are carried inside each block by its
-    own window, and from block to block over one row per block.
+    Meant for a table of one row per time step. The timeline is cut into blocks: values are carried
+    inside each block by its own window, and from block to block over one row per block, of which a
+    century has about 400 at the default length.
     """
-    if max_rows is not None and max_rows <= ONE_WINDOW_ROWS:
-        upto = Window.orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
-        known = {c: F.last(c, ignorenulls=True).over(upto) for c in cols}
-        if default is not None:
-            kinds = {c: df.schema[c].dataType for c in cols}
-            known = {c: F.coalesce(v, F.lit(default).cast(kinds[c])) for c, v in known.items()}
-        return df.withColumns(known)
     blocked = df.withColumn(_BLOCK, clock.block_of(ts, block_days))
     inside = Window.partitionBy(_BLOCK).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
@@ -48,4 +39,4 @@ def forward_fill(
     filled = {
         c: F.coalesce(F.col(c), F.col(f"_in_{c}"), *tail).cast(df.schema[c].dataType) for c in cols
     }
-    return local.join(carried, _BLOCK, "left").withColumns(filled).select(*df.columns)
+    return local.join(F.broadcast(carried), _BLOCK, "left").withColumns(filled).select(*df.columns)

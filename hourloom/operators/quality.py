@@ -68,8 +68,3 @@ def describe_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
         )
     )
     return moments.join(quartiles, "column_name", "left")
-
-
-def weather_gaps(hourly: DataFrame, col: str = "temperature") -> DataFrame:
-    """Rows whose weather is missing."""
-    return hourly.agg(F.count_if(F.col(col).isNull()).alias("n_missing"), F.count("*").alias("n_rows"))

@@ -1,15 +1,19 @@
-"""Exact quantiles with linear interpolation, without gathering the values."""
+"""Exact quantiles with linear interpolation, without gathering or sorting the values."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Rank error of the bracketing sketch is at most n / ACCURACY; the bracket leaves SLACK * n.
+# Rank error of the bracketing sketch is at most n / ACCURACY; the first bracket leaves SLACK * n.
 ACCURACY = 10_000
 SLACK = 0.002
-# Below this many values the bracket is simply [min, max].
-SMALL = 10_000
+# Slices that a bracket is cut into in each pass, and groups that may be asked for.
+SLICES = 256
+MOST_GROUPS = 10_000
 
 
 def exact_quantiles(
@@ -17,57 +21,91 @@ def exact_quantiles(
 ) -> DataFrame:
     """Rows (by..., prob, quantile).
 
-    A sketch first brackets each quantile. Values below the bracket are then only counted and
-    values above it dropped; what remains to be ranked is the bracket, a fixed small share of the
-    distinct values. The answer is exact for any input. ``by`` should name few groups.
+    A sketch first brackets each wanted rank. Every further pass counts the values below the
+    bracket and in equal slices of it, and goes on with the slice that holds the rank, until that
+    slice is a single value. Only counts per slice leave the tasks, so no task and no window ever
+    sees the values of a group, whatever their number; the answer is exact for any input.
+    Null values are left out. ``by`` should name few groups; they are brought to the driver.
     """
     by = by or []
-    x = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    n = F.count("*")
-
-    def bracket(shifted: list[float], all_: str):
-        sketch = F.percentile_approx("_v", [min(max(q, 0.0), 1.0) for q in shifted], ACCURACY)
-        whole = F.array_repeat(F.min("_v") if all_ == "min" else F.max("_v"), len(probs))
-        return F.when(n < SMALL, whole).otherwise(sketch)
+    spark = df.sparkSession
+    x = df.where(F.col(value).isNotNull()).select(
+        *by, F.col(value).cast("double").alias("_v")
+    )
+    clipped = [min(max(q + d, 0.0), 1.0) for q in probs for d in (-SLACK, SLACK)]
+    sketch = F.percentile_approx("_v", clipped or [0.5], ACCURACY).alias("_edges")
+    limits = [F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), sketch]
+    groups = x.groupBy(*by).agg(*limits).limit(MOST_GROUPS + 1).collect()
+    if len(groups) > MOST_GROUPS:
+        raise ValueError(f"quantiles of over {MOST_GROUPS} groups; aggregate them in parts")
+    groups = [g for g in groups if g["_n"]]
 
-    brackets = [
-        n.alias("_n"),
-        bracket([q - SLACK for q in probs], "min").alias("_lo"),
-        bracket([q + SLACK for q in probs], "max").alias("_hi"),
-    ]
-    if by:
-        tagged = x.join(x.groupBy(*by).agg(*brackets), by)
-    else:
-        one = x.agg(*brackets).select(F.struct("_n", "_lo", "_hi")).scalar()
-        tagged = x.withColumn("_b", one).select("_v", "_b._n", "_b._lo", "_b._hi")
+    open_, found = {}, {}
+    for g, row in enumerate(groups):
+        for i, q in enumerate(probs):
+            pos = q * (row["_n"] - 1)
+            for rank in {math.floor(pos), math.ceil(pos)}:
+                open_[g, rank] = (row["_edges"][2 * i], row["_edges"][2 * i + 1])
+    first = True
+    while open_:
+        counts = _slice_counts(x, by, groups, open_)
+        again = {}
+        for (g, rank), (lo, hi) in open_.items():
+            below, slices = counts.get((g, rank), (0, []))
+            if first and not below <= rank < below + sum(n for n, _, _ in slices):
+                # The sketch missed: start from the whole range.
+                again[g, rank] = (groups[g]["_min"], groups[g]["_max"])
+                continue
+            for n, least, most in slices:
+                if rank < below + n:
+                    if least == most:
+                        found[g, rank] = least
+                    else:
+                        again[g, rank] = (least, most)
+                    break
+                below += n
+        first = False
+        open_ = again
 
-    probe = F.posexplode(F.array(*[F.lit(float(q)) for q in probs])).alias("_i", "prob")
-    lo, hi = (F.element_at(c, F.col("_i") + 1) for c in ("_lo", "_hi"))
-    counted = (
-        tagged.select(*by, "_v", "_n", "_lo", "_hi", probe)
-        .where(F.col("_v") <= hi)
-        .select(*by, "prob", "_n", F.when(F.col("_v") >= lo, F.col("_v")).alias("_v"))
-        .groupBy(*by, "prob", "_n", "_v")
-        .agg(F.count("*").alias("_c"))
-    )
-    upto = (
-        Window.partitionBy(*by, "prob")
-        .orderBy(F.asc_nulls_first("_v"))
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    pos = F.col("prob") * (F.col("_n") - 1)
+    rows = []
+    for g, row in enumerate(groups):
+        for q in probs:
+            pos = q * (row["_n"] - 1)
+            a, z = found[g, math.floor(pos)], found[g, math.ceil(pos)]
+            rows.append((*[row[c] for c in by], float(q), a + (z - a) * (pos - math.floor(pos))))
+    fields = [df.schema[c] for c in by]
+    schema = T.StructType([*fields, T.StructField("prob", T.DoubleType()), T.StructField("quantile", T.DoubleType())])
+    return spark.createDataFrame(rows, schema)
 
-    def at(rank):
-        return F.max(F.when((rank >= F.col("_end") - F.col("_c")) & (rank < F.col("_end")), F.col("_v")))
 
-    return (
-        counted.withColumn("_end", F.sum("_c").over(upto))
-        .withColumn("_pos", pos)
-        .groupBy(*by, "prob")
-        .agg(
-            at(F.floor("_pos")).alias("_a"),
-            at(F.ceil("_pos")).alias("_z"),
-            F.max(F.col("_pos") - F.floor("_pos")).alias("_f"),
-        )
-        .select(*by, "prob", (F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_f")).alias("quantile"))
+def _slice_counts(x: DataFrame, by: list[str], groups: list, open_: dict) -> dict:
+    """For each (group, rank): values below its bracket, and (count, least, most) of its slices."""
+    kinds = "_g int, _r long, _lo double, _hi double"
+    brackets = [(*[groups[g][c] for c in by], g, r, lo, hi) for (g, r), (lo, hi) in open_.items()]
+    fields = [T.StructField(f"_b{i}", x.schema[c].dataType) for i, c in enumerate(by)]
+    schema = T.StructType([*fields, *T._parse_datatype_string(kinds).fields])
+    side = F.broadcast(x.sparkSession.createDataFrame(brackets, schema))
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_b{i}"))
+    # Halves, so that the width of a bracket stays finite.
+    width = F.col("_hi") / 2 - F.col("_lo") / 2
+    at = F.floor((F.col("_v") / 2 - F.col("_lo") / 2) / width * SLICES)
+    slice_ = (
+        F.when(F.col("_v") < F.col("_lo"), -1).when(width <= 0, 0)
+        .otherwise(F.greatest(F.lit(0), F.least(F.lit(SLICES - 1), at)))
+    )
+    counted = (
+        x.join(side, same & (F.col("_v") <= F.col("_hi")))
+        .groupBy("_g", "_r", slice_.alias("_s"))
+        .agg(F.count("*").alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+        .collect()
     )
+    out: dict = {}
+    for row in sorted(counted, key=lambda row: row["_s"]):
+        below, slices = out.setdefault((row["_g"], row["_r"]), (0, []))
+        if row["_s"] < 0:
+            out[row["_g"], row["_r"]] = (row["_n"], slices)
+        else:
+            slices.append((row["_n"], row["_least"], row["_most"]))
+    return out

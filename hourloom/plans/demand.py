@@ -32,12 +32,10 @@ def hours_of(counts: DataFrame, ts: str = "datetime", value: str = "departures")
     return counts.groupBy(ts).agg(F.expr(f"sum({value}) AS _n")).where("_n > 0").select(ts)
 
 
-def hour_dim(
-    hours: DataFrame, weather: DataFrame, holidays: DataFrame, max_rows: int | None = None
-) -> DataFrame:
+def hour_dim(hours: DataFrame, weather: DataFrame, holidays: DataFrame) -> DataFrame:
     """Weather and holiday flag per time step; gaps in the weather take the step before."""
     joined = join_hourly(hours, weather)
-    filled = forward_fill(joined, "datetime", S.WEATHER_COLS, max_rows=max_rows)
+    filled = forward_fill(joined, "datetime", S.WEATHER_COLS)
     return flag_dates(filled, holidays)
 
 
@@ -53,7 +51,7 @@ def hourly_demand(
 
     ``counts`` are the station-hours with departures, ``dim`` the (id, name) dimension.
     """
-    hours = hour_dim(hours_of(counts), weather, holidays, span.n_steps)
+    hours = hour_dim(hours_of(counts), weather, holidays)
     placed = join_dim(counts, dim, dedupe=dedupe)
     return join_span(placed, hours, span).select(*S.HOURLY_DEMAND.names)
 
@@ -105,7 +103,7 @@ def features(
     nothing, and comes before the split, so reading one split stays a matter of partition pruning.
     """
     stations = join_dim(keys_of(counts), dim)
-    hours = hour_dim(hours_of(counts), weather, holidays, span.n_steps)
+    hours = hour_dim(hours_of(counts), weather, holidays)
     if filled:
         hours = filled_hours(hours, span)
     return feature_panel(stations, counts, hours, span, train_end, val_end)
@@ -139,9 +137,7 @@ def features_from_hourly(hourly: DataFrame, span: Span, train_end: str, val_end:
 def filled_hours(hours: DataFrame, span: Span, lags: tuple[int, ...] = LAGS) -> DataFrame:
     """Hour attributes for every step that has lags: last known value, 0 before the first one."""
     all_steps = span.hours(hours).where(f"datetime >= {span.first} + {span.steps(max(lags))}")
-    return forward_fill(
-        join_hourly(all_steps, hours), "datetime", S.HOUR_COLS, default=0, max_rows=span.n_steps
-    )
+    return forward_fill(join_hourly(all_steps, hours), "datetime", S.HOUR_COLS, default=0)
 
 
 def refill(features: DataFrame, span: Span) -> DataFrame:

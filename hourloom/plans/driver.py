@@ -13,8 +13,6 @@ from hourloom.operators.panel import Span
 from hourloom.plans import demand
 
 TZ = "America/New_York"
-SPAN = Span("2024-01-01 00:00:00", "2024-01-30 23:00:00")
-LO, HI = "2024-01-01 00:00:00", "2024-01-30 23:59:59"
 TRAIN_END, VAL_END = "2024-01-22", "2024-01-27"
 HOLIDAY_DATES = {"2024-01-01": "New Year's Day", "2024-01-15": "Martin Luther King Jr. Day"}
 # Days that put a January day on the spring and on the autumn clock change of 2024.
@@ -28,6 +26,7 @@ SCHEMAS = {
     "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, "
     "c_mktsegment string",
     "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
     "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
     "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
     "o_orderdate timestamp_ntz, o_orderpriority string",
@@ -41,6 +40,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def span(spark: SparkSession, sf_dir: str) -> Span:
+    """The whole days that the events cover, from one aggregate."""
+    lo, hi = table(spark, sf_dir, "events").agg(F.min("ts"), F.max("ts")).first()
+    return Span(f"{lo:%Y-%m-%d} 00:00:00", f"{hi:%Y-%m-%d} 23:00:00")
+
+
+def cleaned(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    days = span(spark, sf_dir)
+    return demand.clean(rows, days.lo, f"{days.hi[:10]} 23:59:59.999999", TZ)
+
+
 def rides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as trips, without station names. Every 50th user is renamed late in the range."""
     k = "CAST(get_json_object(props, '$.k') AS int)"
@@ -68,12 +78,12 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Departures per station and hour. Names play no part, so the log is not joined."""
-    return hourly_counts(demand.clean(rides(spark, sf_dir), LO, HI, TZ))
+    return hourly_counts(cleaned(spark, sf_dir, rides(spark, sf_dir)))
 
 
 def dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, name) dimension. The log is aggregated first; names join one row per entity."""
-    clean = demand.clean(rides(spark, sf_dir), LO, HI, TZ)
+    clean = cleaned(spark, sf_dir, rides(spark, sf_dir))
     places = modal_dim(clean, ["user_id", "start_station_id", "moved"], ["start_lat", "start_lng"])
     return with_names(spark, sf_dir, places, "station_name").select(
         F.col("start_station_id").alias("station_id"), "station_name", "start_lat", "start_lng"
@@ -82,7 +92,7 @@ def dim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shifted_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trips moved onto the spring and, once more, onto the autumn clock change."""
-    base = trips(spark, sf_dir)
+    base = rides(spark, sf_dir).select("ride_id", "started_at", "start_station_id")
     days = F.explode(F.array(F.lit(SPRING_DAYS), F.lit(FALL_DAYS))).alias("_days")
     return (
         base.select("*", days)
@@ -112,13 +122,10 @@ def holidays(spark: SparkSession) -> DataFrame:
     return spark.range(1).selectExpr(f"inline(array({rows}))")
 
 
-def clean_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return demand.clean(trips(spark, sf_dir), LO, HI, TZ)
-
-
 def hourly(spark: SparkSession, sf_dir: str, dedupe: bool = True) -> DataFrame:
     return demand.hourly_demand(
-        counts(spark, sf_dir), dim(spark, sf_dir), weather(spark, sf_dir), holidays(spark), SPAN, dedupe
+        counts(spark, sf_dir), dim(spark, sf_dir), weather(spark, sf_dir), holidays(spark),
+        span(spark, sf_dir), dedupe,
     )
 
 
@@ -128,7 +135,7 @@ def features(spark: SparkSession, sf_dir: str, filled: bool = False) -> DataFram
         dim(spark, sf_dir),
         weather(spark, sf_dir),
         holidays(spark),
-        SPAN,
+        span(spark, sf_dir),
         TRAIN_END,
         VAL_END,
         filled,
@@ -175,7 +182,10 @@ def supplier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SUPPLIER_SPAN = Span("1995-01-01 00:00:00", "2001-12-31 00:00:00", "day", block_days=365)
+def supplier_span(spark: SparkSession, sf_dir: str) -> Span:
+    """The whole years in which items were shipped."""
+    lo, hi = table(spark, sf_dir, "lineitem").agg(F.min("l_shipdate"), F.max("l_shipdate")).first()
+    return Span(f"{lo:%Y}-01-01 00:00:00", f"{hi:%Y}-12-31 00:00:00", "day", block_days=365)
 
 
 def events_as_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

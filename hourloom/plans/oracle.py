@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 
 from hourloom import schema as S
-from hourloom.operators.calendar import US_NY_RULES
 
 TRAIN_END, VAL_END = "TIMESTAMP '2024-01-22'", "TIMESTAMP '2024-01-27'"
-LO, HI = "TIMESTAMP '2024-01-01 00:00:00'", "TIMESTAMP '2024-01-30 23:00:00'"
+LO = "(SELECT date_trunc('day', min(ts)) FROM events)"
+HI = "(SELECT date_trunc('day', max(ts)) + INTERVAL 23 HOUR FROM events)"
 TZ = "'America/New_York'"
 HOLIDAYS = "(DATE '2024-01-01', DATE '2024-01-15')"
 
@@ -119,13 +119,28 @@ COMMON = {
     "fractions": "SELECT unnest([{}]) AS fraction".format(
         ", ".join(f"CAST({f} AS DOUBLE)" for f in S.FRACTIONS)
     ),
+    "curve_ranked": """
+        SELECT departures, lag_1h, lag_24h,
+               row_number() OVER (ORDER BY md5(station_id || '|' || CAST(datetime AS VARCHAR) || '|42'),
+                                           station_id, datetime) AS k
+        FROM features WHERE split = 'train'""",
+    "curve_samples": """
+        SELECT fraction, CAST(floor((SELECT count(*) FROM curve_ranked) * fraction) AS BIGINT) AS n_rows
+        FROM fractions""",
+    "curve_points": """
+        SELECT 'ridge_lag_1h' AS model, fraction, n_rows, departures, lag_1h AS x FROM curve_samples JOIN curve_ranked ON k <= n_rows""",
+    "curve_slopes": """
+        SELECT model, fraction, n_rows, avg(departures) AS my, avg(x) AS mx,
+               covar_pop(departures, x) * count(*) / (var_pop(x) * count(*) + 50.0::DOUBLE) AS w
+        FROM curve_points GROUP BY 1, 2, 3""",
     "runs": """
-        SELECT model, fraction,
-               CAST(floor((SELECT count(*) FROM features WHERE split = 'train') * fraction) AS BIGINT)
-                   AS n_rows,
-               round(rmse_val, 6) + (1 - fraction) * CAST(0.125 AS DOUBLE) AS val_rmse,
-               round(rmse_test, 6) + (1 - fraction) * CAST(0.25 AS DOUBLE) AS test_rmse
-        FROM wide CROSS JOIN fractions""",
+        SELECT model, round(fraction, 2) AS fraction, n_rows,
+               round(sqrt(avg((p - departures) ** 2) FILTER (WHERE split = 'val')), 4) AS val_rmse,
+               round(sqrt(avg((p - departures) ** 2) FILTER (WHERE split = 'test')), 4) AS test_rmse
+        FROM (SELECT model, fraction, n_rows, split, departures,
+                     greatest(0, my + w * (lag_1h - mx)) AS p
+              FROM curve_slopes CROSS JOIN (SELECT * FROM features WHERE split <> 'train'))
+        GROUP BY 1, 2, 3""",
     "entities": """
         SELECT station_id, min(station_name) AS station_name, min(start_lat) AS lat, min(start_lng) AS lng,
                sqrt(avg((pred - departures) ** 2)) AS rmse, avg(departures) AS mean_demand,
@@ -171,23 +186,31 @@ COMMON = {
                    lag(items, 2) OVER w AS lag_2d, lag(items, 7) OVER w AS lag_7d
             FROM (SELECT supplier_id, day, coalesce(items, 0) AS items
                   FROM (SELECT DISTINCT supplier_id FROM supplier_days)
-                  CROSS JOIN (SELECT CAST(unnest(generate_series(TIMESTAMP '1995-01-01',
-                              TIMESTAMP '2001-12-31', INTERVAL 1 DAY)) AS TIMESTAMP) AS day)
+                  CROSS JOIN (SELECT CAST(unnest(generate_series(
+                              (SELECT date_trunc('year', min(l_shipdate)) FROM lineitem),
+                              (SELECT date_trunc('year', max(l_shipdate)) + INTERVAL 1 YEAR - INTERVAL 1 DAY
+                               FROM lineitem), INTERVAL 1 DAY)) AS TIMESTAMP) AS day)
                   LEFT JOIN supplier_days USING (supplier_id, day))
             WINDOW w AS (PARTITION BY supplier_id ORDER BY day))
         WHERE lag_7d IS NOT NULL""",
-    "rules": "SELECT * FROM (VALUES {}) AS r(name, kind, m, d, w, shift, observed)".format(
-        ", ".join(
-            "({})".format(
-                ", ".join(
-                    "NULL" if x is None else str(x).upper() if isinstance(x, bool)
-                    else "'{}'".format(x.replace("'", "''")) if isinstance(x, str) else str(x)
-                    for x in rule
-                )
-            )
-            for rule in US_NY_RULES
-        )
-    ),
+    # Name, kind, month, day, weekday, shift, observed, first year.
+    "rules": """
+        SELECT * FROM (VALUES
+            ('New Year''s Day', 'date', 1, 1, NULL, 0, true, 0),
+            ('Martin Luther King Jr. Day', 'nth', 1, 3, 0, 0, false, 1986),
+            ('Lincoln''s Birthday', 'date', 2, 12, NULL, 0, true, 0),
+            ('Susan B. Anthony Day', 'date', 2, 15, NULL, 0, false, 2004),
+            ('Washington''s Birthday', 'nth', 2, 3, 0, 0, false, 0),
+            ('Memorial Day', 'last', 5, NULL, 0, 0, false, 0),
+            ('Juneteenth National Independence Day', 'date', 6, 19, NULL, 0, true, 2021),
+            ('Independence Day', 'date', 7, 4, NULL, 0, true, 0),
+            ('Labor Day', 'nth', 9, 1, 0, 0, false, 0),
+            ('Columbus Day', 'nth', 10, 2, 0, 0, false, 0),
+            ('Election Day', 'nth', 11, 1, 0, 1, false, 0),
+            ('Veterans Day', 'date', 11, 11, NULL, 0, true, 0),
+            ('Thanksgiving', 'nth', 11, 4, 3, 0, false, 0),
+            ('Christmas Day', 'date', 12, 25, NULL, 0, true, 0)
+        ) AS r(name, kind, m, d, w, shift, observed, since)""",
 }
 
 
@@ -212,7 +235,7 @@ DATED = """
                  + to_days(CAST((w - (isodow(make_date(y, m, 1)) - 1) + 7) % 7 + 7 * (d - 1) AS INTEGER))
             ELSE last_day(make_date(y, m, 1))
                  - to_days(CAST((isodow(last_day(make_date(y, m, 1))) - 1 - w + 7) % 7 AS INTEGER)) END AS base
-        FROM rules CROSS JOIN (SELECT unnest(generate_series(lo - 1, hi + 1)) AS y FROM span)))"""
+        FROM rules CROSS JOIN (SELECT unnest(generate_series(lo - 1, hi + 1)) AS y FROM span) WHERE y >= since))"""
 
 
 def _needed(text: str, names: list[str]) -> set[str]:
@@ -383,9 +406,20 @@ ORACLES: dict[str, str] = {
     "holiday_events": _calendar("events", "ts"),
     "order_year_holidays": _calendar("orders", "o_orderdate"),
     "pending_archives": f"""
-        SELECT path, month FROM ({RAW_MONTHS.format(c='o_orderdate', t='orders')})
-        WHERE month NOT IN (SELECT strftime(l_shipdate, '%Y%m') FROM lineitem
-                            WHERE l_shipdate < TIMESTAMP '1999-01-01')""",
+        SELECT path, month FROM ({RAW_MONTHS.format(c='l_shipdate', t='lineitem')})
+        WHERE month NOT IN (SELECT strftime(o_orderdate, '%Y%m') FROM orders)""",
+    "zip_outcomes": """
+        SELECT 'whole' AS kind, 'none' AS problem, CAST(4 AS BIGINT) AS n, count(*) AS n_rows FROM events
+        UNION ALL SELECT 'cut', 'cannot read', 4, 0
+        UNION ALL SELECT 'odd', 'none', 4, 8
+        UNION ALL SELECT 'odd', 'missing columns', 4, 0""",
+    "pending_zip_members": """
+        SELECT month_key, CAST(1 AS BIGINT) AS n FROM (VALUES ('202402'), ('202404')) AS m(month_key)""",
+    "csv_outcomes": """
+        SELECT kind, 'none' AS problem, count(*) AS n_rows
+        FROM events CROSS JOIN (VALUES ('whole'), ('packed')) AS k(kind) GROUP BY 1
+        UNION ALL SELECT 'cut', 'cannot read', 0
+        UNION ALL SELECT 'odd', 'missing columns', 0""",
     "appended_results": sql(f"SELECT model, split, {r('rmse')}, {r('mae')} FROM metrics"),
     "best_params_json": sql(
         f"""SELECT {r('rmse', 'best_val_rmse')}, model, {r('mae')} FROM metrics WHERE split = 'val'
@@ -467,8 +501,8 @@ ORACLES: dict[str, str] = {
     "zero_filled_grid": sql(f"SELECT station_id, {text('datetime')}, departures FROM grid"),
     "density_report": sql(
         """SELECT count(DISTINCT station_id) AS n_keys, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_duplicates,
-                  count(DISTINCT station_id) * 720 AS n_expected,
-                  count(*) = count(DISTINCT station_id) * 720 AS is_dense FROM grid"""
+                  count(DISTINCT station_id) * (SELECT count(*) FROM steps) AS n_expected,
+                  count(*) = count(DISTINCT station_id) * (SELECT count(*) FROM steps) AS is_dense FROM grid"""
     ),
     "lagged_panel": sql(f"SELECT station_id, {text('datetime')}, departures, {LAGS} FROM lagged"),
     "daily_item_panel": sql(
@@ -526,16 +560,41 @@ ORACLES: dict[str, str] = {
             SELECT 'lag_24h', split, {r('rmse')}, {r('mae')} FROM metrics WHERE model = 'blend'"""
     ),
     "pending_runs": sql(
-        f"SELECT model, {r('fraction')} FROM runs WHERE NOT (model = 'lag_1h' AND fraction < 0.5)"
+        f"""SELECT model, {r('fraction')} FROM fractions
+            CROSS JOIN (VALUES ('ridge_lag_1h')) AS m(model)
+            WHERE fraction > {S.FRACTIONS[1]}"""
     ),
     "curve_table": sql(f"SELECT model, n_rows, {r('val_rmse')}, {r('test_rmse')} FROM runs"),
-    "curve_endpoints": sql(
-        f"SELECT model, n_rows, {r('val_rmse')} FROM runs WHERE fraction = 1"
-    ),
+    "curve_endpoints": sql(f"SELECT model, n_rows, {r('val_rmse')} FROM runs WHERE fraction = 1"),
     "curve_ticks": sql(
         """SELECT model, string_agg(CAST(n_rows AS VARCHAR), ',' ORDER BY n_rows) AS ticks
-           FROM runs GROUP BY 1"""
+           FROM curve_samples CROSS JOIN (VALUES ('ridge_lag_1h')) AS m(model) GROUP BY 1"""
+    ),
+    "ridge_normal_equations": "SELECT term, false AS is_off FROM (VALUES ('intercept'), {}) AS t(term)".format(
+        ", ".join(f"('{c}')" for c in S.FEATURES)
+    ),
+    **{
+        name: sql(
+            f"""SELECT '{model}' AS model, split, count(*) AS n, CAST(0 AS BIGINT) AS n_negative,
+                       CAST(0 AS BIGINT) AS n_missing, true AS beats_naive
+                FROM features WHERE split IN ('val', 'test') GROUP BY split"""
+        )
+        for name, model in {
+            "forest_scores": "forest", "boost_scores": "boost", "boost_leaves_scores": "leaves",
+            "mlp_scores": "mlp", "best_trial_refit": "tuned",
+        }.items()
+    },
+    "feature_importance": " UNION ALL ".join(
+        f"""SELECT '{c}' AS feature, '{S.FEATURE_LABELS.get(c, c)}' AS label, CAST(100 AS DOUBLE) AS gain_total,
+                   CAST(100 AS DOUBLE) AS splits_total, CAST(3 AS BIGINT) AS n_top, true AS is_counted"""
+        for c in S.FEATURES
+    ),
+    "saved_model_scores": sql(
+        "SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_differing FROM features WHERE split = 'test'"
     ),
+    "hyper_parameter_search": """
+        SELECT CAST(trial AS BIGINT) AS trial, true AS in_space, true AS not_better
+        FROM (VALUES (0), (1)) AS t(trial)""",
     "labelled_shares": f"""
         SELECT feature, splits, {r('gain')},
                CASE feature WHEN 'click' THEN 'Click' WHEN 'view' THEN 'View'
@@ -544,9 +603,9 @@ ORACLES: dict[str, str] = {
                row_number() OVER (ORDER BY gain DESC, feature) <= 3 AS is_top
         FROM (SELECT event_type AS feature, count(*) AS splits, sum(value) AS gain FROM events GROUP BY 1)""",
     "label_table": """
-        SELECT CAST(feature AS BIGINT) AS feature, n, coalesce(r_name, CAST(feature AS VARCHAR)) AS label
+        SELECT CAST(feature AS BIGINT) AS feature, n, coalesce(n_name, CAST(feature AS VARCHAR)) AS label
         FROM (SELECT c_nationkey AS feature, count(*) AS n FROM customer GROUP BY 1)
-        LEFT JOIN region ON feature = r_regionkey""",
+        LEFT JOIN nation ON feature = n_nationkey AND n_regionkey < 4""",
     "report_labels": """
         SELECT hour, lpad(CAST(hour AS VARCHAR), 2, '0') || ':00' AS clock,
                ['Mon','Tue','Wed','Thu','Fri','Sat','Sun'][hour % 7 + 1] AS weekday,

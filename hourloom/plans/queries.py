@@ -9,7 +9,6 @@ from __future__ import annotations
 import zipfile
 from collections.abc import Callable
 from contextlib import ExitStack
-from datetime import datetime
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -115,7 +114,7 @@ def features_from_stored_hourly(spark, sf):
     path = shared_dir(spark, "hourly")
     sinks.write_hourly(driver.hourly(spark, sf), path, driver.TZ)
     stored = tables.read_hourly(spark, f"{path}/*.csv", driver.TZ)
-    return demand.features_from_hourly(stored, driver.SPAN, driver.TRAIN_END, driver.VAL_END)
+    return demand.features_from_hourly(stored, driver.span(spark, sf), driver.TRAIN_END, driver.VAL_END)
 
 
 @query
@@ -148,7 +147,7 @@ def weather_payload(spark, sf):
 
 def _write_zips(rows: DataFrame, base: str) -> None:
     """Each partition streams its rows into an archive of its own; odd ones into a zip in a zip."""
-    names = rows.columns
+    names, address = rows.columns, archives.store_uri(base)
 
     def write(batches):
         import pandas as pd
@@ -157,7 +156,7 @@ def _write_zips(rows: DataFrame, base: str) -> None:
 
         part = TaskContext.get().partitionId()
         month = f"2024{part % 12 + 1:02d}"
-        system, path = fs.FileSystem.from_uri(base if "://" in base else f"file://{base}")
+        system, path = fs.FileSystem.from_uri(address)
         system.create_dir(path)
         n = 0
         with ExitStack() as stack:
@@ -184,6 +183,84 @@ def zipped_csv_scan(spark, sf):
     return archives.read_zipped_csv(spark, f"{base}/*.zip")
 
 
+def _broken_copies(batches):
+    """Beside each archive one cut at half its bytes, and one whose rows and header are damaged."""
+    import pandas as pd
+    from pyarrow import fs
+
+    for batch in batches:
+        for address in batch["address"]:
+            system, path = fs.FileSystem.from_uri(address)
+            with system.open_input_file(path) as f:
+                data = f.read()
+            stem = path.removesuffix(".zip")
+            with system.open_output_stream(f"{stem}-cut.zip") as f:
+                f.write(data[: len(data) // 2])
+            with system.open_output_stream(f"{stem}-odd.zip") as f, zipfile.ZipFile(f, "w") as z:
+                z.writestr("202401-short.csv", f"{','.join(S.TRIPS.names)}\n1,x\n2\n")
+                z.writestr("202402-headless.csv", "a,b\n1,2\n")
+        yield pd.DataFrame({"n": [len(batch)]})
+
+
+@query
+def zip_outcomes(spark, sf):
+    """What a read of whole, cut and odd archives takes and leaves: members, rows and problems."""
+    base = shared_dir(spark, "zips")
+    _write_zips(driver.events_as_csv_rows(spark, sf).repartition(4, "ride_id"), base)
+    found = [(archives.store_uri(p),) for p in files.glob(spark, f"{base}/*.zip")]
+    spark.createDataFrame(found, "address string").mapInPandas(_broken_copies, "n long").count()
+    members = archives.list_members(spark, f"{base}/*.zip")
+    outcomes = archives.member_outcomes(members, S.TRIPS.names)
+    kind = F.when(F.col("archive").endswith("-cut.zip"), "cut").when(F.col("archive").endswith("-odd.zip"), "odd").otherwise("whole")
+    problem = F.coalesce(F.element_at(F.split("problem", ":"), 1), F.lit("none"))
+    return outcomes.groupBy(kind.alias("kind"), problem.alias("problem")).agg(
+        F.count("*").alias("n"), F.coalesce(F.sum("rows"), F.lit(0)).alias("n_rows")
+    )
+
+
+@query
+def pending_zip_members(spark, sf):
+    """Members of the archives whose month is not among those already loaded."""
+    base = shared_dir(spark, "zips")
+    _write_zips(driver.events_as_csv_rows(spark, sf).repartition(4, "ride_id"), base)
+    members = archives.list_members(spark, f"{base}/*.zip")
+    done = spark.createDataFrame([("202401",), ("202403",)], "month_key string")
+    left = archives.pending_members(members, done)
+    return left.groupBy("month_key").agg(F.count("*").alias("n"))
+
+
+@query
+def csv_outcomes(spark, sf):
+    """What a read takes from whole, compressed, cut and header-less files."""
+    base = shared_dir(spark, "csv")
+    rows = driver.events_as_csv_rows(spark, sf)
+    rows.repartition(2).write.option("header", True).csv(f"{base}/whole")
+    rows.coalesce(1).write.option("header", True).option("compression", "gzip").csv(f"{base}/packed")
+    rows.drop("started_at").coalesce(1).write.option("header", True).csv(f"{base}/odd")
+    whole = spark.read.format("binaryFile").load(f"{base}/packed/*.gz").select("content")
+    target = archives.store_uri(f"{base}/cut")
+
+    def cut(batches):
+        import pandas as pd
+        from pyarrow import fs
+
+        for batch in batches:
+            system, path = fs.FileSystem.from_uri(target)
+            system.create_dir(path)
+            for i, content in enumerate(batch["content"]):
+                with system.open_output_stream(f"{path}/part-{i}.csv.gz", compression=None) as f:
+                    f.write(content[: len(content) // 2])
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    whole.mapInPandas(cut, "n long").count()
+    found = files.file_outcomes(spark, f"{base}/*/*.csv*", S.TRIPS.names)
+    kind = F.element_at(F.split("file", "/"), -2)
+    problem = F.coalesce(F.element_at(F.split("problem", ":"), 1), F.lit("none"))
+    return found.groupBy(kind.alias("kind"), problem.alias("problem")).agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("n_rows")
+    )
+
+
 @query
 def holiday_events(spark, sf):
     """Holiday calendar of the years the events cover, with the events of each day."""
@@ -217,11 +294,10 @@ def _month_files(df: DataFrame, ts: str) -> DataFrame:
 
 @query
 def pending_archives(spark, sf):
-    """Order months not yet among the shipped months up to 1998, by the month in the file name."""
-    shipped = driver.table(spark, sf, "lineitem").where(F.col("l_shipdate") < clock.wall("1999-01-01"))
+    """Shipped months in which nothing was ordered yet, by the month in the file name."""
     key = text.month_prefix(text.base_name(F.col("path")))
-    manifest = _month_files(driver.table(spark, sf, "orders"), "o_orderdate").withColumn("month", key)
-    done = _month_files(shipped, "l_shipdate").select(key.alias("month"))
+    manifest = _month_files(driver.table(spark, sf, "lineitem"), "l_shipdate").withColumn("month", key)
+    done = _month_files(driver.table(spark, sf, "orders"), "o_orderdate").select(key.alias("month"))
     return results.pending(manifest, done, ["month"])
 
 
@@ -328,7 +404,7 @@ def daily_item_counts(spark, sf):
 
 @query
 def station_dimension(spark, sf):
-    return counts.station_dim(demand.clean(driver.trips(spark, sf), driver.LO, driver.HI, driver.TZ))
+    return counts.station_dim(driver.cleaned(spark, sf, driver.trips(spark, sf)))
 
 
 @query
@@ -412,13 +488,13 @@ def quiet_customers(spark, sf):
 
 def _panel(spark, sf):
     n = driver.counts(spark, sf)
-    return panel.fill_grid(panel.build_grid(demand.keys_of(n), driver.SPAN), n)
+    return panel.fill_grid(panel.build_grid(demand.keys_of(n), driver.span(spark, sf)), n)
 
 
 @query
 def dense_grid(spark, sf):
     n = driver.counts(spark, sf)
-    return panel.build_grid(demand.keys_of(n), driver.SPAN)
+    return panel.build_grid(demand.keys_of(n), driver.span(spark, sf))
 
 
 @query
@@ -428,19 +504,20 @@ def zero_filled_grid(spark, sf):
 
 @query
 def density_report(spark, sf):
-    return panel.density_report(_panel(spark, sf), driver.SPAN)
+    return panel.density_report(_panel(spark, sf), driver.span(spark, sf))
 
 
 @query
 def lagged_panel(spark, sf):
     """Lags over an existing dense panel."""
-    return panel.add_lags(_panel(spark, sf), driver.SPAN)
+    return panel.add_lags(_panel(spark, sf), driver.span(spark, sf))
 
 
 @query
 def lagged_panel_small_blocks(spark, sf):
     """Grid, fill and lags in one plan, cut into blocks of three days."""
-    span = panel.Span(driver.SPAN.lo, driver.SPAN.hi, block_days=3)
+    days = driver.span(spark, sf)
+    span = panel.Span(days.lo, days.hi, block_days=3)
     n = driver.counts(spark, sf)
     return panel.dense_panel(demand.keys_of(n), n, span)
 
@@ -451,7 +528,7 @@ def daily_item_panel(spark, sf):
     n = driver.supplier_counts(spark, sf)
     keys = demand.keys_of(n, "supplier_id", "items")
     return panel.dense_panel(
-        keys, n, driver.SUPPLIER_SPAN, "supplier_id", "day", "items", (1, 2, 7)
+        keys, n, driver.supplier_span(spark, sf), "supplier_id", "day", "items", (1, 2, 7)
     )
 
 
@@ -468,7 +545,7 @@ def model_table(spark, sf):
 @query
 def refilled_features(spark, sf):
     """A finished feature table with its hour attributes filled afterwards."""
-    rows = demand.refill(driver.features(spark, sf), driver.SPAN)
+    rows = demand.refill(driver.features(spark, sf), driver.span(spark, sf))
     return rows.select("station_id", "datetime", *S.HOUR_COLS)
 
 
@@ -476,7 +553,7 @@ def refilled_features(spark, sf):
 def filled_hours(spark, sf):
     n = driver.counts(spark, sf)
     hours = demand.hour_dim(demand.hours_of(n), driver.weather(spark, sf), driver.holidays(spark))
-    return demand.filled_hours(hours, driver.SPAN)
+    return demand.filled_hours(hours, driver.span(spark, sf))
 
 
 @query
@@ -520,7 +597,7 @@ def daily_item_naive_scores(spark, sf):
     n = driver.supplier_counts(spark, sf)
     rows = panel.dense_panel(
         demand.keys_of(n, "supplier_id", "items"),
-        n, driver.SUPPLIER_SPAN, "supplier_id", "day", "items", (1, 2, 7),
+        n, driver.supplier_span(spark, sf), "supplier_id", "day", "items", (1, 2, 7),
     )
     scored = results.naive(rows.withColumn("split", F.year("day").cast("string")), "lag_7d")
     return results.evaluate(scored, "lag_7d", y="items")
@@ -553,29 +630,29 @@ def metrics_upsert(spark, sf):
     return sinks.upsert_versioned(new, path, ["model"])
 
 
-def _runs(spark, sf):
-    """Learning-curve rows derived from the scores: error shrinks with the fraction."""
-    wide = results.leaderboard(driver.lag_metrics(spark, sf), digits=6)
-    # Rows of the training panel: stations times the hours between warm-up and validation.
-    hours = (datetime.fromisoformat(driver.TRAIN_END) - datetime.fromisoformat(driver.SPAN.lo)).days * 24
-    n_train = demand.keys_of(driver.counts(spark, sf)).agg(F.count("*") * (hours - max(demand.LAGS))).scalar()
-    fraction = F.explode(F.array(*[F.lit(f) for f in S.FRACTIONS])).alias("fraction")
-    return wide.select("model", "rmse_val", "rmse_test", fraction).select(
-        "model",
-        "fraction",
-        F.floor(n_train * F.col("fraction")).alias("n_rows"),
-        (F.col("rmse_val") + (1 - F.col("fraction")) * 0.125).alias("val_rmse"),
-        (F.col("rmse_test") + (1 - F.col("fraction")) * 0.25).alias("test_rmse"),
+def _one_input(name):
+    return lambda train, val: linear.fit_ridge(train, [name], alpha=50.0, scale=False)
+
+
+# A trainer that SQL can state: the ridge on one input.
+CURVE_TRAINERS = {"ridge_lag_1h": _one_input("lag_1h")}
+
+
+def _runs(spark, sf, fractions=S.FRACTIONS):
+    """Finished runs of a learning curve over nested samples."""
+    rows, train, val = _parts(spark, sf)
+    held = clean.for_split(rows, "test")
+    return curve.learning_curve(
+        spark, train, val, held, list(CURVE_TRAINERS), CURVE_TRAINERS, fractions, path=shared_dir(spark, "curve"), method="md5"
     )
 
 
 @query
 def pending_runs(spark, sf):
-    plan = _runs(spark, sf).select("model", "fraction")
-    done = plan.where("model = 'lag_1h' AND fraction < 0.5").withColumn(
-        "fraction", F.col("fraction") + 0.001
-    )
-    return results.pending_runs(plan, done)
+    """Runs of the curve's plan that are not among those finished so far."""
+    done = _runs(spark, sf, S.FRACTIONS[:2])
+    plan = [(m, float(f)) for m in CURVE_TRAINERS for f in S.FRACTIONS]
+    return results.pending_runs(spark.createDataFrame(plan, "model string, fraction double"), done)
 
 
 @query
@@ -607,11 +684,12 @@ def labelled_shares(spark, sf):
 
 @query
 def label_table(spark, sf):
-    """Customers per nation code, labelled from the region table: most codes have no label there."""
+    """Customers per nation code; nations of the last region are left out and keep their code."""
     n = driver.table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("feature")).agg(
         F.count("*").alias("n")
     )
-    labels = driver.table(spark, sf, "region").selectExpr("r_regionkey AS feature", "r_name AS label")
+    known = driver.table(spark, sf, "nation").where("n_regionkey < 4")
+    labels = known.selectExpr("n_nationkey AS feature", "n_name AS label")
     return joins.with_label_table(n, labels)
 
 
@@ -680,7 +758,7 @@ def bucket_error(spark, sf):
 
 @query
 def item_bucket_error(spark, sf):
-    """Buckets of the order count per customer and day, where every bucket but the first is rare."""
+    """Buckets of the items per supplier and day, where every bucket but the first two is rare."""
     n = driver.supplier_counts(spark, sf).select(
         F.col("items").alias("departures"), (F.col("items") * 0.5 + 1.0).alias("pred")
     )
@@ -878,93 +956,156 @@ def _model_rows(spark, sf):
     )
 
 
-def _fit_and_score(spark, sf, name, fit):
+def _parts(spark, sf):
     """Feature table written once, then read per split: training does not rebuild it."""
     rows = sinks.materialize(_model_rows(spark, sf), "rows")
-    model = fit(clean.for_split(rows, "train"), clean.for_split(rows, "val"))
-    return results.evaluate(model.transform(clean.for_split(rows, "val", "test")), name)
+    return rows, clean.for_split(rows, "train"), clean.for_split(rows, "val")
+
+
+def _report(model, rows, name):
+    """Per split: rows, clipped predictions below 0, and whether the model beats the naive forecast."""
+    scored = results.evaluate(model.transform(rows), name).select("split", F.col("rmse").alias("own"))
+    base = results.evaluate(results.naive(rows), "naive").select("split", F.col("rmse").alias("base"))
+    clipped = F.greatest(F.col("prediction"), F.lit(0.0))
+    n = model.transform(rows).groupBy("split").agg(
+        F.count("*").alias("n"), F.count_if(clipped < 0).alias("n_negative"),
+        F.count_if(F.col("prediction").isNull()).alias("n_missing"),
+    )
+    return n.join(scored, "split").join(base, "split").select(
+        F.lit(name).alias("model"), "split", "n", "n_negative", "n_missing", (F.col("own") < F.col("base")).alias("beats_naive")
+    )
+
+
+def _fit_and_report(spark, sf, name, fit):
+    rows, train, val = _parts(spark, sf)
+    return _report(fit(train, val), clean.for_split(rows, "val", "test"), name)
 
 
 @query
 def ridge_scores(spark, sf):
-    return _fit_and_score(spark, sf, "ridge", lambda train, val: linear.fit_ridge(train))
+    """Scores of the scaled ridge over all inputs."""
+    rows, train, _ = _parts(spark, sf)
+    return results.evaluate(linear.fit_ridge(train).transform(clean.for_split(rows, "val", "test")), "ridge")
+
+
+@query
+def ridge_normal_equations(spark, sf):
+    """How well the ridge over all inputs solves its normal equations, term by term.
+
+    For standardised inputs z the residuals e satisfy sum(e) = 0 and sum(z * e) = alpha * w; each term
+    is given as off or not by more than a millionth of the table's size.
+    """
+    rows, train, _ = _parts(spark, sf)
+    alpha = 1.0
+    model = linear.fit_ridge(train, alpha=alpha)
+    weights, stats = model.stages[-1], linear.standardize(train, S.FEATURES)
+    unclipped = model.transform(train)
+    e = F.col("departures") - F.col("prediction")
+    terms = [F.sum(e).alias("e"), F.count("*").alias("n")]
+    terms += [F.sum(e * F.col(c).cast("double")).alias(f"e_{c}") for c in S.FEATURES]
+    moments = stats.first().asDict()
+    got = unclipped.agg(*terms).first()
+    # A short list: one row per input.
+    out = [("intercept", abs(got["e"]) > 1e-6 * got["n"])]
+    for c, w in zip(S.FEATURES, weights.coefficients.toArray()):
+        mean, scale = moments[f"{c}_mean"], moments[f"{c}_scale"]
+        gradient = (got[f"e_{c}"] - mean * got["e"]) / scale
+        out.append((c, abs(gradient - alpha * float(w) * scale) > 1e-6 * got["n"]))
+    return spark.createDataFrame(out, "term string, is_off boolean")
 
 
 @query
 def forest_scores(spark, sf):
-    return _fit_and_score(
-        spark, sf, "forest", lambda train, val: trees.fit_rf(train, trees=8, depth=6)
-    )
+    """The forest at its reported setting."""
+    return _fit_and_report(spark, sf, "forest", lambda train, val: trees.fit_rf(train, **trees.FOREST))
 
 
+# What the boosting queries run; the reported settings are trees.BOOST and trees.BOOST_LEAVES.
 SMALL_BOOST = {"rounds": 12, "step": 0.2, "depth": 4, "bins": 32, "patience": 3}
 
 
 @query
 def boost_scores(spark, sf):
-    return _fit_and_score(
-        spark, sf, "boost", lambda train, val: trees.fit_gbt(train, val, **SMALL_BOOST)
-    )
+    """Boosting, stopped early."""
+    return _fit_and_report(spark, sf, "boost", lambda train, val: trees.fit_gbt(train, val, **SMALL_BOOST))
 
 
 @query
 def boost_leaves_scores(spark, sf):
+    """Boosting with a least number of rows per leaf, stopped early."""
     preset = {**trees.BOOST_LEAVES, **SMALL_BOOST, "min_leaf": trees.BOOST_LEAVES["min_leaf"]}
-    return _fit_and_score(spark, sf, "leaves", lambda train, val: trees.fit_gbt(train, val, **preset))
+    return _fit_and_report(spark, sf, "leaves", lambda train, val: trees.fit_gbt(train, val, **preset))
 
 
 @query
 def mlp_scores(spark, sf):
-    return _fit_and_score(
-        spark, sf, "mlp", lambda train, val: mlp.fit_mlp(train, layers=(16, 8), max_epochs=3)
-    )
+    """The network with its reported layers, for a few epochs."""
+    return _fit_and_report(spark, sf, "mlp", lambda train, val: mlp.fit_mlp(train, max_epochs=5))
 
 
 def _boosted(spark, sf):
-    rows = sinks.materialize(_model_rows(spark, sf), "rows")
-    return rows, trees.fit_gbt(
-        clean.for_split(rows, "train"), rounds=6, step=0.2, depth=4, bins=32
-    )
+    rows, train, val = _parts(spark, sf)
+    return rows, trees.fit_gbt(train, val, **SMALL_BOOST)
 
 
 @query
 def feature_importance(spark, sf):
-    return importance.tree_importance(spark, _boosted(spark, sf)[1])
+    """Names and labels of all inputs, whose shares add up to 100 and whose ranks follow the gain."""
+    table = importance.tree_importance(spark, _boosted(spark, sf)[1])
+    total = table.agg(F.sum("gain_pct").alias("g"), F.sum("splits_pct").alias("s"), F.count_if("is_top").alias("t"))
+    return table.crossJoin(F.broadcast(total)).select(
+        "feature", "label", F.round("g", 3).alias("gain_total"), F.round("s", 3).alias("splits_total"),
+        F.col("t").alias("n_top"), (F.col("gain") >= 0).alias("is_counted"),
+    )
 
 
 @query
 def saved_model_scores(spark, sf):
-    """Scores of a boosted model after it was saved and loaded."""
+    """Rows whose prediction differs after a boosted model was saved and loaded: none."""
     rows, model = _boosted(spark, sf)
     path = shared_dir(spark, "model")
     sinks.save_model(model, path)
     test = clean.for_split(rows, "test")
-    return results.evaluate(sinks.load_model(path).transform(test), "boost")
+    before = model.transform(test).select(*ROW, F.col("prediction").alias("before"))
+    after = sinks.load_model(path).transform(test).select(*ROW, F.col("prediction").alias("after"))
+    return before.join(after, ROW).agg(
+        F.count("*").alias("n"), F.count_if(F.col("before") != F.col("after")).alias("n_differing")
+    )
+
+
+# Trials and rounds that the two search queries run; the space is the whole one.
+QUERY_TRIALS, QUERY_ROUNDS, QUERY_PATIENCE = 2, 4, 2
 
 
 def _search(spark, sf):
-    rows = sinks.materialize(_model_rows(spark, sf), "rows")
-    train, val = clean.for_split(rows, "train"), clean.for_split(rows, "val")
-    small = {"depth": 3, "bins": 32}
+    rows, train, val = _parts(spark, sf)
     trials = search.search(
-        spark, train, val, n_trials=2, rounds=4, patience=2, parallelism=2, limits=small
+        spark, train, val, n_trials=QUERY_TRIALS, rounds=QUERY_ROUNDS, patience=QUERY_PATIENCE, parallelism=2
     )
-    return rows, trials, small
+    return rows, trials
 
 
 @query
 def hyper_parameter_search(spark, sf):
-    return _search(spark, sf)[1]
+    """Trials within the space, and whether the best one is marked by the smallest error."""
+    trials = sinks.materialize(_search(spark, sf)[1], "trials")
+    best = search.best_params(trials).select(F.col("best_val_rmse"))
+    inside = F.lit(True)
+    for name, p in search.SPACE.items():
+        inside = inside & (F.col(name).isin(*p.options) if p.options else F.col(name).between(p.low, p.high))
+    return trials.crossJoin(F.broadcast(best)).select(
+        "trial", inside.alias("in_space"), (F.col("val_rmse") >= F.col("best_val_rmse")).alias("not_better")
+    )
 
 
 @query
 def best_trial_refit(spark, sf):
-    """Best trial's parameters, refitted on all training rows and scored."""
-    rows, trials, small = _search(spark, sf)
+    """Best trial's parameters, refitted on all training rows."""
+    rows, trials = _search(spark, sf)
     best = search.best_params(trials).first().asDict()
     train, val = clean.for_split(rows, "train"), clean.for_split(rows, "val")
-    model = search.refit_best(train, val, best, rounds=6, patience=3, limits=small)
-    return results.evaluate(model.transform(clean.for_split(rows, "val", "test")), "tuned")
+    model = search.refit_best(train, val, best, rounds=QUERY_ROUNDS, patience=QUERY_PATIENCE)
+    return _report(model, clean.for_split(rows, "val", "test"), "tuned")
 
 
 @query

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # SQL settings the plans rely on. They change physical planning only, never results.
 PLAN_CONF = {
@@ -49,3 +51,17 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/hourloom-{label}-{uuid.uuid4().hex}")
     system = at.getFileSystem(spark._jsc.hadoopConfiguration())
     return at.makeQualified(system.getUri(), system.getWorkingDirectory()).toString()
+
+
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """Cache a table for a while; a cache that the caller already holds stays in force."""
+    level = df.storageLevel
+    own = not (level.useMemory or level.useDisk)
+    if own:
+        df.persist()
+    try:
+        yield df
+    finally:
+        if own:
+            df.unpersist()

@@ -1,15 +1,21 @@
-"""CSV members of zip archives, also of zips inside zips, read without unpacking to disk."""
+"""CSV members of zip archives, also of zips inside zips, read without unpacking to disk.
+
+A member is read to its end before any row of it counts: ``member_outcomes`` lists every member and
+every broken archive with its rows and, where it cannot be used, the problem. Reads leave out whole
+members with a problem; a short or long row costs nothing but its own missing or extra fields.
+"""
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyarrow import csv as pa_csv
 from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,10 +27,22 @@ from hourloom.operators.results import pending
 from hourloom.sources import files
 
 SEPARATOR = "!"
+# Hadoop's names of stores that the Arrow file systems know under another one.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs", "wasb": "abfs"}
+BROKEN = (pa.ArrowException, zipfile.BadZipFile, zlib.error, EOFError, OSError, KeyError, UnicodeDecodeError, csv.Error, NotImplementedError)
+OUTCOMES = "archive string, member string, bytes long, rows long, problem string"
+_BATCH = 20_000
 
 
-def _open(path: str):
+def store_uri(path: str) -> str:
+    """The address of a file as the Arrow file systems want it."""
     uri = re.sub(r"^file:/+", "file:///", path)
+    scheme, mark, rest = uri.partition("://")
+    return f"{SCHEMES.get(scheme, scheme)}{mark}{rest}" if mark else uri
+
+
+def _open(path: str):
+    uri = store_uri(path)
     system, inner = (
         pa_fs.FileSystem.from_uri(uri) if "://" in uri else (pa_fs.LocalFileSystem(), uri)
     )
@@ -36,18 +54,29 @@ def _is_data(name: str) -> bool:
     return name.lower().endswith(".csv") and not base.startswith("._")
 
 
-def _members(archive: zipfile.ZipFile, trail: str = "") -> Iterator[tuple[str, int]]:
+def _problem(e: Exception) -> str:
+    return f"cannot read: {type(e).__name__}"
+
+
+def _members(archive: zipfile.ZipFile, trail: str = "") -> Iterator[tuple[str, int | None, str | None]]:
+    """(member, bytes, problem); a broken zip in the zip is a member with a problem."""
     for info in archive.infolist():
         where = f"{trail}{SEPARATOR}{info.filename}" if trail else info.filename
         if _is_data(info.filename):
-            yield where, info.file_size
+            yield where, info.file_size, None
         elif info.filename.lower().endswith(".zip"):
-            with archive.open(info) as raw, zipfile.ZipFile(raw) as inner:
-                yield from _members(inner, where)
+            try:
+                with archive.open(info) as raw, zipfile.ZipFile(raw) as inner:
+                    yield from list(_members(inner, where))
+            except BROKEN as e:
+                yield where, None, _problem(e)
 
 
 def list_members(spark: SparkSession, pattern: str) -> DataFrame:
-    """(archive, member, bytes) of every CSV; each archive's directory is read by its own task."""
+    """(archive, member, bytes, problem) of every CSV; each archive's directory is read by a task.
+
+    An archive that cannot be opened is one row with a problem and no member.
+    """
     paths = files.glob(spark, pattern)
     if not paths:
         raise FileNotFoundError(f"no archives match {pattern}")
@@ -55,31 +84,90 @@ def list_members(spark: SparkSession, pattern: str) -> DataFrame:
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path in batch["archive"]:
-                with _open(path) as raw, zipfile.ZipFile(raw) as archive:
-                    found = [(path, name, size) for name, size in _members(archive)]
-                yield pd.DataFrame(found, columns=["archive", "member", "bytes"])
+                try:
+                    with _open(path) as raw, zipfile.ZipFile(raw) as archive:
+                        found = [(path, *m) for m in _members(archive)]
+                except BROKEN as e:
+                    found = [(path, None, None, _problem(e))]
+                yield pd.DataFrame(found, columns=["archive", "member", "bytes", "problem"]).astype({"bytes": "Int64"})
 
     listed = spark.createDataFrame([(p,) for p in paths], "archive string")
-    return listed.repartition(len(paths), "archive").mapInPandas(
-        walk, "archive string, member string, bytes long"
+    tasks = min(len(paths), 4 * spark.sparkContext.defaultParallelism)
+    return listed.repartition(tasks, "archive").mapInPandas(
+        walk, "archive string, member string, bytes long, problem string"
     )
 
 
 def pending_members(members: DataFrame, done: DataFrame) -> DataFrame:
     """Members whose month (YYYYMM at the front of the file name) is not there yet."""
     base = base_name(F.translate("member", SEPARATOR, "/"))
-    return pending(members.withColumn("month_key", month_prefix(base)), done, ["month_key"])
+    named = members.where(F.col("member").isNotNull()).withColumn("month_key", month_prefix(base))
+    return pending(named, done, ["month_key"])
+
+
+def _records(path: str, member: str) -> Iterator[list[str]]:
+    """The lines of a member as fields, header first; a quoted field may hold commas and quotes."""
+    opened = [_open(path)]
+    try:
+        for part in member.split(SEPARATOR):
+            opened.append(zipfile.ZipFile(opened[-1]))
+            opened.append(opened[-1].open(part))
+        text = io.TextIOWrapper(io.BufferedReader(opened[-1], 1 << 20), "utf-8-sig", newline="")
+        yield from (r for r in csv.reader(text) if r)
+    finally:
+        for handle in reversed(opened):
+            handle.close()
+
+
+def _lacking(header: list[str] | None, names: list[str]) -> str | None:
+    missing = [c for c in names if c not in (header or [])]
+    return f"missing columns: {', '.join(missing)}" if missing else None
+
+
+def member_outcomes(members: DataFrame, names: list[str]) -> DataFrame:
+    """Every listed member, read to its end: its rows, or the problem for which it is left out."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = {c: batch[c].to_pylist() for c in ("archive", "member", "bytes", "problem")}
+            rows: list[int | None] = []
+            problems = []
+            for path, member, _, problem in zip(*columns.values()):
+                n = None
+                if problem is None:
+                    try:
+                        records = _records(path, member)
+                        problem = _lacking([c.strip() for c in next(records, [])], names)
+                        n = 0 if problem else sum(1 for _ in records)
+                    except BROKEN as e:
+                        n, problem = None, _problem(e)
+                rows.append(None if problem else n)
+                problems.append(problem)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns["archive"], pa.string()), pa.array(columns["member"], pa.string()),
+                 pa.array(columns["bytes"], pa.int64()), pa.array(rows, pa.int64()), pa.array(problems, pa.string())],
+                ["archive", "member", "bytes", "rows", "problem"],
+            )
+
+    n = members.sparkSession.sparkContext.defaultParallelism
+    spread = members.select("archive", "member", "bytes", "problem").repartition(n, "archive", "member")
+    return spread.mapInArrow(judge, OUTCOMES)
 
 
 def read_members(members: DataFrame, schema: T.StructType = S.TRIPS, on_bad_file: str = "skip") -> DataFrame:
-    """Rows of the listed members; every member is streamed by one task, in Arrow batches."""
+    """Rows of the usable members; every member is streamed by one task, in Arrow batches.
+
+    Members with a problem are left out whole or, with ``on_bad_file="fail"``, raise.
+    """
     names = schema.names
+    if on_bad_file == "skip":
+        members = member_outcomes(members, names).where("problem IS NULL")
     target = pa.schema([(n, pa.string()) for n in [*names, "member"]])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, member in zip(batch["archive"].to_pylist(), batch["member"].to_pylist()):
-                yield from _rows(path, member, names, target, on_bad_file)
+                yield from _rows(path, member, names, target)
 
     n = members.sparkSession.sparkContext.defaultParallelism
     spread = members.select("archive", "member").repartition(n, "archive", "member")
@@ -88,32 +176,28 @@ def read_members(members: DataFrame, schema: T.StructType = S.TRIPS, on_bad_file
     return files.typed(raw, T.StructType([*schema.fields, T.StructField("member", T.StringType())]))
 
 
-def _rows(path: str, member: str, names: list[str], target: pa.Schema, on_bad_file: str):
-    opened = [_open(path)]
-    try:
-        for part in member.split(SEPARATOR):
-            archive = zipfile.ZipFile(opened[-1])
-            opened.append(archive.open(part))
-        reader = pa_csv.open_csv(
-            io.BufferedReader(opened[-1], 1 << 20),
-            convert_options=pa_csv.ConvertOptions(
-                include_columns=names,
-                column_types={n: pa.string() for n in names},
-                strings_can_be_null=True,
-                null_values=[""],
-            ),
-        )
-        for rows in reader:
-            label = pa.array([member] * rows.num_rows, pa.string())
-            yield pa.RecordBatch.from_arrays([*rows.columns, label], schema=target)
-    except (KeyError, pa.ArrowInvalid):
-        if on_bad_file != "skip":
-            raise
-    finally:
-        for handle in reversed(opened):
-            handle.close()
+def _rows(path: str, member: str, names: list[str], target: pa.Schema) -> Iterator[pa.RecordBatch]:
+    records = _records(path, member)
+    header = [c.strip() for c in next(records, [])]
+    if problem := _lacking(header, names):
+        raise ValueError(f"{path}{SEPARATOR}{member}: {problem}")
+    at = [header.index(c) for c in names]
+    columns: list[list[str | None]] = [[] for _ in names]
+
+    def batch() -> pa.RecordBatch:
+        label = pa.array([member] * len(columns[0]), pa.string())
+        return pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in columns], label], schema=target)
+
+    for record in records:
+        for column, i in zip(columns, at):
+            column.append((record[i] or None) if i < len(record) else None)
+        if len(columns[0]) >= _BATCH:
+            yield batch()
+            columns = [[] for _ in names]
+    if columns[0]:
+        yield batch()
 
 
 def read_zipped_csv(spark: SparkSession, pattern: str, schema: T.StructType = S.TRIPS) -> DataFrame:
-    """All CSV rows of all archives."""
+    """All CSV rows of all usable members of all archives."""
     return read_members(list_members(spark, pattern), schema).select(*schema.names)

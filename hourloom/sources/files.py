@@ -1,10 +1,20 @@
-"""File listing and CSV reading by column name."""
+"""File listing and CSV reading by column name.
+
+A file is read whole or not at all: files without a wanted column, and compressed files that cannot be
+unpacked to their end, are left out and listed with the reason.
+"""
 
 from __future__ import annotations
 
+import bz2
+import csv
+import zlib
 from collections import defaultdict
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
 from functools import reduce
+from urllib.parse import unquote
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,44 +41,113 @@ def glob(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(s.getPath().toString() for s in found or [] if s.isFile())
 
 
-def header_of(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """Column names in the first line of a CSV file, plain or compressed."""
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    hadoop_path = _hadoop_path(spark, path)
-    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(hadoop_path)
-    stream = _file_system(spark, path).open(hadoop_path)
-    if codec is not None:
-        stream = codec.createInputStream(stream)
-    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+def folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Folders that match a pattern, in name order."""
+    found = _file_system(spark, pattern).globStatus(_hadoop_path(spark, pattern))
+    return sorted(s.getPath().toString() for s in found or [] if s.isDirectory())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder and what is in it, if it is there."""
+    _file_system(spark, path).delete(_hadoop_path(spark, path), True)
+
+
+# How much of a file is unpacked at a time, and looked at for its header.
+_CHUNK = 1 << 20
+# Files Python unpacks itself, to see whether they are whole; Spark reads every other kind and raises.
+_PACKED = (".gz", ".bz2")
+
+
+def _unpacked(path: str, content: bytes) -> Iterator[bytes]:
+    """Parts of a file; raises at the place where a compressed one breaks off."""
+    if path.endswith(".gz"):
+        at = 0
+        while at < len(content):
+            stream = zlib.decompressobj(31)
+            while not stream.eof:
+                piece = content[at : at + _CHUNK]
+                if not piece:
+                    raise EOFError("truncated")
+                yield stream.decompress(piece)
+                at += len(piece) - len(stream.unused_data)
+    elif path.endswith(".bz2"):
+        at = 0
+        while at < len(content):
+            stream = bz2.BZ2Decompressor()
+            while not stream.eof:
+                piece = content[at : at + _CHUNK]
+                if not piece:
+                    raise EOFError("truncated")
+                yield stream.decompress(piece)
+                at += len(piece) - len(stream.unused_data)
+    else:
+        yield content
+
+
+def _judge(path: str, content: bytes, whole: bool) -> tuple[str | None, str | None]:
+    """(header line, problem) of a file, unpacked to its end if it is compressed."""
+    head = b""
     try:
-        line = reader.readLine() or ""
-    finally:
-        reader.close()
-    return tuple(c.strip().strip('"') for c in line.lstrip("\ufeff").split(","))
+        for piece in _unpacked(path, content):
+            if b"\n" not in head:
+                head += piece[:_CHUNK]
+            elif not whole:
+                break
+    except (zlib.error, EOFError, OSError, ValueError) as e:
+        return None, f"cannot read: {type(e).__name__}"
+    return head.partition(b"\n")[0].decode("utf-8-sig", "replace").rstrip("\r"), None
+
+
+def _headers(spark: SparkSession, paths: list[str]) -> list[tuple[str, str | None, str | None]]:
+    """(path, header line, problem) of every file, found by tasks.
+
+    Compressed files come as one binary row each, which Spark reads from any store; of the others only
+    the first line of the first block is taken.
+    """
+    found: list[tuple[str, str | None, str | None]] = []
+    packed = [p for p in paths if p.endswith(_PACKED)]
+    plain = [p for p in paths if not p.endswith(_PACKED)]
+    if packed:
+
+        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for path, content in zip(batch["path"], batch["content"]):
+                    path = path.as_py()
+                    head, problem = _judge(path, content.as_py(), True)
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (path, head, problem)], ["path", "head", "problem"])
+
+        read = spark.read.format("binaryFile").load(packed).select("path", "content")
+        found += [tuple(r) for r in read.mapInArrow(judge, "path string, head string, problem string").collect()]
+    if plain:
+        lines = spark.read.text(plain).select(
+            F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value"
+        )
+        # The first row of a block that begins its file; later rows of it are not kept anywhere.
+        first = lines.where("at = 0").groupBy("path").agg(F.first("value").alias("head"))
+        heads = {_plain(r["path"]): r["head"] for r in first.collect()}
+        found += [(path, (heads.get(_plain(path)) or "").removeprefix("\ufeff"), None) for path in plain]
+    return found
+
+
+def _plain(path: str) -> str:
+    """One spelling for the paths of Spark's metadata and of the file listing."""
+    return unquote(path).replace("file:///", "file:/")
 
 
 def group_by_header(
     spark: SparkSession, paths: list[str], wanted: list[str]
 ) -> tuple[dict[tuple[str, ...], list[str]], list[tuple[str, str]]]:
-    """Files by their header, and the files that lack a wanted column or cannot be opened."""
-
-    def peek(path: str):
-        try:
-            return path, header_of(spark, path), None
-        except Exception as e:  # any unreadable file is reported, not fatal
-            return path, (), f"cannot read: {type(e).__name__}"
-
+    """Files by their header, and the files that lack a wanted column or cannot be read whole."""
     groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
     skipped = []
-    with ThreadPoolExecutor(16) as pool:
-        for path, header, problem in pool.map(peek, paths):
-            missing = [c for c in wanted if c not in header]
-            if problem or missing:
-                skipped.append((path, problem or f"missing columns: {', '.join(missing)}"))
-            else:
-                groups[header].append(path)
-    return dict(groups), skipped
+    for path, head, problem in _headers(spark, paths):
+        header = tuple(c.strip() for c in next(csv.reader([head or ""]), []))
+        missing = [c for c in wanted if c not in header]
+        if problem or missing:
+            skipped.append((path, problem or f"missing columns: {', '.join(missing)}"))
+        else:
+            groups[header].append(path)
+    return {h: sorted(f) for h, f in groups.items()}, sorted(skipped)
 
 
 def typed(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -108,7 +187,6 @@ def read_csv_by_name(
         raw = (
             spark.read.schema(text)
             .option("header", True)
-            .option("ignoreCorruptFiles", on_bad_file == "skip")
             .csv(files)
         )
         return raw.select(*schema.names)
@@ -123,6 +201,17 @@ def skipped_files(spark: SparkSession, pattern: str, wanted: list[str]) -> DataF
     return spark.createDataFrame(skipped, "file string, reason string")
 
 
+def file_outcomes(spark: SparkSession, pattern: str, wanted: list[str]) -> DataFrame:
+    """(file, rows, problem) of every file: what a read takes from it, or why it is left out."""
+    groups, skipped = group_by_header(spark, glob(spark, pattern), wanted)
+    parts = [spark.createDataFrame([(f, None, p) for f, p in skipped], "file string, rows long, problem string")]
+    for _, paths in sorted(groups.items()):
+        lines = spark.read.schema("first string").option("header", True).csv(paths)
+        counted = lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("rows"))
+        parts.append(counted.withColumn("problem", F.lit(None).cast("string")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def bad_rows(spark: SparkSession, pattern: str, wanted: list[str]) -> DataFrame:
     """Per file: rows, rows whose number of fields does not fit the header, rows without a value
     in one of the wanted columns."""

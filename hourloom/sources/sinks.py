@@ -65,7 +65,9 @@ def upsert_versioned(new: DataFrame, path: str, keys: list[str]) -> DataFrame:
     spark = new.sparkSession
     old = read_versioned(spark, path)
     merged = new if old is None else upsert(old, new, keys)
-    merged.write.parquet(f"{path}/version={len(_versions(spark, path)):08d}")
+    # After the highest number there is, also if that write never finished.
+    taken = [int(p.rsplit("=", 1)[1]) for p in files.folders(spark, f"{path}/version=*")]
+    merged.write.parquet(f"{path}/version={max(taken, default=-1) + 1:08d}")
     return read_versioned(spark, path)
 
 

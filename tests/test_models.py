@@ -142,23 +142,44 @@ def test_trials_are_seeded_and_in_range():
     assert a[:5] == b and a != search.draw_trials(search.SPACE, 30, 43)
     for t in a:
         assert 63 <= t["num_leaves"] <= 511 and 0.01 <= t["learning_rate"] <= 0.2
-        assert t["max_bin"] in (255, 511) and 0 <= t["reg_lambda"] <= 10
+        assert t["max_bin"] in (255, 511) and set(search.boost_args(t)) == {"depth", "step", "min_leaf", "columns", "rows", "bins"}
     assert trees.depth_for_leaves(127) == 7 and trees.depth_for_leaves(128) == 7
 
 
+SMALL_SPACE = {
+    **search.SPACE, "num_leaves": search.Param("int", 3, 8), "max_bin": search.Param("choice", options=(32, 64)),
+}
+
+
+def test_cut_ensemble_is_the_shorter_run(spark, data):
+    parts, _ = data
+    long = trees.fit_gbt(parts["train"], None, COLS, rounds=5, depth=3)
+    short = trees.fit_gbt(parts["train"], None, COLS, rounds=2, depth=3)
+    cut = trees.first_trees(long.stages[-1], 2)
+    rows = short.stages[0].transform(parts["test"])
+    a, b = (m.transform(rows).agg(F.sum("prediction")).first()[0] for m in (cut, short.stages[-1]))
+    assert cut.getNumTrees == 2 and a == pytest.approx(b)
+
+
+def test_a_cache_of_the_caller_is_kept(spark, data):
+    parts, _ = data
+    train = parts["train"].withColumn("d", F.col("a") * 2).persist()
+    val = parts["val"]
+    curve.learning_curve(spark, train, val, parts["test"], ["ridge"], {"ridge": lambda t, v: linear.fit_ridge(t, COLS)}, [1.0])
+    assert train.storageLevel.useMemory
+    train.unpersist()
+
+
 def test_search_finds_the_best(spark, data, monkeypatch):
     parts, _ = data
     monkeypatch.setattr(search, "fit_gbt", lambda train, val, **kw: trees.fit_gbt(train, val, COLS, **kw))
     trials = search.search(
-        spark, parts["train"], parts["val"], n_trials=2, rounds=3, patience=2, max_rows=500,
-        limits={"depth": 2, "bins": 32},
+        spark, parts["train"], parts["val"], SMALL_SPACE, n_trials=2, rounds=3, patience=2, max_rows=500,
     )
-    best = search.best_params(trials).first()
+    best = search.best_params(trials, SMALL_SPACE).first()
     rows = trials.collect()
     assert len(rows) == 2 and best.best_val_rmse == min(r.val_rmse for r in rows)
-    model = search.refit_best(
-        parts["train"], parts["val"], best.asDict(), rounds=4, patience=2, limits={"depth": 2, "bins": 32}
-    )
+    model = search.refit_best(parts["train"], parts["val"], best.asDict(), rounds=4, patience=2)
     assert model.stages[-1].getNumTrees <= 4
 
 

@@ -7,6 +7,8 @@ from hourloom import schema as S
 from hourloom.operators import counts, fill, panel
 from hourloom.plans import demand, driver
 
+SPAN = panel.Span("2024-01-01 00:00:00", "2024-01-30 23:00:00")
+
 
 def test_edge_grid_is_dense(edge_clean):
     hourly = counts.hourly_counts(edge_clean)
@@ -21,7 +23,7 @@ def test_edge_grid_is_dense(edge_clean):
 
 @pytest.mark.parametrize("block_days", [1, 2, 7, 90])
 def test_lags_equal_time_shift_for_any_block(spark, sf, block_days):
-    span = panel.Span(driver.SPAN.lo, driver.SPAN.hi, block_days=block_days)
+    span = panel.Span(SPAN.lo, SPAN.hi, block_days=block_days)
     hourly = driver.counts(spark, sf)
     dense = panel.dense_panel(demand.keys_of(hourly), hourly, span)
     base = panel.fill_grid(panel.build_grid(demand.keys_of(hourly), span), hourly)
@@ -41,7 +43,7 @@ def test_lags_equal_time_shift_for_any_block(spark, sf, block_days):
 
 
 def test_add_lags_equals_dense_panel(spark, sf):
-    span = panel.Span(driver.SPAN.lo, driver.SPAN.hi, block_days=4)
+    span = panel.Span(SPAN.lo, SPAN.hi, block_days=4)
     hourly = driver.counts(spark, sf)
     keys = demand.keys_of(hourly)
     a = panel.dense_panel(keys, hourly, span)
@@ -52,7 +54,7 @@ def test_add_lags_equals_dense_panel(spark, sf):
 
 
 def test_lag_longer_than_block_is_refused(spark, sf):
-    span = panel.Span(driver.SPAN.lo, driver.SPAN.hi, block_days=1)
+    span = panel.Span(SPAN.lo, SPAN.hi, block_days=1)
     with pytest.raises(ValueError):
         panel.add_lags(spark.range(1), span, lags=(25,))
 
@@ -61,7 +63,7 @@ def test_no_leakage_from_the_future(spark, sf):
     cut = "2024-01-15 00:00:00"
     cols = ["station_id", "datetime", "departures", "lag_1h", "lag_2h", "lag_24h", *S.HOUR_COLS]
     trips, weather = driver.trips(spark, sf), driver.weather(spark, sf)
-    args = (driver.holidays(spark), driver.SPAN, driver.TRAIN_END, driver.VAL_END)
+    args = (driver.holidays(spark), SPAN, driver.TRAIN_END, driver.VAL_END)
     early = F.col("datetime") < F.lit(cut).cast("timestamp_ntz")
     full = demand.features_from_trips(trips, weather, *args).where(early)
     past = demand.features_from_trips(
@@ -73,7 +75,7 @@ def test_no_leakage_from_the_future(spark, sf):
 
 def test_result_does_not_depend_on_partitioning(spark, sf):
     trips = driver.trips(spark, sf)
-    args = (driver.weather(spark, sf), driver.holidays(spark), driver.SPAN, driver.TRAIN_END, driver.VAL_END)
+    args = (driver.weather(spark, sf), driver.holidays(spark), SPAN, driver.TRAIN_END, driver.VAL_END)
     a = demand.features_from_trips(trips, *args)
     b = demand.features_from_trips(trips.repartition(7, F.rand(1)), *args)
     assert a.exceptAll(b).count() == 0 and a.count() == b.count()
@@ -83,7 +85,7 @@ def test_split_is_total_and_sums_agree(spark, sf):
     rows = driver.features(spark, sf)
     got = {r.split: r.n for r in counts.split_counts(rows).collect()}
     assert set(got) == {"train", "val", "test"} and sum(got.values()) == rows.count()
-    base = panel.fill_grid(panel.build_grid(demand.keys_of(driver.counts(spark, sf)), driver.SPAN), driver.counts(spark, sf))
+    base = panel.fill_grid(panel.build_grid(demand.keys_of(driver.counts(spark, sf)), SPAN), driver.counts(spark, sf))
     total = base.agg(F.sum("departures")).first()[0]
     assert total == driver.counts(spark, sf).agg(F.sum("departures")).first()[0] == 1000
 
@@ -98,13 +100,13 @@ def test_feature_types(spark, sf):
 GAP = [None, 3.0, None, 5.0, None]
 
 
-@pytest.mark.parametrize("max_rows", [None, 5])
-def test_fill_carries_forward_then_zero(spark, max_rows):
+@pytest.mark.parametrize("block_days", [90, 1])
+def test_fill_carries_forward_then_zero(spark, block_days):
     rows = [(datetime(2024, 1, 1, h), x) for h, x in enumerate(GAP)]
     df = spark.createDataFrame(rows, "datetime timestamp_ntz, temperature double")
-    got = fill.forward_fill(df, "datetime", ["temperature"], default=0, max_rows=max_rows)
+    got = fill.forward_fill(df, "datetime", ["temperature"], default=0, block_days=block_days)
     assert [r.temperature for r in got.orderBy("datetime").collect()] == [0.0, 3.0, 3.0, 5.0, 5.0]
-    raw = fill.forward_fill(df, "datetime", ["temperature"], max_rows=max_rows)
+    raw = fill.forward_fill(df, "datetime", ["temperature"], block_days=block_days)
     assert raw.orderBy("datetime").first().temperature is None
 
 
@@ -114,7 +116,7 @@ def test_fill_over_blocks_equals_one_window(spark):
         F.when(F.col("id") % 97 == 5, F.col("id").cast("double")).alias("a"),
         F.when((F.col("id") > 500) & (F.col("id") < 510), F.col("id").cast("int")).alias("b"),
     )
-    one = fill.forward_fill(df, "datetime", ["a", "b"], default=0, max_rows=2000)
+    one = fill.forward_fill(df, "datetime", ["a", "b"], default=0, block_days=4000)
     many = fill.forward_fill(df, "datetime", ["a", "b"], default=0, block_days=3)
     assert one.dtypes == many.dtypes
     assert one.exceptAll(many).count() == 0 and many.count() == 2000
@@ -131,7 +133,7 @@ def test_dense_rows_are_not_shuffled(spark, sf):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         hourly = driver.counts(spark, sf)
-        df = panel.dense_panel(demand.keys_of(hourly), hourly, driver.SPAN)
+        df = panel.dense_panel(demand.keys_of(hourly), hourly, SPAN)
         lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

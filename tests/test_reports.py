@@ -103,8 +103,7 @@ def test_quantiles_equal_numpy(spark, values, probs):
 
 
 @pytest.mark.parametrize("share_of_hot", [0.0, 0.4, 0.95])
-def test_quantiles_through_the_sketch(spark, monkeypatch, share_of_hot):
-    monkeypatch.setattr(quantile, "SMALL", 0)
+def test_quantiles_through_the_sketch(spark, share_of_hot):
     rng = np.random.default_rng(1)
     x = np.where(rng.random(60_000) < share_of_hot, 7.0, rng.lognormal(2, 2, 60_000))
     path_df = spark.createDataFrame([(i % 2, float(v)) for i, v in enumerate(x)], "g int, x double")
@@ -186,3 +185,23 @@ def test_bucket_rows_add_up(spark, sf):
     scored = driver.scored(spark, sf)
     got = binning.bucket_error(scored, S.BUCKET_EDGES, S.BUCKET_LABELS).agg(F.sum("n")).first()[0]
     assert got == scored.count()
+
+
+def test_sample_is_exact_where_keys_repeat(spark):
+    df = spark.range(0, 2000).select((F.col("id") / 2).cast("long").alias("k"), F.lit("x").alias("t"))
+    for n in (1, 501, 502, 1999, 2000, 2500):
+        for method in ("xxhash64", "md5"):
+            assert sampling.sample_exact(df, n, 3, ["k"], method).count() == min(n, 2000)
+    hot = df.withColumn("k", F.lit(7))
+    assert sampling.sample_exact(hot, 777, 3, ["k"]).count() == 777
+
+
+def test_quantiles_neither_broadcast_data_nor_rank_it(spark):
+    rng = np.random.default_rng(4)
+    values = np.concatenate([rng.normal(size=4000), np.full(3000, 0.25), [1e300, -1e300]])
+    df = spark.createDataFrame([(float(v), int(i % 3)) for i, v in enumerate(values)], "v double, g int")
+    got = quantile.exact_quantiles(df, "v", [0.0, 0.001, 0.3, 0.5, 0.77, 1.0], ["g"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Broadcast" not in plan
+    for r in got.collect():
+        assert r.quantile == pytest.approx(np.quantile(values[np.arange(len(values)) % 3 == r.g], r.prob))

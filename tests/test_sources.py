@@ -88,6 +88,8 @@ def test_nested_zip(spark, tmp_path):
         z.writestr("202402-odd.csv", "a,b\n1,2\n")
     members = archives.list_members(spark, f"{tmp_path}/*.zip")
     assert members.count() == 3
+    outcomes = {r.member: (r.rows, r.problem) for r in archives.member_outcomes(members, S.TRIPS.names).collect()}
+    assert outcomes["202401-trips.csv"] == (500, None) and outcomes["202402-odd.csv"][1].startswith("missing columns")
     rows = archives.read_zipped_csv(spark, f"{tmp_path}/*.zip")
     assert rows.schema == S.TRIPS
     assert tuple(rows.agg(F.count("*"), F.countDistinct("ride_id"), F.max("start_lat")).first()) == (30_500, 30_500, 1.0)
@@ -146,3 +148,62 @@ def test_ingest_reads_each_file_once(spark, tmp_path):
     write(tmp_path / "in" / "b.csv", f"{head}\n2,2024-01-01 00:20:00,A,Alpha,1,2\n3,bad,A,Alpha,1,2\n")
     ingest.ingest_new_files(spark, src, state, table)
     assert sorted(r.ride_id for r in ingest.read_ingested(spark, table).collect()) == ["1", "2"]
+
+
+def test_a_short_row_costs_only_itself(spark, tmp_path):
+    good = trips_csv(60_000).split("\n")
+    good.insert(30_000, "short,row")
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("202401-trips.csv", "\n".join(good))
+    rows = archives.read_zipped_csv(spark, f"{tmp_path}/*.zip")
+    assert rows.count() == 60_001 and rows.where("ride_id = 'short' AND started_at IS NULL").count() == 1
+
+
+def test_broken_archives_and_members_are_left_out_whole_and_listed(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "good.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("202401-trips.csv", trips_csv(100))
+    (tmp_path / "not.zip").write_text("this is no archive")
+    with zipfile.ZipFile(tmp_path / "bad.zip", "w", zipfile.ZIP_STORED) as z:
+        z.writestr("202402-trips.csv", trips_csv(50_000))
+    data = bytearray((tmp_path / "bad.zip").read_bytes())
+    data[1_000_000] ^= 0xFF
+    (tmp_path / "bad.zip").write_bytes(bytes(data))
+    assert archives.read_zipped_csv(spark, f"{tmp_path}/*.zip").count() == 100
+    outcomes = archives.member_outcomes(archives.list_members(spark, f"{tmp_path}/*.zip"), S.TRIPS.names).collect()
+    problems = {r.archive.rsplit("/", 1)[1]: r.problem for r in outcomes}
+    assert problems["good.zip"] is None
+    assert problems["not.zip"].startswith("cannot read") and problems["bad.zip"].startswith("cannot read")
+
+
+def test_a_cut_compressed_file_is_left_out_whole(spark, tmp_path):
+    import gzip
+
+    packed = gzip.compress(trips_csv(50_000).encode())
+    (tmp_path / "whole.csv.gz").write_bytes(packed)
+    (tmp_path / "cut.csv.gz").write_bytes(packed[: len(packed) // 2])
+    write(tmp_path / "plain.csv", trips_csv(10))
+    assert tables.read_trips(spark, f"{tmp_path}/*.csv*").count() == 50_010
+    skipped = files.skipped_files(spark, f"{tmp_path}/*.csv*", S.TRIPS.names).collect()
+    assert [(r.file.rsplit("/", 1)[1], r.reason) for r in skipped] == [("cut.csv.gz", "cannot read: EOFError")]
+    got = {r.file.rsplit("/", 1)[1]: r.rows for r in files.file_outcomes(spark, f"{tmp_path}/*.csv*", S.TRIPS.names).collect()}
+    assert got == {"whole.csv.gz": 50_000, "cut.csv.gz": None, "plain.csv": 10}
+
+
+def test_a_quoted_comma_in_the_header(spark, tmp_path):
+    write(tmp_path / "a.csv", '"a, b",c\n1,2\n')
+    groups, skipped = files.group_by_header(spark, files.glob(spark, f"{tmp_path}/*.csv"), ["a, b", "c"])
+    assert list(groups) == [("a, b", "c")] and not skipped
+
+
+def test_upsert_goes_on_after_a_failed_write(spark, tmp_path):
+    path = str(tmp_path / "metrics")
+    rows = spark.createDataFrame([("a", "val", 1.0, 1.0)], S.METRICS)
+    sinks.upsert_versioned(rows, path, ["model"])
+    (tmp_path / "metrics" / "version=00000001").mkdir()
+    assert sinks.upsert_versioned(rows, path, ["model"]).count() == 1
+    assert sinks.upsert_versioned(rows, path, ["model"]).count() == 1
+
+
+def test_store_addresses():
+    assert archives.store_uri("s3a://b/x.zip") == "s3://b/x.zip" and archives.store_uri("file:/a/b") == "file:///a/b"
+    assert archives.store_uri("/a/b") == "/a/b"
