@@ -31,12 +31,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id."""
-    groups = simhash.near_duplicates(docs)
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    held = docs.withColumn("_key", F.col("doc_id")).join(first.withColumnRenamed("doc_id", "_first"), F.col("_key").eqNullSafe(F.col("_first")), "left_semi")
-    # Rows that share an id are copies of one document: the first in order of the other columns stays.
-    return held.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("_row")).select("doc_id", "_row.*")
+    """Of each linked group of near duplicates one row: the smallest id, null ids last, then a hash of the row."""
+    return simhash.one_of_each_group(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hourloom.llm.base import bounded, small_batches, stored
 from hourloom.llm.components import components
@@ -297,14 +298,46 @@ def near_duplicates(
 ) -> DataFrame:
     """(key, fingerprint, component_id) of every row; the fingerprint has 16 lower-case hex digits."""
     rows = stored(fingerprints(docs, key, text, shingle), "simhash")
-    least = stored(rows.groupBy("_fp").agg(F.min("_key").alias("_least")), "simhash-values")
-    groups = components(near_links(least.select("_fp"), max_bits))
-    known = least.join(groups, least["_fp"] == groups["id"], "left").select(
-        "_fp", "_least", F.coalesce("component", "_fp").alias("_group")
-    )
-    known = stored(known, "simhash-groups")
+    known = _groups(rows, max_bits)
     smallest = stored(known.groupBy("_group").agg(F.min("_least").alias("component_id")), "simhash-least")
     labels = stored(known.join(smallest, "_group").select("_fp", "component_id"), "simhash-labels")
     return rows.join(labels, "_fp").select(
         F.col("_key").alias(key), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def _groups(rows: DataFrame, max_bits: int) -> DataFrame:
+    """(_fp, _least, _group) of every fingerprint: its smallest key, and the fingerprint that names its linked group."""
+    least = stored(rows.groupBy("_fp").agg(F.min("_key").alias("_least")), "simhash-values")
+    groups = components(near_links(least.select("_fp"), max_bits))
+    known = least.join(groups, least["_fp"] == groups["id"], "left").select(
+        "_fp", "_least", F.coalesce("component", "_fp").alias("_group")
+    )
+    return stored(known, "simhash-groups")
+
+
+def one_of_each_group(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS
+) -> DataFrame:
+    """Exactly one row of ``docs`` for each linked group, with all columns, whatever the keys are.
+
+    The row with the smallest key stays, null keys last; rows that share it go by a hash of all columns.
+    Rows are numbered once, when they are stored, so that neither null nor repeated keys confuse them.
+    """
+    names = docs.columns
+    rows = bounded(docs).select(F.col(text).alias("_text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)])
+    kinds = T.StructType([T.StructField("_fp", T.LongType()), *rows.schema.fields[1:]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 0):
+            got = [fingerprint_of(t.as_py() or "", shingle) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64()), *batch.columns[1:]], kinds.names)
+
+    numbered = rows.mapInArrow(run, kinds).withColumn("_row", F.monotonically_increasing_id())
+    held = stored(numbered, "simhash-rows")
+    own = F.col(f"_c{names.index(key)}")
+    prints = held.select("_fp", "_row", own.alias("_key"), F.xxhash64(*kinds.names[1:]).alias("_order"))
+    known = _groups(prints, max_bits).select("_fp", "_group")
+    place = F.struct(F.col("_key").isNull().alias("_none"), "_key", "_order", "_row")
+    first = prints.join(known, "_fp").groupBy("_group").agg(F.min(place).alias("_first")).select("_first._row")
+    return held.join(first, "_row", "left_semi").select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])
