@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from hourloom.llm.base import bounded, small_batches, worker_cache
 
-WINDOW, STRIDE = 32, 28
+WINDOW, STRIDE = 32, 16  # any passage of up to 17 words lies whole in a window
 SAMPLE = 2000  # bound of the labelled sample, in documents of each class
-TRAIN_WINDOWS = 200  # bound of a document's windows in training, spread over the whole text
+TRAIN_WINDOWS = 350  # bound of a document's windows in training, spread over the whole text
 VOCABULARY, TRIGRAM_BUCKETS = 20_000, 1 << 13
 WORD_DIMS = CHAR_DIMS = 4
 HIDDEN, ATTENTION = 8, 8

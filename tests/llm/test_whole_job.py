@@ -1,6 +1,10 @@
 """Cases in which an operator did less than its whole job."""
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from hourloom.llm import fingerprint, langid, toxicity
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -17,3 +21,10 @@ def test_unrelated_documents_without_an_id_or_under_one_id_stay(spark, sf):
     got = corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(rows, COLUMNS), sf).collect()
     want = [(None, prose(k)) for k in range(1, 5)] + [(3, prose(0)), (2, prose(10)), (7, prose(11)), (8, prose(20))]
     assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(want, key=repr)
+
+
+def test_half_a_window_of_words_lies_whole_in_a_window():
+    for n in (33, 60, 61, 500):
+        held = [set(w.tolist()) for w in toxicity.windows(np.arange(n))]
+        size = toxicity.WINDOW // 2
+        assert all(any(set(range(a, a + size)) <= w for w in held) for a in range(n - size + 1))
