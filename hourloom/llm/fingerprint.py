@@ -7,9 +7,10 @@ order, and a paragraph is inserted or deleted by adding or subtracting its vecto
 The vector of a paragraph has two parts:
 
 * ``EXACT`` lanes modulo 2^32: hash words of the whole paragraph. Equal multisets have equal lanes.
-* ``LIKE`` lanes modulo 2^16: the sum, over the paragraph's runs of up to four words, of +1 or -1 as
-  the bits of the run's hash say. The angle between two such sums estimates how many runs two
-  documents share, with a standard error of about 1 / sqrt(LIKE).
+* ``LIKE`` lanes modulo 2^32: the sum, over the paragraph's runs of ``RUN`` words, of +1 or -1 as the
+  bits of the run's hash say. A run starts at every word that has enough words after it, so a word more
+  or less changes only the runs around it; a paragraph of fewer words is one run. The angle between two
+  such sums estimates how many runs two documents share, with a standard error of about 1 / sqrt(LIKE).
 
 Defined results: a null text is an empty text; an empty text is one empty paragraph; repeated
 paragraphs and repeated rows count as often as they occur.
@@ -25,15 +26,20 @@ from pyspark.sql import functions as F
 from hourloom.llm.base import cut_points, range_of
 
 EXACT, LIKE = 8, 96
-EXACT_BITS, LIKE_BITS = 32, 16
-RUN = r"[^\s]+(?:[ \t]+[^\s]+){0,3}"
+EXACT_BITS, LIKE_BITS = 32, 32
+RUN = 4
 _PAIR, _LOW = 0x0000000100000001, 0xFFFFFFFF
 
 
 def units(text: Column) -> Column:
     """The paragraphs, each behind a newline, and their word runs."""
-    paragraphs = F.transform(F.split(text, "\n", -1), lambda p: F.concat(F.lit("\n"), p))
-    return F.concat(paragraphs, F.regexp_extract_all(text, F.lit(RUN), F.lit(0)))
+    paragraphs = F.split(text, "\n", -1)
+    words = F.filter(F.transform(paragraphs, lambda p: F.regexp_extract_all(p, F.lit(r"\S+"), F.lit(0))), lambda w: F.size(w) > 0)
+    # Places past the last word are null, and concat_ws leaves them out.
+    runs = lambda w: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(w) - RUN)), lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(RUN)])
+    )
+    return F.concat(F.transform(paragraphs, lambda p: F.concat(F.lit("\n"), p)), F.flatten(F.transform(words, runs)))
 
 
 def _hashes(unit: Column) -> list[Column]:

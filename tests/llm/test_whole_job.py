@@ -23,6 +23,23 @@ def test_unrelated_documents_without_an_id_or_under_one_id_stay(spark, sf):
     assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(want, key=repr)
 
 
+def test_one_word_more_leaves_near_copies_alike(spark):
+    rows = []
+    for lines in (1, 4):
+        text = "\n".join(prose(k, 240 // lines) for k in range(lines))
+        rows += [(len(rows), text), (len(rows) + 1, "new " + text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    v = {r.doc_id: r.lanes for r in fingerprint.fingerprint(docs).collect()}
+    pair = spark.createDataFrame([(v[0], v[1]), (v[2], v[3])], "a array<long>, b array<long>")
+    assert all(r[0] > 0.9 for r in pair.select(fingerprint.likeness(F.col("a"), F.col("b"))).collect())
+
+
+def test_runs_start_at_every_word(spark):
+    rows = [("a b  c\td e\n\nf g",), ("",)]
+    got = spark.createDataFrame(rows, "t string").select(fingerprint.units(F.col("t"))).collect()
+    assert got[0][0] == ["\na b  c\td e", "\n", "\nf g", "a b c d", "b c d e", "f g"] and got[1][0] == ["\n"]
+
+
 def test_half_a_window_of_words_lies_whole_in_a_window():
     for n in (33, 60, 61, 500):
         held = [set(w.tolist()) for w in toxicity.windows(np.arange(n))]
