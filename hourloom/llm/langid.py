@@ -7,9 +7,10 @@ q / (T + q), and is predicted by the next shorter context, renormalised over the
 excluded; the shortest context falls back to the uniform distribution. A text's score in a language is
 its exact code length in bits, over the whole text; the shortest code wins, ties go to the first name.
 
-The code lengths of all (context, byte) pairs are laid out as one table with a column per language, so
-that scoring is a lookup per byte. Contexts that no language has seen use their longest known suffix.
-The table is bounded: of the longest contexts only the most frequent are kept.
+The code lengths of the most frequent contexts are laid out as one table of bounded size with a column
+per language, so that scoring is a lookup per byte. Contexts that no language has seen use their longest
+known suffix. Bytes behind a context without room in the table are searched in sorted arrays of the
+grams seen, language by language, which gives the same code lengths: every frozen count is used.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; rows without a language
 are not learned from; if nothing could be learned every text is ``und``; repeated rows count each time.
@@ -30,12 +31,12 @@ from hourloom.llm.base import bounded, small_batches, worker_cache
 
 ORDER = 3
 DOCS_PER_LANGUAGE = 600  # bound of the labelled sample
-MAX_LANGUAGES = 64
-TABLE_BYTES = 48 << 20
+TABLE_BYTES = 48 << 20  # of the table; what does not fit is searched
 UNKNOWN = "und"
 _START = b"\n" * ORDER
 _LETTER = regex.compile(r"\p{L}")
 _SLICE, _ROWS = 1 << 18, 1024
+_SEARCHED = (1 << 16) - 1  # row number of contexts outside the table
 
 
 def normal_bytes(text: str) -> bytes:
@@ -92,16 +93,55 @@ def _predictions(keep: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]],
     return out
 
 
+class Searched:
+    """Exact code lengths of one language from sorted arrays of its grams and contexts, order by order."""
+
+    def __init__(self, gram: np.ndarray, count: np.ndarray):
+        self.grams, self.bits, self.contexts, self.escapes = [], [], [], []
+        lower = None
+        for order in range(ORDER + 1):
+            keys, back = np.unique(gram & np.uint32((1 << (8 * (order + 1))) - 1), return_inverse=True)
+            c = np.bincount(back, count)
+            contexts, at = np.unique(keys >> np.uint32(8), return_inverse=True)
+            t, q = np.bincount(at, c), np.bincount(at)
+            # The suffix of a gram that was seen was seen too.
+            below = np.full(len(keys), 1 / 256) if lower is None else lower[np.searchsorted(self.grams[-1], keys & np.uint32((1 << (8 * order)) - 1))]
+            escape = np.where(q < 256, q, 0)
+            rest = np.maximum(1e-300, 1 - np.bincount(at, below))
+            lower = c / (t + escape)[at]
+            self.grams.append(keys)
+            self.bits.append(-np.log2(lower))
+            self.contexts.append(contexts)
+            self.escapes.append(np.where(escape > 0, -np.log2(np.maximum(1, escape) / (t + escape) / rest), 0.0))
+
+    def lengths(self, gram: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each gram."""
+        out = np.zeros(len(gram))
+        todo = np.arange(len(gram))
+        for order in range(ORDER, -1, -1):
+            key = gram[todo] & np.uint32((1 << (8 * (order + 1))) - 1)
+            at = np.minimum(np.searchsorted(self.grams[order], key), len(self.grams[order]) - 1)
+            seen = self.grams[order][at] == key
+            out[todo[seen]] += self.bits[order][at[seen]]
+            todo, context = todo[~seen], key[~seen] >> np.uint32(8)
+            at = np.minimum(np.searchsorted(self.contexts[order], context), len(self.contexts[order]) - 1)
+            out[todo] += np.where(self.contexts[order][at] == context, self.escapes[order][at], 0.0)
+        out[todo] += 8  # uniform over the bytes
+        return out
+
+
 class CodeTable:
-    """Bits of every (context row, byte) in every language."""
+    """Bits of every (context row, byte) in every language, and the way to those without a row."""
 
     def __init__(self, stats: Statistics):
         self.languages = stats.languages
         n_lang = len(stats.languages)
         # Row 0 is the uniform distribution; then the rows of the contexts, shorter ones first.
         table = np.full((1, 256, n_lang), 1 / 256, np.float32)
-        room = min((1 << 16) - 1, max(1, TABLE_BYTES // (256 * 4 * n_lang)))
+        room = min(_SEARCHED, max(1, TABLE_BYTES // (256 * 4 * n_lang)))
+        step = max(1, 4 * _ROWS // n_lang)
         self.row_of = np.zeros(1, np.uint16)  # by context value, for the order so far
+        self.searched: list[Searched] = []
         for order in range(ORDER + 1):
             contexts, counts = _context_counts(stats, order)
             keep = np.arange(len(contexts))
@@ -112,15 +152,19 @@ class CodeTable:
                 keep = np.sort(np.argsort(-weight, kind="stable")[: max(0, room - len(table))])
             if order:
                 self.row_of = np.tile(self.row_of, 256)
+            # A context without room leaves none for longer ones, so the suffix of a kept context is kept.
             parents = self.row_of[contexts[keep]]
             grown = np.empty((len(table) + len(keep), 256, n_lang), np.float32)
             grown[: len(table)] = table
-            for start in range(0, len(keep), _ROWS):
-                part = slice(start, start + _ROWS)
+            for start in range(0, len(keep), step):
+                part = slice(start, start + step)
                 made = _predictions(keep[part], counts, table[parents[part]])
                 grown[len(table) + start : len(table) + start + len(made)] = made
+            self.row_of[contexts] = _SEARCHED
             self.row_of[contexts[keep]] = len(table) + np.arange(len(keep))
             table = grown
+        if (self.row_of == _SEARCHED).any():
+            self.searched = [Searched(g, n) for g, n in zip(stats.grams, stats.counts, strict=True)]
         np.log2(table, out=table)
         self.bits = np.negative(table, out=table).reshape(-1, n_lang)
 
@@ -128,10 +172,17 @@ class CodeTable:
         """Bits of the whole text in each language."""
         out = np.zeros(len(self.languages))
         held = _START + data
-        for start in range(0, len(data), _SLICE):
-            b = np.frombuffer(held, np.uint8)[start : start + _SLICE + ORDER].astype(np.int32)
+        step = max(1, min(_SLICE, (1 << 22) // len(out)))
+        for start in range(0, len(data), step):
+            b = np.frombuffer(held, np.uint8)[start : start + step + ORDER].astype(np.int32)
             context = (b[:-3] << 16) | (b[1:-2] << 8) | b[2:-1]
-            at = self.row_of[context].astype(np.int64) * 256 + b[3:]
+            row, last = self.row_of[context], b[3:]
+            if self.searched:
+                rest = row == _SEARCHED
+                gram, n = np.unique((context[rest].astype(np.uint32) << np.uint32(8)) | last[rest].astype(np.uint32), return_counts=True)
+                out += [n @ one.lengths(gram) for one in self.searched]
+                row, last = row[~rest], last[~rest]
+            at = row.astype(np.int64) * 256 + last
             out += np.ones(len(at), np.float32) @ self.bits.take(at, axis=0)
         return out
 
@@ -163,18 +214,20 @@ def train(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
     rows = bounded(docs).filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("_text"), F.xxhash64(key).alias("_h")
     )
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not sizes:
-        return Statistics([], [], [])
-    shares = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], int(min(1.0, per_language / r["count"]) * (1 << 30)))])
-    sample = rows.filter(F.col("_h").bitwiseAND((1 << 30) - 1) < F.element_at(shares, F.col("lang")))
+    # One row per language, beside rows that are not shuffled.
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    share = (F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("_n")) * (1 << 30)).cast("long")
+    sample = rows.join(F.broadcast(sizes), "lang").filter(F.col("_h").bitwiseAND((1 << 30) - 1) < share)
     counted = sample.select("lang", "_text").mapInArrow(_count_grams, "lang string, gram long, n long")
     found = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    names = np.array(found.column("lang").to_pylist())
+    if not found.num_rows:
+        return Statistics([], [], [])
+    names = found.column("lang").combine_chunks().dictionary_encode()
     gram, n = found.column("gram").to_numpy(), found.column("n").to_numpy()
-    languages = sorted(set(names.tolist()))
-    picks = [np.sort(np.flatnonzero(names == x)) for x in languages]
-    return Statistics(languages, [gram[p].astype(np.uint32) for p in picks], [n[p] for p in picks])
+    order = np.argsort(names.indices.to_numpy(), kind="stable")
+    picks = np.split(order, np.cumsum(np.bincount(names.indices.to_numpy()))[:-1])
+    by_name = sorted(zip(names.dictionary.to_pylist(), picks, strict=True), key=lambda x: x[0])
+    return Statistics([x for x, _ in by_name], [gram[p].astype(np.uint32) for _, p in by_name], [n[p] for _, p in by_name])
 
 
 def predict(docs: DataFrame, stats: Statistics, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

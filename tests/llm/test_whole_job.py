@@ -45,3 +45,30 @@ def test_half_a_window_of_words_lies_whole_in_a_window():
         held = [set(w.tolist()) for w in toxicity.windows(np.arange(n))]
         size = toxicity.WINDOW // 2
         assert all(any(set(range(a, a + size)) <= w for w in held) for a in range(n - size + 1))
+
+
+def counted(texts):
+    grams, counts = zip(*(np.unique(langid.grams(langid.normal_bytes(t)), return_counts=True) for t in texts), strict=True)
+    return langid.Statistics([f"l{i}" for i in range(len(texts))], list(grams), list(counts))
+
+
+def test_code_lengths_do_not_depend_on_the_room_of_the_table(monkeypatch):
+    rng = np.random.default_rng(1)
+    stats = counted([" ".join("".join(rng.choice(list(letters), 4)) for _ in range(400)) for letters in ("abcdefg", "efghijké", "ghistuvж")])
+    probes = ["abcd efgh ghis", "zebra 12 ж", "é" * 50, ""]
+    whole = langid.CodeTable(stats)
+    for rows in (1, 2, 5, 40, 200):
+        monkeypatch.setattr(langid, "TABLE_BYTES", rows * 256 * 4 * 3)
+        small = langid.CodeTable(stats)
+        assert len(small.bits) <= rows * 256 and not whole.searched
+        for p in probes:
+            data = langid.normal_bytes(p)
+            assert np.allclose(small.code_lengths(data), whole.code_lengths(data), rtol=1e-5, atol=1e-3)
+
+
+def test_every_language_is_learned(spark):
+    words = [f"{chr(0x4E00 + 3 * k)}{chr(0x4E01 + 3 * k)}" for k in range(70)]
+    docs = spark.createDataFrame([(k, f"{w} {w}", f"l{k:02}") for k, w in enumerate(words)], "doc_id long, text string, lang string")
+    stats = langid.train(docs, F.lit(True))
+    assert stats.languages == [f"l{k:02}" for k in range(70)]
+    assert all(r.lang_pred == f"l{r.doc_id:02}" for r in langid.predict(docs, stats).collect())
