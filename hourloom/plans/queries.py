@@ -1020,32 +1020,27 @@ def forest_scores(spark, sf):
     return _fit_and_report(spark, sf, "forest", lambda train, val: trees.fit_rf(train, **trees.FOREST))
 
 
-# What the boosting queries run; the reported settings are trees.BOOST and trees.BOOST_LEAVES.
-SMALL_BOOST = {"rounds": 12, "step": 0.2, "depth": 4, "bins": 32, "patience": 3}
-
-
 @query
 def boost_scores(spark, sf):
-    """Boosting, stopped early."""
-    return _fit_and_report(spark, sf, "boost", lambda train, val: trees.fit_gbt(train, val, **SMALL_BOOST))
+    """Boosting at its reported setting, stopped early."""
+    return _fit_and_report(spark, sf, "boost", lambda train, val: trees.fit_gbt(train, val, **trees.BOOST))
 
 
 @query
 def boost_leaves_scores(spark, sf):
-    """Boosting with a least number of rows per leaf, stopped early."""
-    preset = {**trees.BOOST_LEAVES, **SMALL_BOOST, "min_leaf": trees.BOOST_LEAVES["min_leaf"]}
-    return _fit_and_report(spark, sf, "leaves", lambda train, val: trees.fit_gbt(train, val, **preset))
+    """Boosting with a least number of rows per leaf at its reported setting, stopped early."""
+    return _fit_and_report(spark, sf, "leaves", lambda train, val: trees.fit_gbt(train, val, **trees.BOOST_LEAVES))
 
 
 @query
 def mlp_scores(spark, sf):
-    """The network with its reported layers, for a few epochs."""
-    return _fit_and_report(spark, sf, "mlp", lambda train, val: mlp.fit_mlp(train, max_epochs=5))
+    """The network at its reported setting."""
+    return _fit_and_report(spark, sf, "mlp", lambda train, val: mlp.fit_mlp(train))
 
 
 def _boosted(spark, sf):
     rows, train, val = _parts(spark, sf)
-    return rows, trees.fit_gbt(train, val, **SMALL_BOOST)
+    return rows, trees.fit_gbt(train, val, **trees.BOOST)
 
 
 @query
@@ -1073,22 +1068,12 @@ def saved_model_scores(spark, sf):
     )
 
 
-# Trials and rounds that the two search queries run; the space is the whole one.
-QUERY_TRIALS, QUERY_ROUNDS, QUERY_PATIENCE = 2, 4, 2
-
-
-def _search(spark, sf):
+def _search(spark, sf, n_trials=search.TRIALS):
     rows, train, val = _parts(spark, sf)
-    trials = search.search(
-        spark, train, val, n_trials=QUERY_TRIALS, rounds=QUERY_ROUNDS, patience=QUERY_PATIENCE, parallelism=2
-    )
-    return rows, trials
+    return rows, search.search(spark, train, val, n_trials=n_trials, parallelism=2)
 
 
-@query
-def hyper_parameter_search(spark, sf):
-    """Trials within the space, and whether the best one is marked by the smallest error."""
-    trials = sinks.materialize(_search(spark, sf)[1], "trials")
+def _search_report(trials):
     best = search.best_params(trials).select(F.col("best_val_rmse"))
     inside = F.lit(True)
     for name, p in search.SPACE.items():
@@ -1098,13 +1083,29 @@ def hyper_parameter_search(spark, sf):
     )
 
 
+# The SQL of hyper_parameter_search states two trials; hyper_parameter_search_whole runs all.
+SQL_TRIALS = 2
+
+
+@query
+def hyper_parameter_search(spark, sf):
+    """Trials within the space, and whether the best one is marked by the smallest error."""
+    return _search_report(sinks.materialize(_search(spark, sf, SQL_TRIALS)[1], "trials"))
+
+
+@query
+def hyper_parameter_search_whole(spark, sf):
+    """All trials of the reported search."""
+    return _search_report(sinks.materialize(_search(spark, sf)[1], "trials"))
+
+
 @query
 def best_trial_refit(spark, sf):
     """Best trial's parameters, refitted on all training rows."""
     rows, trials = _search(spark, sf)
     best = search.best_params(trials).first().asDict()
     train, val = clean.for_split(rows, "train"), clean.for_split(rows, "val")
-    model = search.refit_best(train, val, best, rounds=QUERY_ROUNDS, patience=QUERY_PATIENCE)
+    model = search.refit_best(train, val, best)
     return _report(model, clean.for_split(rows, "val", "test"), "tuned")
 
 
@@ -1120,6 +1121,15 @@ def learning_curve(spark, sf):
     return runs.drop("elapsed_s")
 
 
+@query
+def learning_curve_trainers(spark, sf):
+    """Learning curve of all five trainers at their reported settings over nested samples."""
+    rows, train, val = _parts(spark, sf)
+    held = clean.for_split(rows, "test")
+    runs = curve.learning_curve(spark, train, val, held, list(curve.TRAINERS), path=shared_dir(spark, "curve"))
+    return runs.drop("elapsed_s")
+
+
 # Incremental ingest
 
 
