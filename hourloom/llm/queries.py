@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm import bpe, decontam, fingerprint, langid, linedup, pii, quality, simhash, tokenstore, toxicity
+from hourloom.llm import bpe, decontam, fingerprint, hmm, langid, linedup, pii, quality, simhash, tokenstore, toxicity
 from hourloom.llm.base import documents, fold_of
 
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
@@ -102,11 +102,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hidden_markov_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every text under a hidden Markov model, and under single-token counts."""
+    docs, learn = documents(spark, sf_dir), _not_fold(7, 2)
+    voc = hmm.vocabulary(docs, learn)
+    encoded = hmm.encode(docs, voc, learn)
+    scored = hmm.score(encoded, voc, hmm.train(encoded, voc))
+    return scored.select("doc_id", _held_out(7, 2), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_document_fingerprints, op2_quality_classifier, op3_byte_bpe, op4_language_id, op5_toxicity,
         op6_line_dedup, op7_pseudonyms, op8_token_store, op9_simhash, op10_decontamination,
+        op11_hidden_markov_lm,
     )
 }
 
