@@ -135,3 +135,23 @@ def range_of(key: str, cuts: list[int]) -> Column:
         F.lit(0),
         lambda at, step: F.when(F.get(points, at + step) <= key_col, at + step).otherwise(at),
     )
+
+
+def frequent(table: DataFrame, count: str, room: int, fits: Column | None = None) -> tuple[Column, bool]:
+    """A condition for the most frequent rows of a stored table of counts, at most ``room`` that fit; whether that is all rows.
+
+    The least count is found from a histogram of logarithms, so nothing is sorted; rows of one level
+    are taken together or not at all.
+    """
+    fits = F.lit(True) if fits is None else fits
+    level = F.floor(F.log2(F.col(count).cast("double")) * 8).cast("int")
+    levels = table.groupBy(level.alias("level")).agg(F.count_if(fits).alias("n"), F.count("*").alias("all")).collect()  # 504 at most
+    least, left = None, room
+    for r in sorted(levels, key=lambda r: -r.level):
+        left -= r.n
+        if left < 0:
+            break
+        least = r.level
+    if least is None:
+        return F.lit(False), not levels
+    return (level >= least) & fits, left >= 0 and sum(r["all"] for r in levels) == room - left

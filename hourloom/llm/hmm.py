@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourloom.llm.base import bounded, small_batches, stored
+from hourloom.llm.base import bounded, frequent, small_batches, stored
 
 STATES = 10
 # Words that are symbols of their own, and symbols that other words share by their ending.
@@ -128,22 +128,10 @@ def vocabulary(docs: DataFrame, learn: Column, text: str = "text") -> Vocabulary
     The carried words are all above a count, found from a histogram of the counts' logarithms.
     """
     counts = stored(word_counts(docs, learn, text), "word-counts")
-    level = F.floor(F.log2(F.col("c").cast("double")) * 8).cast("int")
-    levels = counts.groupBy(level.alias("level")).agg(
-        F.count("*").alias("words"), F.sum("c").alias("tokens"),
-        F.count_if((F.octet_length("word") <= CARRIED_BYTES)).alias("short"),
-    ).collect()  # at most 8 x 63 rows
-    room, least = CARRIED, None
-    for r in sorted(levels, key=lambda r: -r.level):
-        room -= r.short
-        if room < 0:
-            break
-        least = r.level
-    words, c = [], np.zeros(0, np.int64)
-    if least is not None:
-        top = counts.filter((level >= least) & (F.octet_length("word") <= CARRIED_BYTES)).toArrow()
-        found = sorted(zip(top["c"].to_pylist(), top["word"].to_pylist(), strict=True), key=lambda x: (x[1] != END, -x[0], x[1]))
-        words, c = [w for _, w in found], np.array([n for n, _ in found], np.int64)
+    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count("*").alias("words")).first()
+    top = counts.filter(frequent(counts, "c", CARRIED, F.octet_length("word") <= CARRIED_BYTES)[0]).toArrow()
+    found = sorted(zip(top["c"].to_pylist(), top["word"].to_pylist(), strict=True), key=lambda x: (x[1] != END, -x[0], x[1]))
+    words, c = [w for _, w in found], np.array([n for n, _ in found], np.int64)
     shared, once = np.zeros(ENDINGS), np.zeros(ENDINGS)
     for r in counts.groupBy(_ending("word").alias("s")).agg(F.sum("c").alias("n"), F.count_if(F.col("c") == 1).alias("once")).collect():
         shared[r.s - OWN], once[r.s - OWN] = r.n, r.once
@@ -151,7 +139,7 @@ def vocabulary(docs: DataFrame, learn: Column, text: str = "text") -> Vocabulary
         shared[ending(w) - OWN] -= n
         once[ending(w) - OWN] -= n == 1
     return Vocabulary(
-        counts, sum(r.tokens for r in levels), sum(r.words for r in levels), words, c, shared, np.maximum(once, 1.0)
+        counts, totals.tokens, totals.words, words, c, shared, np.maximum(once, 1.0)
     )
 
 
