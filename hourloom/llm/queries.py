@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm import bpe, decontam, fingerprint, hmm, langid, linedup, pii, quality, simhash, tokenstore, toxicity
+from hourloom.llm import bpe, decontam, fingerprint, hardneg, hmm, langid, linedup, pii, quality, simhash, spans, tokenstore, toxicity
 from hourloom.llm.base import documents, fold_of
 
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
 WORD_TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER, PIECE_MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
 END_ID = 2
 # A demonstration key; whoever runs the operator on real data passes one of their own.
 PSEUDONYM_KEY = b"demonstration key"
@@ -111,12 +112,30 @@ def op11_hidden_markov_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out(7, 2), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of tokens of two tokenizers that end together, and how often their links occur in the corpus."""
+    files = public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.path(PIECE_MODEL)
+    aligned = spans.align(documents(spark, sf_dir), *files)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return aligned.select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256")
+    )
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every hundredth vector and each of its positives, the best rows of other labels in a window of scores."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    scaled = rows.select("vec_id", label.alias("label"), hardneg.whole("embedding", 256.0).alias("vector"))
+    return hardneg.mine(scaled, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_document_fingerprints, op2_quality_classifier, op3_byte_bpe, op4_language_id, op5_toxicity,
         op6_line_dedup, op7_pseudonyms, op8_token_store, op9_simhash, op10_decontamination,
-        op11_hidden_markov_lm,
+        op11_hidden_markov_lm, op12_tokenizer_alignment, op13_hard_negatives,
     )
 }
 
@@ -168,5 +187,30 @@ ORACLES = {
                sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM doc_words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
     """,
+    "op13_hard_negatives": """
+        WITH rows_ AS (
+            SELECT row_number() OVER () AS row_, vec_id,
+                   CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+                  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), pairs AS (
+            SELECT a.row_ AS a_row, a.vec_id AS anchor_id, b.vec_id AS other_id, b.row_ AS b_row, a.label = b.label AS same,
+                   CAST(list_dot_product(list_transform(a.v, lambda x: CAST(x AS DOUBLE)),
+                                         list_transform(b.v, lambda x: CAST(x AS DOUBLE))) AS BIGINT) AS score
+            FROM rows_ a JOIN rows_ b ON a.row_ <> b.row_ WHERE a.vec_id % 100 = 0
+        ), positives AS (
+            SELECT * FROM pairs WHERE same
+            QUALIFY row_number() OVER (PARTITION BY a_row ORDER BY score DESC, other_id, b_row) <= 5
+        ), ranked AS (
+            SELECT p.anchor_id, p.other_id AS positive_id, n.other_id AS negative_id, p.score AS positive_score,
+                   n.score AS negative_score,
+                   row_number() OVER (PARTITION BY p.a_row, p.b_row ORDER BY n.score DESC, n.other_id, n.b_row) AS rank
+            FROM positives p JOIN pairs n ON p.a_row = n.a_row AND NOT n.same
+                 AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+        )
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+        FROM ranked WHERE rank <= 10
+    """,
 }
-
