@@ -12,19 +12,21 @@ from hourloom.operators.results import flag_top, with_share
 from hourloom.session import shared_dir
 
 
+def nodes(spark: SparkSession, model: PipelineModel) -> DataFrame:
+    """The nodes of a tree ensemble: treeID, nodeData. A saved ensemble is a table of them."""
+    path = shared_dir(spark, "ensemble")
+    model.stages[-1].write().overwrite().save(path)
+    return spark.read.parquet(f"{path}/data")
+
+
 def tree_importance(
     spark: SparkSession,
     model: PipelineModel,
     features: list[str] = S.FEATURES,
     labels: dict[str, str] = S.FEATURE_LABELS,
 ) -> DataFrame:
-    """Loss reduction (gain) and number of splits per feature, with shares; unused features have 0.
-
-    A saved ensemble is a table of nodes, which is read back and aggregated.
-    """
-    path = shared_dir(spark, "ensemble")
-    model.stages[-1].write().overwrite().save(path)
-    node = spark.read.parquet(f"{path}/data").select("nodeData.*").where("leftChild >= 0")
+    """Loss reduction (gain) and number of splits per feature, with shares; unused features have 0."""
+    node = nodes(spark, model).select("nodeData.*").where("leftChild >= 0")
     used = node.groupBy(F.col("split.featureIndex").alias("position")).agg(
         F.sum(F.col("gain") * F.col("rawCount")).alias("gain"), F.count("*").alias("splits")
     )

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark import SparkContext
 from pyspark.ml import PipelineModel
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourloom import schema as S
+from hourloom.models import boosting
 from hourloom.models.linear import assembler
 from hourloom.operators.sampling import sample_exact
 
@@ -20,13 +18,15 @@ ROW_KEYS = ["station_id", "datetime"]
 FOREST = {"trees": 100, "depth": 15, "min_leaf": 10, "subset": "all"}
 FOREST_CURVE = {"trees": 200, "depth": 30, "min_leaf": 1, "subset": "sqrt"}
 BOOST = {
-    "rounds": 300, "step": 0.05, "depth": 7, "rows": 0.8, "columns": 0.8, "min_leaf": 1, "bins": 256, "patience": 20,
+    "rounds": 300, "step": 0.05, "depth": 7, "rows": 0.8, "columns": 0.8, "min_leaf": 1, "l2": 1.0, "bins": 256, "patience": 20,
 }
 BOOST_CURVE = {**BOOST, "rounds": 2000, "depth": 8, "patience": 30}
-# 127 leaves fit a tree of depth 7.
-BOOST_LEAVES = {**BOOST, "rounds": 1000, "min_leaf": 20, "bins": 255}
+BOOST_LEAVES = {**BOOST, "rounds": 1000, "depth": None, "leaves": 127, "min_leaf": 20, "l2": 0.0, "bins": 255}
 BOOST_LEAVES_CURVE = {**BOOST_LEAVES, "rounds": 2000, "patience": 30}
 
+# Memory for the sums of the nodes that one pass splits, in MB, and passes between two checkpoints of the node ids.
+NODE_MEMORY, NODE_CHECKPOINT = 1024, 10
+
 
 def fit_rf(
     train: DataFrame,
@@ -50,6 +50,9 @@ def fit_rf(
         minInstancesPerNode=min_leaf,
         featureSubsetStrategy=subset,
         seed=seed,
+        maxMemoryInMB=NODE_MEMORY,
+        cacheNodeIds=True,
+        checkpointInterval=NODE_CHECKPOINT,
     )
     assemble = assembler(features)
     data = assemble.transform(rows).select("features", label).persist()
@@ -59,99 +62,21 @@ def fit_rf(
         data.unpersist()
 
 
-def best_round(errors: list[float], patience: int) -> tuple[int, bool]:
-    """Rounds to keep under a stop after ``patience`` rounds without a better score.
-
-    The flag says whether the stop was reached within the scores at hand.
-    """
-    best = 0
-    for i, e in enumerate(errors):
-        if e < errors[best]:
-            best = i
-        elif i - best >= patience:
-            return best + 1, True
-    return best + 1, False
-
-
 def fit_gbt(
     train: DataFrame,
     val: DataFrame | None = None,
     features: list[str] = S.FEATURES,
     label: str = S.TARGET,
-    rounds: int = 300,
-    step: float = 0.05,
-    depth: int = 7,
-    rows: float = 0.8,
-    columns: float = 0.8,
-    min_leaf: int = 1,
     bins: int = 256,
-    patience: int = 20,
-    seed: int = S.SEED,
+    path: str | None = None,
+    **plan,
 ) -> PipelineModel:
-    """Gradient-boosted trees, stopped early on ``val``.
+    """Gradient-boosted trees, stopped early on ``val`` and cut back to the best round.
 
-    Boosting is sequential and seeded, so a run of fewer rounds is a prefix of a longer one. Runs
-    grow threefold until the validation error has not improved for ``patience`` rounds, and the
-    model keeps the trees up to its best round. The stop follows the patience rule to the letter.
+    ``plan``: fields of ``boosting.Plan``. ``path`` keeps states from which a broken run goes on.
     """
-    assemble = assembler(features)
-    keep = ["features", label]
-    data = assemble.transform(train).select(*keep).persist()
-    check = None if val is None else assemble.transform(val).select(*keep).persist()
-
-    def boost(n: int):
-        return GBTRegressor(
-            featuresCol="features",
-            labelCol=label,
-            maxIter=n,
-            stepSize=step,
-            maxDepth=depth,
-            minInstancesPerNode=min_leaf,
-            maxBins=bins,
-            subsamplingRate=rows,
-            featureSubsetStrategy=str(columns) if columns < 1 else "all",
-            seed=seed,
-        ).fit(data)
-
-    try:
-        n = rounds if check is None else min(rounds, 2 * patience)
-        while True:
-            model = boost(n)
-            if check is None:
-                break
-            kept, stopped = best_round(model.evaluateEachIteration(check, "squared"), patience)
-            if stopped or n >= rounds:
-                model = first_trees(model, kept)
-                break
-            n = min(rounds, 3 * n)
-    finally:
-        data.unpersist()
-        if check is not None:
-            check.unpersist()
-    return PipelineModel([assemble, model])
-
-
-def first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
-    """The ensemble of the first n trees, as a run of n rounds would have given."""
-    if n >= model.getNumTrees:
-        return model
-    context, java = SparkContext._active_spark_context, model._java_obj
-    ml = context._jvm.org.apache.spark.ml.regression
-    kept = context._gateway.new_array(ml.DecisionTreeRegressionModel, n)
-    weights = context._gateway.new_array(context._gateway.jvm.double, n)
-    for i, (tree, weight) in enumerate(zip(list(java.trees())[:n], list(java.treeWeights())[:n])):
-        kept[i], weights[i] = tree, weight
-    cut = GBTRegressionModel(ml.GBTRegressionModel(java.uid(), kept, weights, java.numFeatures()))
-    for param in model.params:
-        if model.isSet(param):
-            cut._set(**{param.name: model.getOrDefault(param)})
-    cut._transfer_params_to_java()
-    return cut
-
-
-def depth_for_leaves(leaves: int) -> int:
-    """Depth of the smallest full tree with that many leaves."""
-    return max(1, math.ceil(math.log2(leaves)))
+    model, _ = boosting.fit(train, val, boosting.Plan(**plan), list(features), label, bins, path)
+    return PipelineModel([assembler(features), model])
 
 
 def clipped(model: PipelineModel, df: DataFrame, out: str = "pred") -> DataFrame:

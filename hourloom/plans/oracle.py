@@ -369,6 +369,56 @@ def _ridge(scale: bool) -> str:
     )
 
 
+def _ridge_all(alpha: float) -> str:
+    """The ridge over all inputs: its normal equations in standard units, solved by elimination."""
+    k = len(S.FEATURES)
+    cols = [f'CAST("{c}" AS REAL)::DOUBLE' for c in S.FEATURES]
+    z = [f"(x[{i + 1}] - m[{i + 1}]) / s[{i + 1}]" for i in range(k)]
+    sums = [
+        "[" + ", ".join([*(f"sum(z[{i + 1}] * z[{j + 1}]) + {alpha if i == j else 0.0}::DOUBLE" for j in range(k)), f"sum(z[{i + 1}] * y)"]) + "]"
+        for i in range(k)
+    ]
+    return sql(
+        f"""SELECT 'ridge' AS model, split, {r('sqrt(avg((p - departures) ** 2))', 'rmse')}, {r('avg(abs(p - departures))', 'mae')}
+            FROM (SELECT split, departures, greatest(0, my + list_dot_product(w, [{', '.join(z)}])) AS p
+                  FROM (SELECT * FROM inputs WHERE split <> 'train') CROSS JOIN stats
+                  CROSS JOIN (SELECT list_transform(a, lambda line: line[{k + 1}]) AS w FROM solved WHERE step = {k + 1}))
+            GROUP BY split""",
+        f"""inputs AS MATERIALIZED (SELECT split, departures::DOUBLE AS departures, [{', '.join(cols)}] AS x FROM model_rows),
+            stats AS MATERIALIZED (
+                SELECT avg(departures) AS my, [{', '.join(f'avg(x[{i + 1}])' for i in range(k))}] AS m,
+                       [{', '.join(f'CASE WHEN stddev_pop(x[{i + 1}]) > 0 THEN stddev_pop(x[{i + 1}]) ELSE 1 END' for i in range(k))}] AS s
+                FROM inputs WHERE split = 'train'),
+            standard AS (SELECT departures - my AS y, [{', '.join(z)}] AS z FROM inputs CROSS JOIN stats WHERE split = 'train'),
+            equations AS MATERIALIZED (SELECT [{', '.join(sums)}] AS a FROM standard),
+            solved AS (
+                SELECT 1 AS step, a FROM equations UNION ALL
+                SELECT step + 1, list_transform(a, lambda line, i: list_transform(line, lambda v, j:
+                    CASE WHEN i = step THEN v / a[step][step] ELSE v - line[step] * a[step][j] / a[step][step] END))
+                FROM solved WHERE step <= {k})""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _tree_gains(inputs: tuple[str, ...]) -> str:
+    """Per input the threshold with the largest fall of the squared error, among all between two values."""
+    values = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS v, count(*) AS n, sum(departures)::DOUBLE AS s FROM train GROUP BY 2" for c in inputs
+    )
+    return sql(
+        f"""SELECT feature, {r('(v + next) / 2', 'threshold')}, {r('1000 * gain / n_all', 'gain')}, CAST(n_all AS BIGINT) AS n,
+                   CAST(n_left AS BIGINT) AS n_left, {r('s_left / n_left', 'left_mean')}, {r('(s_all - s_left) / (n_all - n_left)', 'right_mean')}
+            FROM (SELECT *, s_left ** 2 / n_left + (s_all - s_left) ** 2 / (n_all - n_left) - s_all ** 2 / n_all AS gain
+                  FROM running WHERE next IS NOT NULL)
+            QUALIFY row_number() OVER (PARTITION BY feature ORDER BY gain DESC, v) = 1""",
+        f"""train AS MATERIALIZED (SELECT departures, {', '.join(inputs)} FROM model_rows WHERE split = 'train'),
+            vals AS ({values}),
+            running AS (
+                SELECT feature, v, lead(v) OVER by_value AS next, sum(n) OVER by_value AS n_left, sum(s) OVER by_value AS s_left,
+                       sum(n) OVER (PARTITION BY feature) AS n_all, sum(s) OVER (PARTITION BY feature) AS s_all
+                FROM vals WINDOW by_value AS (PARTITION BY feature ORDER BY v))""",
+    )
+
+
 def _described(col: str) -> str:
     q = lambda p, n: r(f"quantile_cont(CAST({col} AS DOUBLE), {p})", n)
     return f"""
@@ -592,6 +642,9 @@ ORACLES: dict[str, str] = {
     "saved_model_scores": sql(
         "SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_differing FROM features WHERE split = 'test'"
     ),
+    "hyper_parameter_search_whole": """
+        SELECT CAST(trial AS BIGINT) AS trial, true AS in_space, true AS not_better, true AS beats_naive
+        FROM (SELECT unnest(generate_series(0, 29)) AS trial)""",
     "hyper_parameter_search": """
         SELECT CAST(trial AS BIGINT) AS trial, true AS in_space, true AS not_better
         FROM (VALUES (0), (1)) AS t(trial)""",
@@ -732,19 +785,35 @@ ORACLES: dict[str, str] = {
         ORDER BY md5(l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey || '|7'),
                  l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 20000""",
     "standardized_inputs": sql(
-        "SELECT station_id, {}, {} FROM model_rows CROSS JOIN stats WHERE split = 'test'".format(
+        "SELECT station_id, {}, {} FROM few CROSS JOIN stats WHERE split = 'test'".format(
             text("datetime"),
             ", ".join(
                 r(f"({c} - {c}_m) / {c}_s", c) for c in ("temperature", "lag_1h", "lag_24h", "start_lat")
             ),
         ),
-        "stats AS (SELECT {} FROM model_rows WHERE split = 'train')".format(
+        """few AS MATERIALIZED (SELECT station_id, datetime, split, temperature, lag_1h, lag_24h, start_lat
+                                 FROM model_rows WHERE split IN ('train', 'test')),
+           stats AS MATERIALIZED (SELECT {} FROM few WHERE split = 'train')""".format(
             ", ".join(
                 f"avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s"
                 for c in ("temperature", "lag_1h", "lag_24h", "start_lat")
             )
         ),
     ),
+    "tree_gains": _tree_gains(("hour_of_day", "day_of_week", "is_weekend", "is_holiday", "lag_1h", "lag_2h", "lag_24h")),
+    "boost_closed_form": sql(
+        # Each round moves a group's mean residual m by step * soft(n m, l1) / (n + l2): a geometric series
+        # towards l1 / n, as long as n |m| stays above l1.
+        f"""SELECT CAST(is_weekend AS BIGINT) AS is_weekend, n,
+                   {r("""1000 * (mean + (m - CASE WHEN n * abs(m) > 2 THEN sign(m) * 2.0::DOUBLE / n ELSE m END)
+                         * (1 - power(1 - 0.3::DOUBLE * n / (n + 50), 7)))""", 'prediction')}
+            FROM moved""",
+        """groups AS MATERIALIZED (SELECT is_weekend, count(*) AS n, avg(departures) AS y
+                                   FROM features WHERE split = 'train' GROUP BY 1),
+           moved AS (SELECT is_weekend, n, y - mean AS m, mean
+                     FROM groups CROSS JOIN (SELECT sum(n * y) / sum(n) AS mean FROM groups))""",
+    ),
+    "ridge_scores": _ridge_all(1.0),
     "ridge_one_input": _ridge(True),
     "ridge_one_input_unscaled": _ridge(False),
     "learning_curve": sql(

@@ -9,6 +9,7 @@ from __future__ import annotations
 import zipfile
 from collections.abc import Callable
 from contextlib import ExitStack
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -1032,6 +1033,48 @@ def boost_leaves_scores(spark, sf):
     return _fit_and_report(spark, sf, "leaves", lambda train, val: trees.fit_gbt(train, val, **trees.BOOST_LEAVES))
 
 
+# Inputs of few different values: every threshold between two of them is tried.
+FEW_VALUES = ["hour_of_day", "day_of_week", "is_weekend", "is_holiday", "lag_1h", "lag_2h", "lag_24h"]
+
+
+@query
+def tree_gains(spark, sf):
+    """The first split of a boosted tree on each input alone: threshold, gain and both leaf means."""
+    rows = sinks.materialize(_model_rows(spark, sf), "rows")
+    train = clean.for_split(rows, "train")
+    out = []
+    for name in FEW_VALUES:
+        model = trees.fit_gbt(train, None, [name], rounds=1, depth=1, step=1.0, rows=1.0, columns=1.0)
+        start, tree = (importance.nodes(spark, model).where(F.col("treeID") == k) for k in (0, 1))
+        mean = start.select(F.col("nodeData.prediction").alias("mean"))
+        tree = tree.select("nodeData.*")
+        top = tree.where("leftChild >= 0").select(
+            F.lit(name).alias("feature"), F.col("split.leftCategoriesOrThreshold")[0].alias("threshold"),
+            "gain", F.col("rawCount").alias("n"), "leftChild", "rightChild",
+        )
+        left = tree.select(F.col("id").alias("leftChild"), F.col("rawCount").alias("n_left"), F.col("prediction").alias("left"))
+        right = tree.select(F.col("id").alias("rightChild"), F.col("prediction").alias("right"))
+        out.append(top.join(left, "leftChild").join(right, "rightChild").crossJoin(F.broadcast(mean)))
+    return reduce(DataFrame.unionByName, out).select(
+        "feature", "threshold", (F.col("gain") * 1000).alias("gain"), "n", "n_left",
+        (F.col("mean") + F.col("left")).alias("left_mean"), (F.col("mean") + F.col("right")).alias("right_mean"),
+    )
+
+
+# Rounds, step and penalties under which the leaves of a two-valued input have a closed form.
+CLOSED_FORM = {"rounds": 7, "step": 0.3, "depth": 1, "l1": 2.0, "l2": 50.0, "rows": 1.0, "columns": 1.0}
+
+
+@query
+def boost_closed_form(spark, sf):
+    """Predictions of a few penalised rounds on one two-valued input."""
+    train = clean.for_split(sinks.materialize(_model_rows(spark, sf), "rows"), "train")
+    model = trees.fit_gbt(train, None, ["is_weekend"], **CLOSED_FORM)
+    return model.transform(train).groupBy(F.col("is_weekend").cast("long").alias("is_weekend")).agg(
+        F.count("*").alias("n"), (F.avg("prediction") * 1000).alias("prediction")
+    )
+
+
 @query
 def mlp_scores(spark, sf):
     """The network at its reported setting."""
@@ -1070,7 +1113,7 @@ def saved_model_scores(spark, sf):
 
 def _search(spark, sf, n_trials=search.TRIALS):
     rows, train, val = _parts(spark, sf)
-    return rows, search.search(spark, train, val, n_trials=n_trials, parallelism=2)
+    return rows, search.search(spark, train, val, n_trials=n_trials)
 
 
 def _search_report(trials):
@@ -1095,8 +1138,12 @@ def hyper_parameter_search(spark, sf):
 
 @query
 def hyper_parameter_search_whole(spark, sf):
-    """All trials of the reported search."""
-    return _search_report(sinks.materialize(_search(spark, sf)[1], "trials"))
+    """All trials of the reported search, and whether each beats the naive forecast."""
+    rows, trials = _search(spark, sf)
+    trials = sinks.materialize(trials, "trials")
+    val = results.evaluate(results.naive(clean.for_split(rows, "val")), "naive").select(F.col("rmse").alias("base"))
+    beats = trials.crossJoin(F.broadcast(val)).select("trial", (F.col("val_rmse") < F.col("base")).alias("beats_naive"))
+    return _search_report(trials).join(beats, "trial")
 
 
 @query

@@ -2,8 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hourloom.models import curve, importance, linear, mlp, search, trees
-from hourloom.models.trees import best_round
+from hourloom.models import boosting, curve, importance, linear, mlp, search, trees
+from hourloom.models.boosting import best_round
 from hourloom.operators import results
 from hourloom.sources import sinks
 
@@ -108,7 +108,7 @@ def test_shorter_boosting_run_is_a_prefix(spark, data):
     parts, _ = data
     long = trees.fit_gbt(parts["train"], None, COLS, rounds=6, depth=3).stages[-1]
     short = trees.fit_gbt(parts["train"], None, COLS, rounds=3, depth=3).stages[-1]
-    assert [t.toDebugString.split("\n", 1)[1] for t in long.trees[:3]] == [
+    assert [t.toDebugString.split("\n", 1)[1] for t in long.trees[:4]] == [  # the start value is a tree
         t.toDebugString.split("\n", 1)[1] for t in short.trees
     ]
 
@@ -122,10 +122,11 @@ def test_early_stop_keeps_the_best_round(spark, data):
 
 def test_importance(spark, data):
     parts, _ = data
-    model = trees.fit_gbt(parts["train"], None, [*COLS], rounds=5, depth=3)
+    model = trees.fit_gbt(parts["train"], None, [*COLS], rounds=5, depth=3, columns=1.0)
     got = {r.feature: r for r in importance.tree_importance(spark, model, COLS, {"a": "First"}).collect()}
     assert got["a"].label == "First" and got["b"].label == "b"
-    assert got["a"].gain > got["b"].gain > got["c"].gain
+    # One split on b explains 9 / 4 of the variance, several on a at most 25 / 12, c nothing.
+    assert got["b"].gain > got["a"].gain > 100 * got["c"].gain
     assert sum(r.gain_pct for r in got.values()) == pytest.approx(100)
     assert sum(r.splits_pct for r in got.values()) == pytest.approx(100)
 
@@ -142,8 +143,10 @@ def test_trials_are_seeded_and_in_range():
     assert a[:5] == b and a != search.draw_trials(search.SPACE, 30, 43)
     for t in a:
         assert 63 <= t["num_leaves"] <= 511 and 0.01 <= t["learning_rate"] <= 0.2
-        assert t["max_bin"] in (255, 511) and set(search.boost_args(t)) == {"depth", "step", "min_leaf", "columns", "rows", "bins"}
-    assert trees.depth_for_leaves(127) == 7 and trees.depth_for_leaves(128) == 7
+        assert t["max_bin"] in (255, 511) and set(search.SPACE) | {"trial"} == set(t)
+        assert 0 <= t["reg_alpha"] <= 2 and 0 <= t["reg_lambda"] <= 10
+        plan = search.boost_args(t)
+        assert plan.pop("bins") == t["max_bin"] and boosting.Plan(**plan).leaves == t["num_leaves"]
 
 
 SMALL_SPACE = {
@@ -151,36 +154,45 @@ SMALL_SPACE = {
 }
 
 
-def test_cut_ensemble_is_the_shorter_run(spark, data):
+def test_search_keeps_a_ledger_and_finds_the_best(spark, data, monkeypatch, tmp_path):
     parts, _ = data
-    long = trees.fit_gbt(parts["train"], None, COLS, rounds=5, depth=3)
-    short = trees.fit_gbt(parts["train"], None, COLS, rounds=2, depth=3)
-    cut = trees.first_trees(long.stages[-1], 2)
-    rows = short.stages[0].transform(parts["test"])
-    a, b = (m.transform(rows).agg(F.sum("prediction")).first()[0] for m in (cut, short.stages[-1]))
-    assert cut.getNumTrees == 2 and a == pytest.approx(b)
-
-
-def test_a_cache_of_the_caller_is_kept(spark, data):
-    parts, _ = data
-    train = parts["train"].withColumn("d", F.col("a") * 2).persist()
-    val = parts["val"]
-    curve.learning_curve(spark, train, val, parts["test"], ["ridge"], {"ridge": lambda t, v: linear.fit_ridge(t, COLS)}, [1.0])
-    assert train.storageLevel.useMemory
-    train.unpersist()
+    path, fitted = str(tmp_path / "ledger"), []
+    one = search._trial
+    monkeypatch.setattr(search, "_trial", lambda codes, sizes, plan: fitted.append(plan) or one(codes, sizes, plan))
+    args = dict(rounds=3, patience=2, max_rows=500, path=path, features=COLS)
+    search.search(spark, parts["train"], parts["val"], SMALL_SPACE, n_trials=2, **args)
+    assert len(fitted) == 2
+    trials = search.search(spark, parts["train"], parts["val"], SMALL_SPACE, n_trials=4, **args)
+    assert len(fitted) == 4  # trials of the ledger are not run again
+    rows = sorted(trials.collect(), key=lambda r: r.trial)
+    assert [r.trial for r in rows] == [0, 1, 2, 3]
+    drawn = search.draw_trials(SMALL_SPACE, 4, 42)
+    assert all(getattr(r, k) == pytest.approx(d[k]) for r, d in zip(rows, drawn) for k in SMALL_SPACE)
+    best = search.best_params(trials, SMALL_SPACE).first()
+    assert best.best_val_rmse == min(r.val_rmse for r in rows)
+    monkeypatch.setattr(search, "fit_gbt", lambda train, val, **kw: trees.fit_gbt(train, val, COLS, **kw))
+    model = search.refit_best(parts["train"], parts["val"], best.asDict(), rounds=4, patience=2)
+    assert 2 <= model.stages[-1].getNumTrees <= 5
 
 
-def test_search_finds_the_best(spark, data, monkeypatch):
+def test_a_trial_in_one_task_equals_the_spread_fit(spark, data):
     parts, _ = data
-    monkeypatch.setattr(search, "fit_gbt", lambda train, val, **kw: trees.fit_gbt(train, val, COLS, **kw))
-    trials = search.search(
-        spark, parts["train"], parts["val"], SMALL_SPACE, n_trials=2, rounds=3, patience=2, max_rows=500,
-    )
-    best = search.best_params(trials, SMALL_SPACE).first()
-    rows = trials.collect()
-    assert len(rows) == 2 and best.best_val_rmse == min(r.val_rmse for r in rows)
-    model = search.refit_best(parts["train"], parts["val"], best.asDict(), rounds=4, patience=2)
-    assert model.stages[-1].getNumTrees <= 4
+    plan = boosting.Plan(rounds=4, step=0.3, depth=None, leaves=6, l1=0.5, l2=2.0, rows=0.7, patience=9)
+    edges = boosting.cut_points(parts["train"], COLS, 64)
+    codes = boosting.binned(parts["train"], parts["val"], COLS, "departures", edges).persist()
+    held = search._trial(codes, [len(e) + 1 for e in edges], plan)
+    model = boosting.to_model(spark, *_spread_run(spark, codes, edges, plan), edges, plan, "departures")
+    rows = linear.assemble(parts["val"], COLS)
+    got = model.transform(rows).agg(F.sqrt(F.avg((F.greatest("prediction", F.lit(0.0)) - F.col("departures")) ** 2))).first()[0]
+    assert held == pytest.approx(got, rel=1e-9)
+    codes.unpersist()
+
+
+def _spread_run(spark, codes, edges, plan):
+    data = boosting.spread(spark, codes, len(COLS))
+    run = boosting.boost(data, plan, [len(e) + 1 for e in edges], True)
+    data.close()
+    return run, run.kept(plan.patience)
 
 
 def test_learning_curve_resumes(spark, data, tmp_path):
