@@ -17,8 +17,8 @@ written with, different values stay different, and whoever has the key can resto
 | secret | a long run of letters and digits behind a quote or sign, or a key with a known head | every character in its class |
 
 Defined results: a null text stays null, an empty one empty; a value inside another is part of the
-other; kinds are tried in the order of the table; a value that fails its validation stays; repeated
-rows are treated alike.
+other; kinds are tried in the order of the table; a value that fails its validation stays; digits are those
+of ASCII, others are text; letters of an address keep their case; repeated rows are treated alike.
 """
 
 from __future__ import annotations
@@ -151,8 +151,8 @@ def _ip(text: str, perm: Permutation, back: bool) -> str | None:
 
 
 def _date(text: str, perm: Permutation, back: bool) -> str | None:
-    numbers = re.findall(r"\d+", text)
-    marks = re.findall(r"\D", text)
+    numbers = re.findall("[0-9]+", text)
+    marks = re.findall("[^0-9]", text)
     year_first = len(numbers[0]) == 4
     year = int(numbers[0] if year_first else numbers[2])
     # With a slash the month stands before the day, as in 12/31/1999, unless that is no date.
@@ -180,7 +180,7 @@ def _date(text: str, perm: Permutation, back: bool) -> str | None:
 
 def _email(text: str, perm: Permutation, back: bool) -> str | None:
     local, domain = text.rsplit("@", 1)
-    return f"{permute_characters(local.lower(), perm, 'email', back)}@{domain}"
+    return f"{permute_characters(local, perm, 'email', back)}@{domain}"
 
 
 def _iban_check(country: str, body: str) -> int:
@@ -210,12 +210,12 @@ def _secret(text: str, perm: Permutation, back: bool) -> str | None:
 # Kind, where it may stand, and what replaces a valid one.
 KINDS: list[tuple[str, re.Pattern, Callable[[str, Permutation, bool], str | None]]] = [
     ("email", re.compile(r"(?<![A-Za-z0-9._%+\-@])[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9@])"), _email),
-    ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), _iban),
-    ("card", re.compile(r"(?<![\w.])(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{4}|\d{4}([ \-])\d{6}\2\d{5})(?!\w)"), _card),
-    ("phone", re.compile(r"(?<![\d+])\+\d{1,3}[ \-.]?(?:\(\d{1,4}\)|\d{1,4})(?:[ \-.]?\d{2,4}){2,4}(?!\d)|(?<![\d+])(?:\(\d{3}\) ?|\d{3}[\-.])\d{3}[\-.]\d{4}(?!\d)"), _phone),
-    ("ssn", re.compile(r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"), _ssn),
-    ("ip", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"), _ip),
-    ("date", re.compile(r"(?<![\d\-/.])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d\-/])"), _date),
+    ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), _iban),
+    ("card", re.compile(r"(?<![\w.])(?:[0-9]{13,19}|[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ \-])[0-9]{6}\2[0-9]{5})(?!\w)"), _card),
+    ("phone", re.compile(r"(?<![0-9+])\+[0-9]{1,3}[ \-.]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ \-.]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[\-.])[0-9]{3}[\-.][0-9]{4}(?![0-9])"), _phone),
+    ("ssn", re.compile(r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"), _ssn),
+    ("ip", re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"), _ip),
+    ("date", re.compile(r"(?<![0-9\-/.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9\-/])"), _date),
     ("secret", re.compile(r"(?<![A-Za-z0-9])(?:(?<=[\"'=:])[A-Za-z0-9]{20,128}|AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|xox[abp]-[A-Za-z0-9\-]{10,64})(?![A-Za-z0-9])"), _secret),
 ]
 _ANY = re.compile(r"[0-9@]")

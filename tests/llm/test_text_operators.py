@@ -272,3 +272,19 @@ def test_empty_store(empty):
     assert store.read(empty).count() == 0 and store.get(1) is None
 
 
+
+
+def test_digits_of_other_scripts_are_text(spark):
+    texts = ["1 ١٢٣-٤٥-٦٧٨٩", "١٩٢.١٦٨.١.١ and ２０２４-０１-０２", "+٤٩ ١٢٣ ٤٥٦٧", "٤١١١١١١١١١١١١١١١", "ssn 123-45-6789 ١"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonyms(docs, b"k").collect()}
+    assert all(got[i].text == texts[i] and not got[i].values for i in range(4))
+    assert [v["kind"] for v in got[4].values] == ["ssn"] and got[4].text.endswith(" ١")
+
+
+def test_addresses_that_differ_in_case_stay_different():
+    perm = pii.Permutation(b"k")
+    names = ["a@b.co", "A@b.co", "Ab.c@b.co", "aB.c@b.co", "ab.c@b.co"]
+    new = [pii.pseudonymise(n, perm)[0] for n in names]
+    assert len(set(new)) == len(names)
+    assert [pii.pseudonymise(n, perm, back=True)[0] for n in new] == names
