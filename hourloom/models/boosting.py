@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
@@ -143,21 +144,25 @@ class Tree:
     def add(self, total: float, count: int, plan: Plan) -> int:
         for column, v in ((self.input, -1), (self.cut, 0), (self.left, -1), (self.total, total), (self.count, count), (self.gain, 0.0)):
             column.append(v)
-        self.value.append(float(_soft(np.float64(total), plan.l1) / (count + plan.l2)) if count else 0.0)
+        self.value.append(math.copysign(max(abs(total) - plan.l1, 0.0), total) / (count + plan.l2) if count else 0.0)
         return len(self.input) - 1
 
-    def walker(self) -> Callable[[np.ndarray], np.ndarray]:
-        """Codes to the place of the node where a row stands."""
+    def walker(self, known: dict[int, np.ndarray] | None = None) -> Callable[[np.ndarray], np.ndarray]:
+        """Codes to the place of the node where a row stands; ``known``: where the rows stood before the tree grew."""
         inputs, cut, left = np.array(self.input), np.array(self.cut), np.array(self.left)
 
         def walk(x: np.ndarray) -> np.ndarray:
-            node = np.zeros(x.shape[1], np.int64)
+            node = known.get(id(x)) if known is not None else None
+            if node is None:
+                node = np.zeros(x.shape[1], np.int64)
             at = np.flatnonzero(inputs[node] >= 0)
             while len(at):
                 here = node[at]
                 here = left[here] + (x[inputs[here], at] > cut[here])
                 node[at] = here
                 at = at[inputs[here] >= 0]
+            if known is not None:
+                known[id(x)] = node
             return node
 
         return walk
@@ -298,6 +303,7 @@ class Held:
 def grow(data: Spread | Held, plan: Plan, inputs: list[int], sizes: list[int], seed: int, first: Sums) -> Tree:
     """One tree, given the sums of its root."""
     tree, keep = Tree(), (plan.rows, seed)
+    known = {} if isinstance(data, Held) else None
     at = sizes[inputs[0]]
     tree.add(float(first[1][0, :at].sum()), int(first[0][0, :at].sum()), plan)
     sums = {0: (first[0][0], first[1][0])}
@@ -321,7 +327,7 @@ def grow(data: Spread | Held, plan: Plan, inputs: list[int], sizes: list[int], s
             slot = np.full(len(tree.input), -1)
             small = [min(c, key=lambda i: tree.count[i]) for _, c in wanted]
             slot[small] = np.arange(len(small))
-            walk = tree.walker()
+            walk = tree.walker(known)
 
             def of(b: Block) -> list:
                 return [*summed(b, walk, slot, len(small), inputs, sizes, keep)]

@@ -163,15 +163,16 @@ def dense_panel(
 ) -> DataFrame:
     """Grid, zero fill and lags in one plan.
 
-    ``keys`` has one row per entity; its other columns ride along. Only key rows and counts are
-    exchanged, by (entity, block). The dense rows are generated behind that exchange, and the grid
+    ``keys`` has one row per entity, or one per entity and block where only some blocks are wanted; its
+    other columns ride along. Only key rows and counts are exchanged, by (entity, block). The dense rows are generated behind that exchange, and the grid
     join and the lag window both use its partitioning and sort order.
     """
     longest = _longest(lags, span)
     first, last = span.blocks
     start = f"greatest({span.block_start} - {span.steps(longest)}, {span.first})"
     stop = f"least({span.block_end} - {span.steps(1)}, {span.last})"
-    blocks = keys.selectExpr("*", f"explode(sequence({first}, {last})) AS {BLOCK}")
+    every = f"explode(sequence({first}, {last})) AS {BLOCK}"
+    blocks = keys if BLOCK in keys.columns else keys.selectExpr("*", every)
     steps = f"explode(sequence({start}, {stop}, {span.steps(1)})) AS {ts}"
     grid = _spread(blocks, key, BLOCK).selectExpr("*", steps)
     facts = _lead_in(counts.select(key, ts, value), ts, span, longest)

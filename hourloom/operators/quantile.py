@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hourloom.session import materialize
+
 # Rank error of the bracketing sketch is at most n / ACCURACY; the first bracket leaves SLACK * n.
 ACCURACY = 10_000
 SLACK = 0.002
-# Slices that a bracket is cut into in each pass, and groups that may be asked for.
+# Slices that a bracket is cut into in each pass, and groups whose brackets the driver may hold.
 SLICES = 256
 MOST_GROUPS = 10_000
 
@@ -25,7 +28,8 @@ def exact_quantiles(
     bracket and in equal slices of it, and goes on with the slice that holds the rank, until that
     slice is a single value. Only counts per slice leave the tasks, so no task and no window ever
     sees the values of a group, whatever their number; the answer is exact for any input.
-    Null values are left out. ``by`` should name few groups; they are brought to the driver.
+    Null values are left out. The brackets of few groups travel with the passes; those of more than
+    ``MOST_GROUPS`` stay a table that meets the values in a join, so any number of groups will do.
     """
     by = by or []
     spark = df.sparkSession
@@ -37,7 +41,7 @@ def exact_quantiles(
     limits = [F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), sketch]
     groups = x.groupBy(*by).agg(*limits).limit(MOST_GROUPS + 1).collect()
     if len(groups) > MOST_GROUPS:
-        raise ValueError(f"quantiles of over {MOST_GROUPS} groups; aggregate them in parts")
+        return _of_many_groups(x, by, probs, limits)
     groups = [g for g in groups if g["_n"]]
 
     open_, found = {}, {}
@@ -78,6 +82,71 @@ def exact_quantiles(
     return spark.createDataFrame(rows, schema)
 
 
+def _slice() -> Column:
+    """The slice of the bracket in which a value lies, -1 below it."""
+    # Halves, so that the width of a bracket stays finite.
+    width = F.col("_hi") / 2 - F.col("_lo") / 2
+    at = F.floor((F.col("_v") / 2 - F.col("_lo") / 2) / width * SLICES)
+    inside = F.greatest(F.lit(0), F.least(F.lit(SLICES - 1), at))
+    return F.when(F.col("_v") < F.col("_lo"), -1).when(width <= 0, 0).otherwise(inside)
+
+
+def _of_many_groups(x: DataFrame, by: list[str], probs: list[float], limits: list[Column]) -> DataFrame:
+    """The same with brackets as a table by group; ranks that are found leave it, until it is empty.
+
+    Values and brackets meet in a join by group, which Spark splits where a group is hot; a rank has at
+    most ``SLICES`` + 1 rows of counts.
+    """
+    keys = [f"_b{i}" for i in range(len(by))]
+    x = x.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], "_v")
+    groups = materialize(x.groupBy(*keys).agg(*limits), "quantile-groups")
+    wanted = F.array(*[F.struct(F.lit(float(q)).alias("q"), F.lit(i).alias("i")) for i, q in enumerate(probs)])
+    asked = groups.select(*keys, "_n", "_min", "_max", "_edges", F.explode(wanted).alias("_w")).select(
+        "*", (F.col("_w.q") * (F.col("_n") - 1)).alias("_pos")
+    )
+    ends = F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos"))))
+    ranks = asked.select(
+        *keys, ends.alias("_r"), F.get("_edges", 2 * F.col("_w.i")).alias("_lo"),
+        F.get("_edges", 2 * F.col("_w.i") + 1).alias("_hi"), "_min", "_max",
+    )
+    open_ = materialize(
+        ranks.groupBy(*keys, "_r").agg(*[F.min(c).alias(c) for c in ("_lo", "_min")], *[F.max(c).alias(c) for c in ("_hi", "_max")]),
+        "quantile-open",
+    )
+    found = []
+    while not open_.isEmpty():
+        here = open_.select(*[F.col(k).alias(f"_o{k}") for k in keys], "_r", "_lo", "_hi", "_min", "_max")
+        same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_o{k}")) for k in keys])
+        counted = x.join(here, same & (F.col("_v") <= F.col("_hi"))).groupBy(*keys, "_r", _slice().alias("_s")).agg(
+            F.count("*").alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"),
+            F.first("_min").alias("_min"), F.first("_max").alias("_max"),
+        )
+        upto = F.sum("_n").over(Window.partitionBy(*keys, "_r").orderBy("_s"))
+        holds = (F.col("_s") >= 0) & (F.col("_r") < F.col("_upto")) & (F.col("_r") >= F.col("_upto") - F.col("_n"))
+        # Every rank has rows: a bracket ends at a value or at the group's largest.
+        step = counted.withColumn("_upto", upto).groupBy(*keys, "_r").agg(
+            F.max(F.when(holds, F.col("_least"))).alias("_least"), F.max(F.when(holds, F.col("_most"))).alias("_most"),
+            F.first("_min").alias("_min"), F.first("_max").alias("_max"),
+        )
+        step = materialize(step, "quantile-step")
+        found.append(step.where("_least = _most").select(*keys, "_r", F.col("_least").alias("_x")))
+        # Where the sketch missed, the whole range is next.
+        left = step.where("_least IS NULL OR _least < _most")
+        open_ = left.select(
+            *keys, "_r", F.coalesce("_least", "_min").alias("_lo"), F.coalesce("_most", "_max").alias("_hi"), "_min", "_max"
+        )
+    values = reduce(DataFrame.unionByName, found)
+    for end, name in ((F.floor("_pos"), "_a"), (F.ceil("_pos"), "_z")):
+        side = values.select(*[F.col(k).alias(f"_o{k}") for k in keys], F.col("_r").alias(f"_r{name}"), F.col("_x").alias(name))
+        same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_o{k}")) for k in keys])
+        asked = asked.join(side, same & (end == F.col(f"_r{name}"))).drop(*[f"_o{k}" for k in keys], f"_r{name}")
+    part = F.col("_pos") - F.floor("_pos")
+    return asked.select(
+        *[F.col(k).alias(c) for c, k in zip(by, keys)], F.col("_w.q").alias("prob"),
+        (F.col("_a") + (F.col("_z") - F.col("_a")) * part).alias("quantile"),
+    )
+
+
 def _slice_counts(x: DataFrame, by: list[str], groups: list, open_: dict) -> dict:
     """For each (group, rank): values below its bracket, and (count, least, most) of its slices."""
     kinds = "_g int, _r long, _lo double, _hi double"
@@ -88,16 +157,9 @@ def _slice_counts(x: DataFrame, by: list[str], groups: list, open_: dict) -> dic
     same = F.lit(True)
     for i, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"_b{i}"))
-    # Halves, so that the width of a bracket stays finite.
-    width = F.col("_hi") / 2 - F.col("_lo") / 2
-    at = F.floor((F.col("_v") / 2 - F.col("_lo") / 2) / width * SLICES)
-    slice_ = (
-        F.when(F.col("_v") < F.col("_lo"), -1).when(width <= 0, 0)
-        .otherwise(F.greatest(F.lit(0), F.least(F.lit(SLICES - 1), at)))
-    )
     counted = (
         x.join(side, same & (F.col("_v") <= F.col("_hi")))
-        .groupBy("_g", "_r", slice_.alias("_s"))
+        .groupBy("_g", "_r", _slice().alias("_s"))
         .agg(F.count("*").alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
         .collect()
     )

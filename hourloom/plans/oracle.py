@@ -745,6 +745,11 @@ ORACLES: dict[str, str] = {
                    {r(f'quantile_cont(l_extendedprice, {p})', 'quantile')} FROM lineitem GROUP BY 1"""
         for p in QUANTILES
     ),
+    "price_quantiles_by_order": " UNION ALL ".join(
+        f"""SELECT l_orderkey, CAST({p} AS DOUBLE) AS prob,
+                   {r(f'quantile_cont(l_extendedprice, {p})', 'quantile')} FROM lineitem GROUP BY 1"""
+        for p in (0.05, 0.5, 0.9)
+    ),
     "hexbin_density": _hexbin("test", 60, 34, 30.0, 1),
     "hexbin_items": _hexbin(
         """(SELECT l_quantity AS departures,
@@ -838,3 +843,4 @@ ORACLES: dict[str, str] = {
 ORACLES["dst_edges_converted"] = ORACLES["dst_edges_dropped"]
 ORACLES["station_dimension_late_names"] = ORACLES["station_dimension"]
 ORACLES["lagged_panel_small_blocks"] = ORACLES["lagged_panel"]
+ORACLES["refreshed_panel"] = ORACLES["lagged_panel"]

@@ -26,7 +26,7 @@ from hourloom.operators import (
 from hourloom.plans import demand, driver
 from hourloom.session import shared_dir, tune
 from hourloom.sources import archives, files, sinks, tables
-from hourloom.streaming import ingest
+from hourloom.streaming import ingest, refresh
 
 # Results as the engine gives them, and the same in plain types.
 RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -309,7 +309,7 @@ def appended_results(spark, sf):
     metrics = sinks.materialize(driver.lag_metrics(spark, sf), "scores")
     sinks.append_result(metrics.where("split = 'val'"), path)
     sinks.append_result(metrics.where("split = 'test'"), path)
-    return spark.read.schema(S.METRICS).parquet(path)
+    return sinks.read_results(spark, path, S.METRICS)
 
 
 @query
@@ -838,6 +838,13 @@ def price_quantiles_by_flag(spark, sf):
     return quantile.exact_quantiles(items, "l_extendedprice", [0.05, 0.5, 0.9, 0.95], ["l_returnflag"])
 
 
+@query
+def price_quantiles_by_order(spark, sf):
+    """Exact quantiles in as many groups as there are orders."""
+    items = driver.table(spark, sf, "lineitem")
+    return quantile.exact_quantiles(items, "l_extendedprice", [0.05, 0.5, 0.9], ["l_orderkey"])
+
+
 @query
 def hexbin_density(spark, sf):
     return binning.hexbin(_stored_test(spark, sf, *PAIR))
@@ -1192,6 +1199,21 @@ def streamed_hourly_counts(spark, sf):
     return counts.hourly_counts(ingest.read_ingested(spark, f"{base}-table"))
 
 
+@query
+def refreshed_panel(spark, sf):
+    """The lagged panel after two ingests; the second refresh replaces only what the late files touch."""
+    base = shared_dir(spark, "refresh")
+    rows = driver.events_as_csv_rows(spark, sf)
+    days = driver.span(spark, sf)
+    span = panel.Span(days.lo, days.hi, block_days=3)
+    late = F.col("started_at") >= F.date_format(F.lit(days.hi).cast("timestamp_ntz") - F.expr("INTERVAL 4 DAYS"), "yyyy-MM-dd")
+    for step, part in {"first": rows.where(~late), "second": rows.where(late)}.items():
+        part.write.option("header", True).csv(f"{base}/{step}")
+        ingest.ingest_new_files(spark, f"{base}/*", f"{base}-state", f"{base}-table")
+        refresh.refresh(spark, f"{base}-table", f"{base}-store", span)
+    return refresh.read_panel(spark, f"{base}-store")
+
+
 @query
 def naive_from_log(spark, sf):
     """Scores of the naive forecast by split, from the event log in one plan."""

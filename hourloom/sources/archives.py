@@ -1,22 +1,21 @@
 """CSV members of zip archives, also of zips inside zips, read without unpacking to disk.
 
-A member is read to its end before any row of it counts: ``member_outcomes`` lists every member and
-every broken archive with its rows and, where it cannot be used, the problem. Reads leave out whole
-members with a problem; a short or long row costs nothing but its own missing or extra fields.
+A member is read once, and to its end before any row of it counts: its rows are staged, a closing row says
+how it ended, and only members that ended well give rows. ``member_outcomes`` lists every member and every
+broken archive with its rows and, where it cannot be used, the problem; a short or long row costs nothing
+but its own missing or extra fields.
 """
 
 from __future__ import annotations
 
 import csv
 import io
-import re
 import zipfile
 import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,29 +23,15 @@ from pyspark.sql import types as T
 from hourloom import schema as S
 from hourloom.functions.text import base_name, month_prefix
 from hourloom.operators.results import pending
+from hourloom.session import materialize
 from hourloom.sources import files
 
 SEPARATOR = "!"
-# Hadoop's names of stores that the Arrow file systems know under another one.
-SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs", "wasb": "abfs"}
 BROKEN = (pa.ArrowException, zipfile.BadZipFile, zlib.error, EOFError, OSError, KeyError, UnicodeDecodeError, csv.Error, NotImplementedError)
-OUTCOMES = "archive string, member string, bytes long, rows long, problem string"
 _BATCH = 20_000
 
 
-def store_uri(path: str) -> str:
-    """The address of a file as the Arrow file systems want it."""
-    uri = re.sub(r"^file:/+", "file:///", path)
-    scheme, mark, rest = uri.partition("://")
-    return f"{SCHEMES.get(scheme, scheme)}{mark}{rest}" if mark else uri
-
-
-def _open(path: str):
-    uri = store_uri(path)
-    system, inner = (
-        pa_fs.FileSystem.from_uri(uri) if "://" in uri else (pa_fs.LocalFileSystem(), uri)
-    )
-    return system.open_input_file(inner)
+store_uri, _open = files.store_uri, files.open_stored
 
 
 def _is_data(name: str) -> bool:
@@ -124,78 +109,95 @@ def _lacking(header: list[str] | None, names: list[str]) -> str | None:
     return f"missing columns: {', '.join(missing)}" if missing else None
 
 
-def member_outcomes(members: DataFrame, names: list[str]) -> DataFrame:
-    """Every listed member, read to its end: its rows, or the problem for which it is left out."""
+def stage_members(members: DataFrame, names: list[str]) -> DataFrame:
+    """Rows of all listed members in one pass, each with its member, and a closing row for every member.
+
+    A member is opened once, by one task, and streamed in Arrow batches. Its closing row (``_closing`` is
+    true) says how many rows it had, or with which problem it ended; until then its rows are only staged.
+    The staged table is written, and both the outcomes and the usable rows come from there.
+    """
+    target = pa.schema(
+        [(n, pa.string()) for n in names]
+        + [("archive", pa.string()), ("member", pa.string()), ("_closing", pa.bool_()), ("_bytes", pa.int64()), ("_rows", pa.int64()), ("_problem", pa.string())]
+    )
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = {c: batch[c].to_pylist() for c in ("archive", "member", "bytes", "problem")}
-            rows: list[int | None] = []
-            problems = []
-            for path, member, _, problem in zip(*columns.values()):
-                n = None
+            for path, member, size, problem in zip(*(batch[c].to_pylist() for c in ("archive", "member", "bytes", "problem")), strict=True):
+                n = None if problem else 0
                 if problem is None:
                     try:
-                        records = _records(path, member)
-                        problem = _lacking([c.strip() for c in next(records, [])], names)
-                        n = 0 if problem else sum(1 for _ in records)
+                        for columns in _rows(path, member, names):
+                            n += len(columns[0])
+                            yield _batch(columns, len(columns[0]), target, path, member, False, None, None, None)
                     except BROKEN as e:
                         n, problem = None, _problem(e)
-                rows.append(None if problem else n)
-                problems.append(problem)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns["archive"], pa.string()), pa.array(columns["member"], pa.string()),
-                 pa.array(columns["bytes"], pa.int64()), pa.array(rows, pa.int64()), pa.array(problems, pa.string())],
-                ["archive", "member", "bytes", "rows", "problem"],
-            )
+                    except LookupError as e:
+                        n, problem = None, str(e.args[0])
+                yield _batch([[None]] * len(names), 1, target, path, member, True, size, n, problem)
 
     n = members.sparkSession.sparkContext.defaultParallelism
     spread = members.select("archive", "member", "bytes", "problem").repartition(n, "archive", "member")
-    return spread.mapInArrow(judge, OUTCOMES)
+    ddl = ", ".join(f"`{c}` string" for c in names)
+    return materialize(
+        spread.mapInArrow(stream, f"{ddl}, archive string, member string, _closing boolean, _bytes long, _rows long, _problem string"), "members"
+    )
+
+
+def _batch(columns: list[list], size: int, target: pa.Schema, *same) -> pa.RecordBatch:
+    kinds = [f.type for f in target][len(columns) :]
+    made = [pa.array(c, pa.string()) for c in columns] + [pa.array([x] * size, k) for x, k in zip(same, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(made, schema=target)
+
+
+def outcomes(staged: DataFrame) -> DataFrame:
+    """Every member with its rows, or the problem for which it is left out."""
+    return staged.where("_closing").select(
+        "archive", "member", F.col("_bytes").alias("bytes"), F.col("_rows").alias("rows"), F.col("_problem").alias("problem")
+    )
+
+
+def member_outcomes(members: DataFrame, names: list[str]) -> DataFrame:
+    """Every listed member, read to its end: its rows, or the problem for which it is left out."""
+    return outcomes(stage_members(members, names))
+
+
+def usable_rows(staged: DataFrame, schema: T.StructType) -> DataFrame:
+    """Rows of the members that ended well."""
+    good = staged.where("_closing AND _problem IS NULL").select("archive", "member")
+    rows = staged.where("NOT _closing").join(good, ["archive", "member"], "left_semi").select(*schema.names, "member")
+    return files.typed(rows, T.StructType([*schema.fields, T.StructField("member", T.StringType())]))
 
 
 def read_members(members: DataFrame, schema: T.StructType = S.TRIPS, on_bad_file: str = "skip") -> DataFrame:
-    """Rows of the usable members; every member is streamed by one task, in Arrow batches.
+    """Rows of the usable members, read in one pass.
 
     Members with a problem are left out whole or, with ``on_bad_file="fail"``, raise.
     """
-    names = schema.names
-    if on_bad_file == "skip":
-        members = member_outcomes(members, names).where("problem IS NULL")
-    target = pa.schema([(n, pa.string()) for n in [*names, "member"]])
+    staged = stage_members(members, schema.names)
+    if on_bad_file == "fail":
+        bad = outcomes(staged).where("problem IS NOT NULL").limit(20).collect()
+        if bad:
+            raise ValueError(f"unusable members: {[f'{r.archive}{SEPARATOR}{r.member}: {r.problem}' for r in bad]}")
+    return usable_rows(staged, schema)
 
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, member in zip(batch["archive"].to_pylist(), batch["member"].to_pylist()):
-                yield from _rows(path, member, names, target)
-
-    n = members.sparkSession.sparkContext.defaultParallelism
-    spread = members.select("archive", "member").repartition(n, "archive", "member")
-    ddl = ", ".join(f"{c} string" for c in [*names, "member"])
-    raw = spread.mapInArrow(stream, ddl)
-    return files.typed(raw, T.StructType([*schema.fields, T.StructField("member", T.StringType())]))
 
-
-def _rows(path: str, member: str, names: list[str], target: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _rows(path: str, member: str, names: list[str]) -> Iterator[list[list[str | None]]]:
+    """Columns of a member, some thousand rows at a time; a LookupError names wanted columns that it lacks."""
     records = _records(path, member)
     header = [c.strip() for c in next(records, [])]
     if problem := _lacking(header, names):
-        raise ValueError(f"{path}{SEPARATOR}{member}: {problem}")
+        raise LookupError(problem)
     at = [header.index(c) for c in names]
     columns: list[list[str | None]] = [[] for _ in names]
-
-    def batch() -> pa.RecordBatch:
-        label = pa.array([member] * len(columns[0]), pa.string())
-        return pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in columns], label], schema=target)
-
     for record in records:
         for column, i in zip(columns, at):
             column.append((record[i] or None) if i < len(record) else None)
         if len(columns[0]) >= _BATCH:
-            yield batch()
+            yield columns
             columns = [[] for _ in names]
     if columns[0]:
-        yield batch()
+        yield columns
 
 
 def read_zipped_csv(spark: SparkSession, pattern: str, schema: T.StructType = S.TRIPS) -> DataFrame:

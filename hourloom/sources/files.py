@@ -8,14 +8,16 @@ from __future__ import annotations
 
 import bz2
 import csv
+import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
-from urllib.parse import unquote
+from typing import IO
 
 import pyarrow as pa
-
+from py4j.protocol import Py4JJavaError
+from pyarrow import fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,86 +54,112 @@ def remove(spark: SparkSession, path: str) -> None:
     _file_system(spark, path).delete(_hadoop_path(spark, path), True)
 
 
-# How much of a file is unpacked at a time, and looked at for its header.
-_CHUNK = 1 << 20
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file; empty while it is being written or when it is gone."""
+    try:
+        source = _file_system(spark, path).open(_hadoop_path(spark, path))
+    except Py4JJavaError:
+        return ""
+    try:
+        return bytes(source.readAllBytes()).decode()
+    finally:
+        source.close()
+
+
+def write_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small text file; False if somebody else was first.
+
+    The store decides who creates it. Some local file systems let two creations pass at the same moment,
+    so what the file says in the end decides.
+    """
+    try:
+        target = _file_system(spark, path).create(_hadoop_path(spark, path), False)
+    except Py4JJavaError as e:
+        if "AlreadyExists" in e.java_exception.getClass().getName() or "already exists" in str(e.java_exception):
+            return False
+        raise
+    target.write(bytearray(text.encode()))
+    target.close()
+    return read_text(spark, path) == text
+
+
+# How much of a compressed file is unpacked at a time, how much of any file is read to find its header, and
+# how long a header may be.
+_CHUNK, _PEEK, _LONGEST_HEADER = 1 << 20, 1 << 14, 1 << 20
 # Files Python unpacks itself, to see whether they are whole; Spark reads every other kind and raises.
-_PACKED = (".gz", ".bz2")
-
-
-def _unpacked(path: str, content: bytes) -> Iterator[bytes]:
-    """Parts of a file; raises at the place where a compressed one breaks off."""
-    if path.endswith(".gz"):
-        at = 0
-        while at < len(content):
-            stream = zlib.decompressobj(31)
-            while not stream.eof:
-                piece = content[at : at + _CHUNK]
-                if not piece:
-                    raise EOFError("truncated")
-                yield stream.decompress(piece)
-                at += len(piece) - len(stream.unused_data)
-    elif path.endswith(".bz2"):
-        at = 0
-        while at < len(content):
-            stream = bz2.BZ2Decompressor()
-            while not stream.eof:
-                piece = content[at : at + _CHUNK]
-                if not piece:
+_PACKED = {".gz": lambda: zlib.decompressobj(31), ".bz2": bz2.BZ2Decompressor}
+# Hadoop's names of stores that the Arrow file systems know under another one.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs", "wasb": "abfs"}
+
+
+def store_uri(path: str) -> str:
+    """The address of a file as the Arrow file systems want it."""
+    uri = re.sub(r"^file:/+", "file:///", path)
+    scheme, mark, rest = uri.partition("://")
+    return f"{SCHEMES.get(scheme, scheme)}{mark}{rest}" if mark else uri
+
+
+def open_stored(path: str) -> pa.NativeFile:
+    """A file of any store, for reading in a task by ranges."""
+    uri = store_uri(path)
+    system, inner = pa_fs.FileSystem.from_uri(uri) if "://" in uri else (pa_fs.LocalFileSystem(), uri)
+    return system.open_input_file(inner)
+
+
+def _unpacked(source: IO[bytes], start: Callable) -> Iterator[bytes]:
+    """A compressed file as a stream, one chunk in memory; raises where it breaks off."""
+    rest = source.read(_CHUNK)
+    while rest:
+        stream = start()
+        while not stream.eof:
+            if not rest:
+                rest = source.read(_CHUNK)
+                if not rest:
                     raise EOFError("truncated")
-                yield stream.decompress(piece)
-                at += len(piece) - len(stream.unused_data)
-    else:
-        yield content
+            yield stream.decompress(rest)
+            rest = stream.unused_data
+        rest = rest or source.read(_CHUNK)
 
 
-def _judge(path: str, content: bytes, whole: bool) -> tuple[str | None, str | None]:
-    """(header line, problem) of a file, unpacked to its end if it is compressed."""
-    head = b""
+def _judge(path: str, source: IO[bytes]) -> tuple[str | None, str | None]:
+    """(header line, problem) of a file: its first kilobytes, and for a compressed one every byte, in passing."""
+    head, kind = b"", next((k for k in _PACKED if path.endswith(k)), None)
     try:
-        for piece in _unpacked(path, content):
-            if b"\n" not in head:
-                head += piece[:_CHUNK]
-            elif not whole:
+        for piece in _unpacked(source, _PACKED[kind]) if kind else iter(lambda: source.read(_PEEK), b""):
+            if b"\n" not in head and len(head) < _LONGEST_HEADER:
+                head += piece[:_LONGEST_HEADER]
+            if not kind and (b"\n" in head or len(head) >= _LONGEST_HEADER):
                 break
     except (zlib.error, EOFError, OSError, ValueError) as e:
         return None, f"cannot read: {type(e).__name__}"
     return head.partition(b"\n")[0].decode("utf-8-sig", "replace").rstrip("\r"), None
 
 
-def _headers(spark: SparkSession, paths: list[str]) -> list[tuple[str, str | None, str | None]]:
-    """(path, header line, problem) of every file, found by tasks.
+def headers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, head, problem) of every file: a catalogue that tasks make, each file opened by one of them.
 
-    Compressed files come as one binary row each, which Spark reads from any store; of the others only
-    the first line of the first block is taken.
+    Of a plain file only the first kilobytes are read, whatever its length.
     """
-    found: list[tuple[str, str | None, str | None]] = []
-    packed = [p for p in paths if p.endswith(_PACKED)]
-    plain = [p for p in paths if not p.endswith(_PACKED)]
-    if packed:
-
-        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for path, content in zip(batch["path"], batch["content"]):
-                    path = path.as_py()
-                    head, problem = _judge(path, content.as_py(), True)
-                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (path, head, problem)], ["path", "head", "problem"])
-
-        read = spark.read.format("binaryFile").load(packed).select("path", "content")
-        found += [tuple(r) for r in read.mapInArrow(judge, "path string, head string, problem string").collect()]
-    if plain:
-        lines = spark.read.text(plain).select(
-            F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value"
-        )
-        # The first row of a block that begins its file; later rows of it are not kept anywhere.
-        first = lines.where("at = 0").groupBy("path").agg(F.first("value").alias("head"))
-        heads = {_plain(r["path"]): r["head"] for r in first.collect()}
-        found += [(path, (heads.get(_plain(path)) or "").removeprefix("\ufeff"), None) for path in plain]
-    return found
 
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path in batch["path"].to_pylist():
+                try:
+                    with open_stored(path) as source:
+                        found.append((path, *_judge(path, source)))
+                except OSError as e:
+                    found.append((path, None, f"cannot read: {type(e).__name__}"))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found, strict=True)], ["path", "head", "problem"])
 
-def _plain(path: str) -> str:
-    """One spelling for the paths of Spark's metadata and of the file listing."""
-    return unquote(path).replace("file:///", "file:/")
+    listed = spark.createDataFrame([(p,) for p in paths], "path string")
+    tasks = min(len(paths), 4 * spark.sparkContext.defaultParallelism)
+    return listed.repartition(max(1, tasks), "path").mapInArrow(look, "path string, head string, problem string")
+
+
+def _headers(spark: SparkSession, paths: list[str]) -> list[tuple[str, str | None, str | None]]:
+    """The catalogue's rows: as many as the listing that the reader is given."""
+    return [tuple(r) for r in headers(spark, paths).collect()]
 
 
 def group_by_header(

@@ -208,7 +208,7 @@ def test_learning_curve_resumes(spark, data, tmp_path):
     curve.learning_curve(*args, ["ridge"], {"ridge": fit}, [0.1, 0.4], path=path)
     got = curve.learning_curve(*args, ["ridge"], {"ridge": fit}, [0.1, 0.4, 1.0], path=path, caps={"ridge": 1000})
     n = parts["train"].count()
-    assert calls == [int(n * 0.1), int(n * 0.4), 1000]
+    assert sorted(calls) == [int(n * 0.1), int(n * 0.4), 1000]  # runs go side by side
     assert sorted(r.fraction for r in got.collect()) == [0.1, 0.4, 1.0]
     with pytest.raises(ValueError):
         curve.parse_models("ridge, nope")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from hourloom import schema as S
 from hourloom.operators import counts, fill, panel
 from hourloom.plans import demand, driver
+from hourloom.streaming import ingest, refresh
 
 SPAN = panel.Span("2024-01-01 00:00:00", "2024-01-30 23:00:00")
 
@@ -142,3 +143,50 @@ def test_dense_rows_are_not_shuffled(spark, sf):
     between = lines[window:generate]
     assert not any("Exchange" in x for x in between)
     assert sum("Sort [" in x for x in between) == 1
+
+
+def _file_times(folder):
+    return {str(f.relative_to(folder)): f.stat().st_mtime_ns for f in folder.rglob("part-*.parquet")}
+
+
+def _partitions(files):
+    return {f.rsplit("/", 1)[0] for f in files}
+
+
+def test_a_refresh_replaces_only_what_new_events_touch(spark, tmp_path):
+    days = [f"2024-01-{d:02d}" for d in range(1, 13)]
+    span = panel.Span(f"{days[0]} 00:00:00", f"{days[-1]} 23:00:00", block_days=3)
+    head = ",".join(S.TRIPS.names)
+    table, store = str(tmp_path / "table"), str(tmp_path / "store")
+
+    def arrive(name, rows):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{name}.csv").write_text("\n".join([head, *rows]) + "\n")
+        ingest.ingest_new_files(spark, str(tmp_path / "in"), str(tmp_path / "state"), table)
+        return refresh.refresh(spark, table, store, span)
+
+    def whole():
+        n = counts.hourly_counts(ingest.read_ingested(spark, table))
+        return {tuple(r) for r in panel.dense_panel(n.select("station_id").distinct(), n, span).collect()}
+
+    def stored():
+        got = [tuple(r) for r in refresh.read_panel(spark, store).select("station_id", "datetime", "departures", "lag_1h", "lag_2h", "lag_24h").collect()]
+        assert len(got) == len(set(got))
+        return set(got)
+
+    base = [f"{i},{d} {i % 24:02d}:10:00,{s},N,1,2" for i, (d, s) in enumerate((d, s) for d in days for s in "ABC")]
+    blocks = span.blocks[1] - span.blocks[0] + 1
+    assert len({b for b, _ in arrive("a", base)}) == blocks and stored() == whole()
+    before = _file_times(tmp_path / "store" / "panel")
+    # In the middle of a block: that block of one part alone.
+    again = arrive("b", [f"900,{days[3]} 05:00:00,A,N,1,2"])
+    after = _file_times(tmp_path / "store" / "panel")
+    changed = {p for p in _partitions(after) if any(before.get(f) != t for f, t in after.items() if f.startswith(p))}
+    assert len(again) == len(changed) == 1 and stored() == whole()
+    # At the end of a block: the next one's lags reach it.
+    block = int(next(iter(changed)).split("_block=")[1].split("/")[0])
+    last = (panel.EPOCH + panel.timedelta(days=(block + 1) * 3 - 1)).isoformat()
+    assert [b for b, _ in arrive("c", [f"901,{last} 23:30:00,A,N,1,2"])] == [block, block + 1] and stored() == whole()
+    # A new entity has a row for every hour.
+    assert len(arrive("d", [f"902,{days[6]} 05:00:00,D,N,1,2"])) == blocks and stored() == whole()
+    assert arrive("e", []) == [] and refresh.refresh(spark, table, store, span) == []

@@ -1,6 +1,7 @@
 from datetime import datetime
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -205,3 +206,31 @@ def test_quantiles_neither_broadcast_data_nor_rank_it(spark):
     assert "Window" not in plan and "Broadcast" not in plan
     for r in got.collect():
         assert r.quantile == pytest.approx(np.quantile(values[np.arange(len(values)) % 3 == r.g], r.prob))
+
+
+def test_quantiles_of_many_groups(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    n = 200_000
+    group = np.where(np.arange(n) < 60_000, 7, rng.integers(0, 50_000, n))
+    value = np.where(rng.random(n) < 0.3, 5.0, rng.normal(0, 1, n).round(3))
+    frame = pd.DataFrame({"g": group, "v": value})
+    df = spark.createDataFrame(frame)
+    probs = [0.0, 0.05, 0.5, 0.9, 1.0]
+    want = {(int(g), q): x for q in probs for g, x in frame.groupby("g").v.quantile(q).items()}
+    got = {(r.g, r.prob): r.quantile for r in quantile.exact_quantiles(df, "v", probs, ["g"]).collect()}
+    assert len(got) == len(want) > 5 * 45_000
+    assert all(got[k] == pytest.approx(x, abs=1e-12) for k, x in want.items())
+
+
+@pytest.mark.parametrize("slack", [0.002, -0.2])
+def test_both_ways_to_quantiles_agree(spark, monkeypatch, slack):
+    rows = [(g, h, float(v)) for g, h, m in ((1, "a", 900), (None, "a", 50), (1, None, 3), (2, "b", 1)) for v in np.sin(np.arange(m)) * 100]
+    rows += [(3, "c", None), (4, "d", 1e308), (4, "d", -1e308), (4, "d", 0.5)]
+    df = spark.createDataFrame(rows, "g int, h string, v double")
+    probs = [0.0, 0.001, 0.3, 0.5, 0.77, 1.0]
+    want = sorted(map(tuple, quantile.exact_quantiles(df, "v", probs, ["g", "h"]).collect()), key=repr)
+    monkeypatch.setattr(quantile, "MOST_GROUPS", 2)
+    monkeypatch.setattr(quantile, "SLACK", slack)  # a bracket that misses is widened
+    monkeypatch.setattr(quantile, "SLICES", 4)
+    got = quantile.exact_quantiles(df, "v", probs, ["g", "h"])
+    assert got.columns == ["g", "h", "prob", "quantile"] and sorted(map(tuple, got.collect()), key=repr) == want

@@ -1,5 +1,8 @@
+import bz2
+import gzip
 import io
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -207,3 +210,107 @@ def test_upsert_goes_on_after_a_failed_write(spark, tmp_path):
 def test_store_addresses():
     assert archives.store_uri("s3a://b/x.zip") == "s3://b/x.zip" and archives.store_uri("file:/a/b") == "file:///a/b"
     assert archives.store_uri("/a/b") == "/a/b"
+
+
+class Counted:
+    """A file that keeps count of what is read of it."""
+
+    def __init__(self, data):
+        self.data, self.at = io.BytesIO(data), 0
+
+    def read(self, n):
+        piece = self.data.read(n)
+        self.at += len(piece)
+        return piece
+
+
+def test_only_the_first_kilobytes_of_a_plain_file_are_read():
+    source = Counted(f"{HEAD}\n".encode() + b"x,y\n" * 5_000_000)
+    assert files._judge("a.csv", source) == (HEAD, None) and source.at <= files._PEEK
+    source = Counted(b"no line end" * 1_000_000)
+    assert files._judge("a.csv", source)[1] is None and source.at <= files._LONGEST_HEADER + files._PEEK
+    assert files._judge("a.csv", Counted(b"")) == ("", None)
+
+
+@pytest.mark.parametrize("pack,ending", [(gzip.compress, ".gz"), (bz2.compress, ".bz2")])
+def test_compressed_files_are_streamed_to_their_end(pack, ending, monkeypatch):
+    monkeypatch.setattr(files, "_CHUNK", 1000)
+    data = pack(f"{HEAD}\n".encode() + bytes(range(256)) * 3000) + pack(b"another member\n")
+    sizes = []
+
+    class Small(Counted):
+        def read(self, n):
+            sizes.append(n)
+            return super().read(n)
+
+    source = Small(data)
+    assert files._judge(f"a.csv{ending}", source) == (HEAD, None)
+    assert source.at == len(data) and max(sizes) == 1000
+    for cut in (len(data) - 5, 700, 1):
+        assert files._judge(f"a.csv{ending}", Small(data[:cut]))[1].startswith("cannot read")
+
+
+def test_each_member_is_opened_once(spark, tmp_path, monkeypatch):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("good.csv", trips_csv(50_000))
+        z.writestr("lacking.csv", "a,b\n1,2\n")
+        z.writestr("broken.csv", trips_csv(45_000, 50_000))
+    raw = bytearray((tmp_path / "a.zip").read_bytes())
+    with zipfile.ZipFile(tmp_path / "a.zip") as z:
+        info = z.getinfo("broken.csv")
+    raw[info.header_offset + 30 + 10 + info.compress_size - 200] ^= 0xFF
+    (tmp_path / "a.zip").write_bytes(raw)
+    log, records = str(tmp_path / "opened"), archives._records
+
+    def noted(path, member):
+        with open(log, "a") as f:
+            f.write(f"{member}\n")
+        yield from records(path, member)
+
+    monkeypatch.setattr(archives, "_records", noted)
+    staged = archives.stage_members(archives.list_members(spark, f"{tmp_path}/*.zip"), S.TRIPS.names)
+    rows = archives.usable_rows(staged, S.TRIPS)
+    assert rows.count() == 50_000 and {r.member for r in rows.select("member").distinct().collect()} == {"good.csv"}
+    found = {r.member: (r.rows, r.problem) for r in archives.outcomes(staged).collect()}
+    assert found["good.csv"] == (50_000, None) and found["lacking.csv"][1].startswith("missing columns")
+    assert found["broken.csv"][0] is None and found["broken.csv"][1].startswith("cannot read")
+    with open(log) as f:
+        assert sorted(f.read().split()) == ["broken.csv", "good.csv", "lacking.csv"]
+
+
+def test_two_writers_at_once_lose_no_row(spark, tmp_path):
+    path = str(tmp_path / "metrics")
+
+    def write(k):
+        row = spark.createDataFrame([(f"m{k}", "val", float(k), 0.0)], S.METRICS)
+        sinks.upsert_versioned(row, path, ["model"])
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(write, range(8)))
+    assert sorted(r.rmse for r in sinks.read_versioned(spark, path).collect()) == [float(k) for k in range(8)]
+
+
+def test_whoever_finds_the_version_taken_merges_again(spark, tmp_path, monkeypatch):
+    path, claim, beaten = str(tmp_path / "metrics"), files.write_if_absent, []
+    other = spark.createDataFrame([("other", "val", 9.0, 0.0)], S.METRICS)
+
+    def late(spark, entry, text):
+        if not beaten:
+            beaten.append(entry)
+            sinks.upsert_versioned(other, path, ["model"])
+        return claim(spark, entry, text)
+
+    monkeypatch.setattr(files, "write_if_absent", late)
+    got = sinks.upsert_versioned(spark.createDataFrame([("mine", "val", 1.0, 0.0)], S.METRICS), path, ["model"])
+    assert sorted(r.model for r in got.collect()) == ["mine", "other"]
+
+
+def test_appended_results_stay_few_files(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    assert sinks.read_results(spark, path, S.METRICS).count() == 0
+    for k in range(20):
+        sinks.append_result(spark.createDataFrame([("m", "val", float(k), 0.0)], S.METRICS), path)
+    got = sinks.read_results(spark, path, S.METRICS)
+    assert sorted(r.rmse for r in got.collect()) == [float(k) for k in range(20)] and len(got.inputFiles()) == 1
+    assert len(list((tmp_path / "runs").glob("data-*"))) == sinks.KEPT_VERSIONS
+    assert not files.write_if_absent(spark, f"{path}/_log/00000019", "data-late")
