@@ -11,8 +11,8 @@ Format, little-endian: 8 bytes ``HLTOKS01``; unsigned 64-bit: documents n, token
 id; b signed 64-bit displacements; n unsigned 32-bit fingerprints, padded to 8 bytes; n unsigned 64-bit
 first tokens; n unsigned 64-bit counts; the ids.
 
-Words are encoded once per worker: the tokenizers served here drop white space, so that a text's ids
-are the ids of its words, one after another.
+Where the tokenizer drops white space and encodes each word by itself, as its definition tells, words are
+encoded once per worker and a text's ids are those of its words; other tokenizers encode whole texts.
 
 Defined results: a null or empty text has only the end id; keys may repeat, the copies of a key are
 numbered in the order of their ids; a null key comes before all others; an empty table has no shards.
@@ -20,10 +20,14 @@ numbered in the order of their ids; a null key comes before all others; an empty
 
 from __future__ import annotations
 
+import gc
+import hashlib
+import json
 import os
 import string
 import uuid
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourloom.llm.base import Remembered, bounded, cut_points, file_bytes, range_of, shared_folder, small_batches, stored, worker_cache
+from hourloom.llm.spans import byte_of_character
 
 MAGIC = b"HLTOKS01"
 SHARD_BYTES = 8 << 20  # of text, on average
@@ -45,8 +50,26 @@ _LAST_LATIN = "\u00ff"
 # --- encoding -------------------------------------------------------------------------------------
 
 
+# A tokenizer of this form lower-cases, drops white space and encodes each word by itself.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+
+
+def encodes_words(made: dict) -> bool:
+    """Whether ids of a text are the ids of its words; told from the tokenizer's definition."""
+    normal = (made.get("normalizer") or {}).get("normalizers") or []
+    before = (made.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    if [x["type"] for x in normal] != WORD_NORMALIZERS or [x["type"] for x in before] != ["Split", "ByteLevel"]:
+        return False
+    split, level = before
+    blanks = normal[1].get("pattern") == {"Regex": r"\s+"} and normal[1].get("content") == " "
+    words = split.get("pattern") == {"Regex": WORD_PATTERN} and split.get("behavior") == "Removed" and split.get("invert")
+    plain = not level.get("add_prefix_space") and not level.get("use_regex")
+    return bool(blanks and words and plain and made["model"]["type"] == "BPE" and not made["model"].get("dropout"))
+
+
 class WordEncoder:
-    """Ids of texts from the ids of their words."""
+    """Ids of texts from the ids of their words, where the tokenizer allows it; else of whole texts."""
 
     def __init__(self, definition: bytes, end_id: int, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,56 +77,73 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(definition.decode())
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
-        self.kind = np.dtype(f"<u{width}")
-        self.end = np.array([end_id], self.kind).tobytes()
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.by_words = encodes_words(json.loads(definition))
+        self.code = "H" if width == 2 else "I"
+        self.end = self._bytes([end_id])
         self.known = Remembered(CACHE_WORDS, CACHED_CHARS)
+        self.character = {b: c for c, b in byte_of_character().items()}
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
 
-    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
-        """Words encoded together; offsets tell which ids belong to which word."""
-        got = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ids = np.array(got.ids, self.kind)
-        starts = np.array([a for a, _ in got.offsets], np.int64)
-        ends = np.cumsum([len(w) + 1 for w in words])
-        bounds = np.searchsorted(starts, np.concatenate([[0], ends])).tolist()
-        return {w: ids[a:b].tobytes() for w, a, b in zip(words, bounds[:-1], bounds[1:], strict=True)}
+    def _one(self, part: str) -> bytes:
+        """Ids of one piece of a text that the merges see whole: letters in lower case, or marks."""
+        if not part.isascii():
+            part = "".join(map(self.character.__getitem__, part.encode()))
+        return self._bytes([t.id for t in self.tokenizer.model.tokenize(part)])
 
     def _learn(self, words: list[str]) -> None:
-        """Ids of new words. Case does not count, and marks behind letters are a word of their own.
+        """Ids of new words. Case does not count, and marks behind letters are a piece of their own.
 
-        That is said of Latin letters up to U+00FF only, which have one lower case and no marks to join.
+        That is said of Latin letters up to U+00FF only, which have one lower case and no marks to join;
+        their pieces go to the merges at once, all other words through the whole tokenizer.
         """
-        parts = {}
+        pieces, others, known = {"": b""}, [], self.known
+
+        def ids(piece: str) -> bytes:
+            if piece not in pieces:
+                pieces[piece] = known.get(piece) or self._one(piece)
+            return pieces[piece]
+
         for w in words:
             body = w.rstrip(string.punctuation)
-            if body and body.isalpha() and max(body) <= _LAST_LATIN:
-                low = body.lower()
-                if len(body) < len(w) or low != w:
-                    parts[w] = (low, w[len(body) :])
-        others = list({x for pair in parts.values() for x in pair}.union(w for w in words if w not in parts).difference(self.known))
-        for start in range(0, len(others), 512):
-            self.known.update(self._encode_words(others[start : start + 512]))
-        for w, (body, marks) in parts.items():
-            self.known[w] = self.known[body] + self.known[marks]
+            if body.isalpha() and (body.isascii() or max(body) <= _LAST_LATIN):
+                known[w] = ids(body.lower()) + ids(w[len(body) :])
+            else:
+                others.append(w)
+        for start in range(0, len(others), 1024):
+            some = others[start : start + 1024]
+            got = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            known.update((w, self._bytes(e.ids)) for w, e in zip(some, got, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_words:
+            got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            return [self._bytes(e.ids) + self.end for e in got]
         split = []
         for t in texts:
             for c in SEPARATORS[1:]:
-                t = t.replace(c, " ")
+                if c in t:
+                    t = t.replace(c, " ")
             split.append(t.split(" "))
         new = self.known.lacking(split)
-        self._learn(new)
+        gc.disable()  # many small objects, no cycles
+        try:
+            self._learn(new)
+        finally:
+            gc.enable()
         get = self.known.__getitem__
         out = [b"".join(map(get, words)) + self.end for words in split]
         self.known.forget_long(new)
         return out
 
 
-def _encode(held, path: str, end_id: int, width: int):
+def _encode(held, end_id: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_cache(
-            ("words", path, end_id, width, len(held.value)), lambda: WordEncoder(held.value, end_id, width)
-        )
+        name = hashlib.blake2b(held.value, digest_size=16).hexdigest()
+        encoder = worker_cache(("words", name, end_id, width), lambda: WordEncoder(held.value, end_id, width))
         for batch in small_batches(batches, 2):
             ids = encoder.encode([t or "" for t in batch.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays(
@@ -234,6 +274,29 @@ class Shard:
         return None if slot < 0 else self.ids[int(self.first[slot]) : int(self.first[slot] + self.count[slot])]
 
 
+def get_by_ranges(read: Callable[[int, int], bytes], key: int | None, copy: int = 0) -> np.ndarray | None:
+    """The ids of one key from a shard of which only the header, one displacement and one slot are read.
+
+    ``read(start, length)`` gives a range of the file.
+    """
+    head = read(0, 40)
+    if head[:8] != MAGIC:
+        raise ValueError("this is no shard of token ids")
+    n, _, buckets, width = np.frombuffer(head, "<u8", 4, 8).tolist()
+    if not n:
+        return None
+    h = key_hash(np.array([key or 0]), np.array([key is not None]), np.array([copy]))
+    bucket = int(_mix(h, 11)[0] % np.uint64(buckets))
+    shift = np.frombuffer(read(40 + 8 * bucket, 8), "<i8")
+    slot = int(slots_of(h, np.full(buckets, shift[0]), n)[0])
+    at = 40 + 8 * buckets
+    if np.frombuffer(read(at + 4 * slot, 4), "<u4")[0] != check_of(h)[0]:
+        return None
+    at += 4 * n + (-4 * n % 8)
+    first, count = (int(np.frombuffer(read(at + 8 * k, 8), "<u8")[0]) for k in (slot, n + slot))
+    return np.frombuffer(read(at + 16 * n + first * width, count * width), f"<u{width}")
+
+
 def _system(uri: str) -> tuple[pa_fs.FileSystem, str]:
     return pa_fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file:///") else uri)
 
@@ -293,7 +356,6 @@ class TokenStore:
     folder: str
     cuts: list[int]
     starts: dict[int, int] = field(default_factory=dict)
-    _open: dict[int, Shard] = field(default_factory=dict)
 
     def shard_of(self, key: int | None) -> int:
         at = 0 if key is None else int(np.searchsorted(self.cuts, key, "right")) - 1
@@ -304,9 +366,9 @@ class TokenStore:
         at = self.shard_of(key)
         if at not in self.starts:
             return None
-        if at not in self._open:
-            self._open = {at: Shard(_read_file(_shard_uri(self.folder, at)))}
-        return self._open[at].get(key, copy)
+        system, path = _system(_shard_uri(self.folder, at))
+        with system.open_input_file(path) as f:
+            return get_by_ranges(lambda start, length: f.read_at(length, start), key, copy)
 
     def read(self, keys: DataFrame, key: str = "doc_id") -> DataFrame:
         """(key, start, n_tokens, ids) of the keys, by lookups; copies of a key are numbered.
@@ -339,7 +401,7 @@ class TokenStore:
             )
 
         # As many tasks as shards, however small the keys are.
-        spread = dealt.repartition(max(1, len(starts)), "shard")
+        spread = dealt.repartition(max(1, 2 * len(starts)), "shard")
         found = spread.groupBy("shard").applyInArrow(look_up, "_key long, start long, n_tokens long, ids binary")
         return found.withColumnRenamed("_key", key)
 
@@ -356,9 +418,11 @@ def write_store(
     cuts = cut_points(rows, "_key", max(1, -(-size // shard_bytes_wanted)))
     folder = shared_folder(spark, "tokens")
     encoded = rows.select(range_of("_key", cuts).alias("shard"), "_key", "_text").mapInArrow(
-        _encode(held, tokenizer, end_id, width), "shard int, _key long, ids binary"
+        _encode(held, end_id, width), "shard int, _key long, ids binary"
     )
-    placed = encoded.repartition("shard").sortWithinPartitions("shard", F.col("_key").asc_nulls_first(), "ids")
+    # A task for each shard.
+    dealt = encoded.repartitionById(max(1, len(cuts)), "shard")
+    placed = dealt.sortWithinPartitions("shard", F.col("_key").asc_nulls_first(), "ids")
     written = stored(placed.mapInArrow(_write_shards(folder, width), "shard long, docs long, tokens long"), "manifest")
     starts, before = {}, 0
     # One row per shard file.

@@ -288,3 +288,41 @@ def test_addresses_that_differ_in_case_stay_different():
     new = [pii.pseudonymise(n, perm)[0] for n in names]
     assert len(set(new)) == len(names)
     assert [pii.pseudonymise(n, perm, back=True)[0] for n in new] == names
+
+
+def test_a_lookup_reads_a_few_ranges_of_a_shard():
+    rng = np.random.default_rng(4)
+    keys = [None, *range(0, 3000, 3), 6, 6]
+    ids = [rng.integers(0, 60_000, rng.integers(1, 400)).astype("<u2").tobytes() for _ in keys]
+    order = np.argsort([-1 if k is None else k for k in keys], kind="stable")
+    keys, ids = [keys[i] for i in order], [ids[i] for i in order]
+    data = tokenstore.shard_bytes(keys, ids, 2)
+    read = []
+
+    def by_range(start, length):
+        read.append(length)
+        return data[start : start + length]
+
+    seen = {}
+    for k, x in zip(keys, ids):
+        copy = seen.get(k, 0)
+        seen[k] = copy + 1
+        read.clear()
+        assert tokenstore.get_by_ranges(by_range, k, copy).tobytes() == x and sum(read) == 40 + 8 + 4 + 16 + len(x)
+    assert tokenstore.get_by_ranges(by_range, 1) is None and tokenstore.get_by_ranges(by_range, 6, 3) is None
+
+
+def test_tokenizers_that_do_not_encode_words_encode_whole_texts():
+    import json
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, "rb") as f:
+        made = json.loads(f.read())
+    assert tokenstore.encodes_words(made)
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}):
+        assert not tokenstore.encodes_words({**made, **change})
+    kept = {**made, "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}]}}  # letters keep their case
+    encoder = tokenstore.WordEncoder(json.dumps(kept).encode(), 2, 2)
+    texts = ["Alpha beta, GAMMA!", "", "Zoë's 12"]
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(texts)] == want
