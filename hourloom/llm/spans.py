@@ -16,16 +16,18 @@ key, the text and those to carry are ignored. An empty table gives an empty one.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import sentencepiece
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,10 +38,15 @@ from hourloom.llm.base import bounded, file_bytes, frequent, small_batches, stor
 BLANK = "▁"
 # Before a blank or line break that stands alone between visible characters.
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-# Stretches and characters of their groups that a worker remembers, and how many are aligned at once.
-REMEMBERED, REMEMBERED_CHARS, AT_ONCE = 400_000, 40_000_000, 4096
+# Stretches and characters of their groups that a worker remembers, how many stay when it forgets, and how many
+# are aligned at once.
+REMEMBERED, REMEMBERED_CHARS, KEPT, AT_ONCE = 220_000, 22_000_000, 80_000, 4096
 # Pairs whose counts travel with the job; the others are joined.
 CARRIED_PAIRS = 1 << 19
+# Pairs that a task gathers before it adds them up.
+PAIRS_AT_ONCE = 1_000_000
+# Text that a task aligns at once: its groups, written out, are several times as long.
+BYTES_AT_ONCE = 1 << 20
 
 
 def byte_of_character() -> dict[str, int]:
@@ -60,6 +67,13 @@ def _whole(data: bytes) -> bool:
     return True
 
 
+def stretches(text: str) -> list[str]:
+    """Space + text, cut at every blank or line break that stands alone between visible characters."""
+    words = [w if w[:1] == "\n" else " " + w for w in text.replace("\n", " \n").split(" ")]
+    # As many as there are words: then no other white space lies between them.
+    return words if len(words) == len(text.split()) else CUT.split(" " + text)
+
+
 class Aligner:
     """Both tokenizers, and what they made of the stretches met so far."""
 
@@ -72,13 +86,15 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_proto=piece_model)
         of = byte_of_character()
         vocab = self.a.get_vocab(with_added_tokens=True)
-        self.a_bytes = {i: bytes(of[c] for c in t) if all(c in of for c in t) else t.encode() for t, i in vocab.items()}
+        a_bytes = [b""] * (max(vocab.values()) + 1)
+        for t, i in vocab.items():
+            a_bytes[i] = bytes(of[c] for c in t) if all(c in of for c in t) else t.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [
-            bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)
-        ]
-        self.a_whole = {i: _whole(t) for i, t in self.a_bytes.items()}
-        self.b_whole = [not self.b.is_byte(i) for i in range(len(pieces))]
+        single = [self.b.is_byte(i) for i in range(len(pieces))]
+        b_bytes = [bytes([int(p[3:5], 16)]) if one else p.replace(BLANK, " ").encode() for p, one in zip(pieces, single, strict=True)]
+        self.kinds = (
+            _Kind(a_bytes, [_whole(t) for t in a_bytes], ",", "|"), _Kind(b_bytes, [not one for one in single], ",", ";")
+        )
         self.cuts = self._cuts_are_exact(json.loads(byte_json), pieces)
         self.forget()
 
@@ -92,104 +108,186 @@ class Aligner:
             and not any(BLANK in p.lstrip(BLANK) or "\n" in p for p in pieces)
         )
 
-    def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.good, self.n_a, self.n_b, self.n_groups = array("b"), array("q"), array("q"), array("q")
-        self.groups: list[str] = []
-        self.chars = 0
-        self.starts, self.sizes, self.flat = array("q"), array("q"), array("q")
-        self.pair_place: dict[int, int] = {}
+    def forget(self, keep: int = 0) -> None:
+        """Forget all stretches but the first ones, which hold the words that come up again and again."""
+        if keep and sum(map(len, self.groups[:keep])) > REMEMBERED_CHARS // 2:
+            keep = 0
+        if not keep:
+            self.place: dict[str, int] = {}
+            self.good, self.n_a, self.n_b, self.n_groups, self.n_links = (array("q") for _ in range(5))
+            self.groups: list[str] = []
+            self.flat = array("q")  # the links of all stretches, one after the other
+            self.chars = 0
+            return
+        self.place = dict(islice(self.place.items(), keep))
+        del self.flat[sum(self.n_links[:keep]) :]
+        for column in (self.good, self.n_a, self.n_b, self.n_groups, self.n_links, self.groups):
+            del column[keep:]
+        self.chars = sum(map(len, self.groups)) + sum(map(len, self.place))
 
     def full(self) -> bool:
         return len(self.place) > REMEMBERED or self.chars > REMEMBERED_CHARS
 
-    def _ends(self, ids: list[int], char_ends: list[int], sizes, whole, at: list[int] | None) -> list[int]:
-        """Byte offsets at which tokens end: the coarse cut where a token holds whole characters, else by its bytes."""
-        out, end = [], 0
-        for i, c in zip(ids, char_ends, strict=True):
-            end = (c if at is None else at[c]) if whole[i] else end + len(sizes[i])
-            out.append(end)
-        return out
-
-    def _aligned(self, stretch: str, a, b) -> tuple[int, int, int, str, list[int]] | None:
-        """Tokens of A and B, groups, their text, and the linked pairs; None if bytes do not come back."""
-        data = stretch.encode()
-        ids_a = a.ids
-        ids_b, ends_b = [], []
-        shift = stretch[:1] == " "
-        for p in b.pieces:
-            ids_b.append(p.id)
-            ends_b.append(p.end + shift)
-        if not shift:  # the space that B puts before a stretch is not part of it
-            if not ids_b or self.b_bytes[ids_b[0]] != b" ":
-                return None
-            del ids_b[0], ends_b[0]
-        if b"".join([self.a_bytes[i] for i in ids_a]) != data or b"".join([self.b_bytes[i] for i in ids_b]) != data:
-            return None
-        at = None
-        if len(data) != len(stretch):
-            at = np.concatenate([[0], np.cumsum([len(c.encode()) for c in stretch])]).tolist()
-        ends_a = self._ends(ids_a, [e for _, e in a.offsets], self.a_bytes, self.a_whole, at)
-        ends_b = self._ends(ids_b, ends_b, self.b_bytes, self.b_whole, None)
-        i = j = first_a = first_b = 0
-        groups, pairs = [], []
-        while i < len(ids_a):
-            pairs.append(ids_a[i] << 32 | ids_b[j])
-            if ends_a[i] == ends_b[j]:
-                i, j = i + 1, j + 1
-                groups.append(",".join(map(str, ids_a[first_a:i])) + "|" + ",".join(map(str, ids_b[first_b:j])))
-                first_a, first_b = i, j
-            elif ends_a[i] < ends_b[j]:
-                i += 1
-            else:
-                j += 1
-        return len(ids_a), len(ids_b), len(groups), ";".join(groups), pairs
-
-    def learn(self, stretches: list[str]) -> None:
+    def learn(self, new: list[str]) -> None:
         """Align stretches and remember them."""
-        for k in range(0, len(stretches), AT_ONCE):
-            some = stretches[k : k + AT_ONCE]
-            by_a = self.a.encode_batch(some, add_special_tokens=False)
-            by_b = self.b.encode([s[1:] if s[:1] == " " else s for s in some], return_type="proto", num_threads=1)
-            for s, a, b in zip(some, by_a, by_b, strict=True):
-                found = self._aligned(s, a, b)
-                n_a, n_b, n_groups, text, pairs = found or (0, 0, 0, "", ())
-                self.place[s] = len(self.groups)
-                self.good.append(found is not None)
-                self.n_a.append(n_a)
-                self.n_b.append(n_b)
-                self.n_groups.append(n_groups)
-                self.groups.append(text)
-                self.chars += len(text) + len(s)
-                self.starts.append(len(self.flat))
-                self.sizes.append(len(pairs))
-                self.flat.extend([self.pair_place.setdefault(p, len(self.pair_place)) for p in pairs])
-
-    def batch(self, texts: list[str | None]) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
-        """Per text the places of its stretches; then of all linked pairs the text and the pair's place."""
-        cut = [[] if not t else CUT.split(" " + t) if self.cuts else [" " + t] for t in texts]
+        gc.disable()  # millions of small lists that live for a moment and hold no cycles
+        try:
+            plain, other = [], []
+            for s in new:
+                regular = self.cuts and s[0] in " \n" and len(s) > 1 and not s[1].isspace() and not s[-1].isspace()
+                (plain if regular else other).append(s)
+            for k in range(0, len(plain), AT_ONCE):
+                if not self._learn_joined(plain[k : k + AT_ONCE]):
+                    other += plain[k : k + AT_ONCE]
+            for k in range(0, len(other), AT_ONCE):
+                self._learn_apart(other[k : k + AT_ONCE])
+        finally:
+            gc.enable()
+
+    def _learn_joined(self, some: list[str]) -> bool:
+        """Stretches one after the other, as one text: the tokenizers start afresh at each. False if bytes do not come back."""
+        text = "".join(some)
+        data = text.encode()
+        by_a = self.a.encode(text, add_special_tokens=False)
+        shift = int(text[0] == " ")
+        by_b = self.b.encode(text[shift:], return_type="offset_mapping", return_bytes=True)
+        ids = [by_a.ids, by_b["ids"]]
+        ends = [[end for _, end in by_a.offsets], [end + shift for _, end in by_b["offsets"]]]
+        if not shift:  # the space that B puts before the text is not part of it
+            del ids[1][0], ends[1][0]
+        if not all(kind.joined([own], [data])[0] for kind, own in zip(self.kinds, ids, strict=True)):
+            return False
+        byte_at = _bytes_before(text)
+        tokens = [np.array(i, np.int64) for i in ids]
+        coarse = [byte_at[np.array(ends[0], np.int64)], np.array(ends[1], np.int64)]
+        stop = [kind.ends(t, c) for kind, t, c in zip(self.kinds, tokens, coarse, strict=True)]
+        until = byte_at[np.cumsum([len(s) for s in some])]
+        of = [np.searchsorted(until, x, "left") for x in stop]
+        self._remember(some, list(range(len(some))), tokens, of, stop)
+        return True
+
+    def _learn_apart(self, some: list[str]) -> None:
+        """Stretches each by itself; those whose bytes do not come back have no tokens."""
+        by_a = self.a.encode_batch(some, add_special_tokens=False)
+        by_b = self.b.encode([s[1:] if s[:1] == " " else s for s in some], return_type="offset_mapping", return_bytes=True, num_threads=1)
+        ids = [[e.ids for e in by_a], [e["ids"] for e in by_b]]
+        ends = [[[end for _, end in e.offsets] for e in by_a], [[end for _, end in e["offsets"]] for e in by_b]]
+        for i, s in enumerate(some):
+            if s[:1] == " ":
+                ends[1][i] = [end + 1 for end in ends[1][i]]
+            elif ids[1][i] and self.kinds[1].bytes[ids[1][i][0]] == b" ":
+                del ids[1][i][0], ends[1][i][0]
+        data = [s.encode() for s in some]
+        same = [kind.joined(own, data) for kind, own in zip(self.kinds, ids, strict=True)]
+        kept = [i for i, both in enumerate(zip(*same, strict=True)) if all(both)]
+        byte_at = _bytes_before("".join([some[i] for i in kept]))
+        first_char = np.concatenate([[0], np.cumsum([len(some[i]) for i in kept])]).astype(np.int64)
+        tokens, stop, of = [], [], []
+        for side, kind in enumerate(self.kinds):
+            size = np.array([len(ids[side][i]) for i in kept], np.int64)
+            token = np.fromiter(chain.from_iterable(ids[side][i] for i in kept), np.int64, size.sum())
+            coarse = np.fromiter(chain.from_iterable(ends[side][i] for i in kept), np.int64, len(token))
+            own = np.repeat(np.arange(len(kept)), size)
+            # A's offsets count characters, B's bytes.
+            coarse = byte_at[first_char[own] + coarse] if side == 0 else byte_at[first_char[own]] + coarse
+            tokens.append(token)
+            of.append(own)
+            stop.append(kind.ends(token, coarse))
+        self._remember(some, kept, tokens, of, stop)
+
+    def _remember(self, some: list[str], kept: list[int], tokens: list[np.ndarray], of: list[np.ndarray], stop: list[np.ndarray]) -> None:
+        """Groups and links of many stretches at once, as if they were one text; only those ``kept`` have tokens."""
+        common = [np.isin(stop[0], stop[1], assume_unique=True), np.isin(stop[1], stop[0], assume_unique=True)]
+        begin = [np.concatenate([[0], s[:-1]]) if len(s) else s for s in stop]
+        # Each place where a token of either kind begins is one link: the tokens that hold it.
+        where = np.union1d(*begin)
+        a, b = (np.searchsorted(x, where, "right") - 1 for x in begin)
+        pairs = tokens[0][a] << 32 | tokens[1][b]
+        links = np.bincount(of[0][a], minlength=len(kept))
+        groups = np.bincount(of[0][common[0]], minlength=len(kept))
+        # Written per group: tokens of A, then of B, each with the mark that follows it.
+        group = [np.cumsum(c) - c for c in common]
+        order = np.argsort(np.concatenate([2 * group[0], 2 * group[1] + 1]), kind="stable")
+        marked = np.concatenate([kind.marked[np.where(c, 1, 0), t] for kind, c, t in zip(self.kinds, common, tokens, strict=True)])[order].tolist()
+        written = "".join(marked)
+        long = np.concatenate([kind.lengths[t] for kind, t in zip(self.kinds, tokens, strict=True)])
+        until = np.cumsum(np.bincount(np.concatenate(of), long, len(kept)).astype(np.int64)).tolist()
+        spread = np.zeros((4, len(some)), np.int64)
+        n = [np.bincount(own, minlength=len(kept)) for own in of]
+        spread[:, kept] = n[0], n[1], groups, links
+        for column, values in zip((self.n_a, self.n_b, self.n_groups, self.n_links), spread, strict=True):
+            column.frombytes(values.tobytes())
+        good = np.zeros(len(some), np.int64)
+        good[kept] = 1
+        self.good.frombytes(good.tobytes())
+        self.flat.frombytes(pairs.tobytes())
+        texts = [""] * len(some)
+        start = 0
+        for i, end in zip(kept, until, strict=True):
+            texts[i] = written[start : end - 1]
+            start = end
+        for s in some:
+            self.place[s] = len(self.place)
+        self.groups += texts
+        self.chars += len(written) + sum(map(len, some))
+
+    def batch(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[str], np.ndarray, np.ndarray]:
+        """Per text tokens of A and B, groups, links, and the groups' text; then of all links the text and the pair."""
+        cut = [[] if not t else stretches(t) if self.cuts else [" " + t] for t in texts]
         self._meet(cut)
-        rows = [[self.place[s] for s in stretches] for stretches in cut]
-        odd = [k for k, row in enumerate(rows) if not all(self.good[i] for i in set(row))]
-        if odd:
-            self._meet([[" " + texts[k]] for k in odd])
-            for k in odd:
-                i = self.place[" " + texts[k]]
+        place = self.place
+        rows = [[place[s] for s in stretches] for stretches in cut]
+        good = np.array(self.good, bool)
+        for k, row in enumerate(rows):
+            if not good[row].all():
+                self._meet([[" " + texts[k]]])
+                i = place[" " + texts[k]]
                 rows[k] = [i] if self.good[i] else []
         of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         at = np.fromiter(chain.from_iterable(rows), np.int64, len(of))
-        size = np.array(self.sizes, np.int64)[at]
-        first = np.array(self.starts, np.int64)[at]
+        size = np.array(self.n_links, np.int64)
+        first = (np.cumsum(size) - size)[at]
+        size = size[at]
         spot = np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
-        return rows, np.repeat(of, size), np.array(self.flat, np.int64)[spot]
+        numbers = [
+            np.bincount(of, np.array(part, np.int64)[at], len(rows)).astype(np.int64)
+            for part in (self.n_a, self.n_b, self.n_groups, self.n_links)
+        ]
+        groups = self.groups
+        return numbers, [";".join([groups[i] for i in row]) for row in rows], np.repeat(of, size), np.array(self.flat, np.int64)[spot]
 
     def _meet(self, cut: list[list[str]]) -> None:
         new = set().union(*cut).difference(self.place)
         if new:
             self.learn(list(new))
 
-    def pairs(self) -> np.ndarray:
-        return np.fromiter(self.pair_place, np.int64, len(self.pair_place))
+
+def _bytes_before(text: str) -> np.ndarray:
+    """Bytes of UTF-8 before each character, and in all."""
+    point = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return np.concatenate([[0], np.cumsum(1 + (point >= 0x80) + (point >= 0x800) + (point >= 0x10000))])
+
+
+class _Kind:
+    """What the tokens of one kind stand for, and how they are written."""
+
+    def __init__(self, of: list[bytes], whole: list[bool], within: str, last: str):
+        self.bytes, self.whole = of, np.array(whole)
+        self.sizes = np.array([len(t) for t in of], np.int64)
+        self.marked = np.array([[f"{i}{mark}" for i in range(len(of))] for mark in (within, last)], object)
+        self.lengths = np.array([len(t) for t in self.marked[0]], np.int64)
+
+    def joined(self, ids: list[list[int]], data: list[bytes]) -> list[bool]:
+        """Whether the tokens of each stretch give back its bytes."""
+        of = self.bytes
+        return [b"".join([of[t] for t in own]) == d for own, d in zip(ids, data, strict=True)]
+
+    def ends(self, tokens: np.ndarray, coarse: np.ndarray) -> np.ndarray:
+        """Where tokens end: the coarse cut where a token holds whole characters, else its bytes after the last such cut."""
+        done = np.cumsum(self.sizes[tokens])
+        sure = np.where(self.whole[tokens], np.arange(len(tokens)), -1)
+        sure = np.maximum.accumulate(sure) if len(sure) else sure
+        return np.where(sure >= 0, coarse[sure] + done - done[sure], done)
 
 
 def _aligner(files: tuple[bytes, bytes]) -> Aligner:
@@ -197,91 +295,116 @@ def _aligner(files: tuple[bytes, bytes]) -> Aligner:
     return worker_cache(("aligner", name), lambda: Aligner(*files))
 
 
-def pair_counts(docs: DataFrame, files: tuple[bytes, bytes], text: str = "text") -> DataFrame:
-    """pair (A's id times 2^32, plus B's), n: in how many rows the pair is linked; best: no pair of A's id has more."""
+def _ddl(df: DataFrame, skip: int) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[skip:])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner(files)
-        total = np.zeros(0, np.int64)
 
-        def sent() -> pa.RecordBatch:
-            some = np.flatnonzero(total)
-            return pa.RecordBatch.from_arrays([pa.array(aligner.pairs()[some]), pa.array(total[some])], names=["pair", "n"])
+def pair_counts(aligned: DataFrame) -> DataFrame:
+    """pair (A's id times 2^32, plus B's), n: in how many rows the pair is linked; best: no pair of A's id has more."""
 
-        for batch in small_batches(batches, 0):
-            if aligner.full():
-                yield sent()
-                total = np.zeros(0, np.int64)
-                aligner.forget()
-            _, of, pair = aligner.batch(batch.column(0).to_pylist())
-            known = len(aligner.pair_place)
-            once = np.unique(of * known + pair) % max(known, 1)
-            total = np.pad(total, (0, known - len(total))) + np.bincount(once, minlength=known)
-        if len(total):
-            yield sent()
-
-    sent = bounded(docs.select(F.col(text).cast("string").alias("text"))).mapInArrow(run, "pair long, n long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache(("no aligner",), lambda: None)  # what the alignment remembered can go
+        pairs, n, waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        for batch in batches:
+            new = batch.column(0).flatten().to_numpy()  # the different pairs of every row
+            pairs, n, waiting = np.concatenate([pairs, new]), np.concatenate([n, np.ones(len(new), np.int64)]), waiting + len(new)
+            if waiting > PAIRS_AT_ONCE:
+                pairs, n, waiting = *_added(pairs, n), 0
+                if len(pairs) > PAIRS_AT_ONCE:
+                    yield _counted(pairs, n)
+                    pairs, n = pairs[:0], n[:0]
+        yield _counted(*_added(pairs, n))
+
+    sent = bounded(aligned.select("pairs")).mapInArrow(run, "pair long, n long")
     counts = sent.groupBy("pair").agg(F.sum("n").alias("n"))
     of_a = Window.partitionBy(F.shiftright("pair", 32))
     return counts.withColumn("best", F.col("n") == F.max("n").over(of_a))
 
 
+def _added(pairs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, place = np.unique(pairs, return_inverse=True)
+    return found, np.bincount(place, n, len(found)).astype(np.int64)
+
+
+def _counted(pairs: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], names=["pair", "n"])
+
+
+def groups_and_links(docs: DataFrame, files: tuple[bytes, bytes], text: str = "text", key: str = "doc_id", carry: tuple = ()) -> DataFrame:
+    """_row, key, carried columns, n_a, n_b, n_groups, n_links, groups, and the different linked pairs with how often."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner = _aligner(files)
+        for batch in small_batches(batches, 0, size=BYTES_AT_ONCE):
+            if aligner.full():
+                aligner.forget(KEPT)
+            numbers, texts, of, pair = aligner.batch(batch.column(0).to_pylist())
+            order = np.lexsort((pair, of))
+            of, pair = of[order], pair[order]
+            new = np.ones(len(of), bool)
+            new[1:] = (of[1:] != of[:-1]) | (pair[1:] != pair[:-1])
+            start = np.flatnonzero(new)
+            times = np.diff(np.append(start, len(of))).astype(np.int32)
+            offsets = pa.array(np.searchsorted(of[start], np.arange(batch.num_rows + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (pair[start], times)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[1:], *(pa.array(x) for x in numbers), pa.array(texts, pa.string()), *lists],
+                names=[*batch.schema.names[1:], "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"],
+            )
+
+    df = docs.select(F.col(text).cast("string").alias("_text"), F.monotonically_increasing_id().alias("_row"), key, *carry)
+    more = "n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<int>"
+    return bounded(df).mapInArrow(run, f"{_ddl(df, 1)}, {more}")
+
+
 def align(docs: DataFrame, byte_json: str, piece_model: str, text: str = "text", key: str = "doc_id", carry: tuple = ()) -> DataFrame:
     """key, carried columns, n_a, n_b, n_groups, n_links, n_best, count_sum, groups (``a1,a2|b1;a3|b2,b3``).
 
-    Texts are aligned twice, once for the counts and once for the result, rather than stored in between.
-    The counts of the most frequent pairs travel with the second pass; if that is not all, the links of the
-    other pairs meet theirs in a join.
+    Texts are aligned once and stored with their pairs; the corpus' counts come from there. The counts of
+    the most frequent pairs travel with the last pass; if those are not all, the other pairs meet theirs
+    in a join.
     """
     files = (file_bytes(byte_json), file_bytes(piece_model))
-    counts = stored(pair_counts(docs, files, text), "pair-counts")
+    made = stored(groups_and_links(docs, files, text, key, carry), "aligned")
+    counts = stored(pair_counts(made), "pair-counts")
     top, whole = frequent(counts, "n", CARRIED_PAIRS)
     carried = counts.filter(top).toArrow()
     order = np.argsort(carried["pair"].to_numpy())
     keys, docs_of, best_of = (carried[c].to_numpy()[order] for c in ("pair", "n", "best"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner(files)
-        n = best = found = np.zeros(0)
-        for batch in small_batches(batches, 0):
-            if aligner.full():
-                aligner.forget()
-            rows, of, pair = aligner.batch(batch.column(0).to_pylist())
-            pairs = aligner.pairs()
-            if len(pairs) != len(found):
-                spot = np.minimum(np.searchsorted(keys, pairs), max(len(keys) - 1, 0))
-                found = keys[spot] == pairs if len(keys) else np.zeros(len(pairs), bool)
-                n = np.where(found, docs_of[spot], 0) if len(keys) else np.zeros(len(pairs), np.int64)
-                best = found & best_of[spot] if len(keys) else found
-            size = len(rows)
-            sums = [np.zeros(size, np.int64) for _ in range(2)]
-            np.add.at(sums[0], of, n[pair])
-            links, bests = np.bincount(of, minlength=size), np.bincount(of[best[pair]], minlength=size)
-            counted = [[sum(part[i] for i in row) for row in rows] for part in (aligner.n_a, aligner.n_b, aligner.n_groups)]
-            texts = [";".join([aligner.groups[i] for i in row]) for row in rows]
-            lost = ~found[pair]
-            rare: list[list[int]] = [[] for _ in rows]
-            for k, p in zip(of[lost].tolist(), pairs[pair[lost]].tolist(), strict=True):
-                rare[k].append(p)
-            made = [*(pa.array(x, pa.int64()) for x in (*counted, links, bests, sums[0])), pa.array(texts, pa.large_string()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], *made, pa.array(rare, pa.list_(pa.int64()))],
-                names=[*batch.schema.names[1:], "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups", "_rare"],
-            )
-
-    df = docs.select(F.col(text).cast("string").alias("_text"), F.monotonically_increasing_id().alias("_row"), key, *carry)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[1:])
-    numbers = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-    made = bounded(df).mapInArrow(run, kinds + ", " + ", ".join(f"{c} long" for c in numbers) + ", groups string, _rare array<long>")
-    names = (key, *carry, *numbers, "groups")
+    found = "struct<n_best:bigint,count_sum:bigint,pairs:array<bigint>,times:array<int>>"
+
+    @F.arrow_udf(found)
+    def counted(pairs: pa.Array, times: pa.Array) -> pa.Array:
+        worker_cache(("no aligner",), lambda: None)
+        rows = len(pairs)
+        pair, many = pairs.flatten().to_numpy(), times.flatten().to_numpy()
+        of = np.repeat(np.arange(rows), np.asarray(pa.compute.list_value_length(pairs)))
+        spot = np.searchsorted(keys, pair)
+        spot[spot == len(keys)] = 0
+        here = keys[spot] == pair if len(keys) else np.zeros(len(pair), bool)
+        sums = np.zeros((2, rows), np.int64)
+        at, weight = spot[here], many[here].astype(np.int64)
+        np.add.at(sums[0], of[here], weight * best_of[at])
+        np.add.at(sums[1], of[here], weight * docs_of[at])
+        offsets = pa.array(np.searchsorted(of[~here], np.arange(rows + 1)), pa.int32())
+        rare = [pa.ListArray.from_arrays(offsets, pa.array(x[~here])) for x in (pair, many)]
+        return pa.StructArray.from_arrays([pa.array(sums[0]), pa.array(sums[1]), *rare], ["n_best", "count_sum", "pairs", "times"])
+
+    names = (key, *carry, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
+    # Only the pairs go through Python; the groups stay where they are.
+    out = bounded(made).withColumn("_found", counted("pairs", "times")).select(
+        "_row", key, *carry, "n_a", "n_b", "n_groups", "n_links", "groups", F.col("_found.n_best").alias("n_best"),
+        F.col("_found.count_sum").alias("count_sum"), F.col("_found.pairs").alias("_pairs"), F.col("_found.times").alias("_times"),
+    )
     if whole:
-        return made.select(*names)
-    made = stored(made, "aligned")
-    rare = made.select("_row", F.explode("_rare").alias("pair")).groupBy("_row", "pair").agg(F.count("*").alias("_m"))
-    rare = rare.join(counts, "pair").groupBy("_row").agg(
+        return out.select(*names)
+    out = stored(out, "aligned-carried")
+    rare = out.select("_row", F.explode(F.arrays_zip("_pairs", "_times")).alias("_p"))
+    rare = rare.select("_row", F.col("_p._pairs").alias("pair"), F.col("_p._times").alias("_m")).join(counts, "pair").groupBy("_row").agg(
         F.sum(F.when(F.col("best"), F.col("_m")).otherwise(0)).alias("_best"), F.sum(F.col("_m") * F.col("n")).alias("_sum")
     )
     more = {"n_best": "_best", "count_sum": "_sum"}
-    return made.join(rare, "_row", "left").select(
+    return out.join(rare, "_row", "left").select(
         *(F.col(c) if c not in more else (F.col(c) + F.coalesce(more[c], F.lit(0))).alias(c) for c in names)
     )

@@ -116,9 +116,9 @@ def test_whole_texts_and_stretches_agree(spark, monkeypatch):
     assert made.cuts
     made.cuts = False
     for i, t in enumerate(TEXTS):
-        rows, _, pair = made.batch([t])
-        got = [sum(part[k] for k in rows[0]) for part in (made.n_a, made.n_b, made.n_groups)] + [len(pair)]
-        assert tuple(got) == next(w for w in want if w[0] == i)[1:5]
+        numbers, texts, _, pair = made.batch([t])
+        expected = next(w for w in want if w[0] == i)
+        assert [int(x[0]) for x in numbers] == [*expected[1:5]] and texts == [expected[7]] and len(pair) == expected[4]
 
 
 def test_vocabularies_that_reach_over_a_blank_are_not_cut():
@@ -133,7 +133,14 @@ def test_vocabularies_that_reach_over_a_blank_are_not_cut():
 def test_forgetting_changes_nothing(spark, odd, monkeypatch):
     want = aligned(odd)
     monkeypatch.setattr(spans.Aligner, "full", lambda self: True)
-    monkeypatch.setattr(spans, "_aligner", lambda files: spans.Aligner(*files))
+    monkeypatch.setattr(spans, "KEPT", 5)
+    made = spans.Aligner(base.file_bytes(A), base.file_bytes(B))
+    texts = [r.text for r in odd.collect()]
+    for t in texts * 2:
+        made.forget(5)
+        assert len(made.place) == len(made.groups) <= 5 and len(made.flat) == sum(made.n_links)
+        numbers, groups, _, pair = made.batch([t])
+        assert any(w[7] == groups[0] and w[4] == numbers[3][0] == len(pair) for w in want)
     assert aligned(odd) == want == sorted(by_hand([(r.doc_id, r.text) for r in odd.collect()]), key=repr)
 
 
