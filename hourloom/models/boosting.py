@@ -34,6 +34,8 @@ from hourloom.sources.files import exists
 
 # Rows of a block, rounds between two written states, and partitions whose sums meet on the driver at once.
 BLOCK_ROWS, CUT, FEW_PARTITIONS = 65_536, 50, 32
+# A table of at most so many rows is boosted by one task: its passes are calls, not jobs, with the same result.
+ONE_TASK_ROWS = 8 * BLOCK_ROWS
 
 
 @dataclass(frozen=True)
@@ -542,6 +544,21 @@ def spread(spark: SparkSession, table: DataFrame, inputs: int) -> Spread:
     return Spread(table.repartition(parts).rdd.map(lambda row: opened(row, inputs)))
 
 
+def in_one_task(table: DataFrame, plan: Plan, sizes: list[int], check: bool) -> Run:
+    """A run over few blocks, inside one task."""
+    inputs = len(sizes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = [opened(row, inputs) for batch in batches for row in batch.to_pylist()]
+        if blocks:
+            found = boost(Held(blocks), plan, sizes, check)
+            body = json.dumps([found.start, found.errors, [vars(t) for t in found.trees]])
+            yield pa.RecordBatch.from_arrays([pa.array([body])], names=["body"])
+
+    start, errors, trees = json.loads(table.coalesce(1).mapInArrow(run, "body string").first()[0])
+    return Run(start, [Tree(**t) for t in trees], errors)
+
+
 def fit(train: DataFrame, val: DataFrame | None, plan: Plan, features: list[str], label: str, bins: int, path: str | None = None) -> tuple[GBTRegressionModel, Run]:
     """Quantise, boost, and give Spark's model with the trees up to the best round.
 
@@ -558,6 +575,12 @@ def fit(train: DataFrame, val: DataFrame | None, plan: Plan, features: list[str]
         rows = [(i, e.tolist()) for i, e in enumerate(edges)]
         spark.createDataFrame(rows, "place int, cuts array<double>").coalesce(1).write.mode("overwrite").parquet(f"{codes}/edges")
     sizes = [len(e) + 1 for e in edges]
+    if not path:
+        table = spark.read.parquet(f"{codes}/blocks")
+        rows = table.agg(F.sum(F.octet_length("id"))).first()[0] or 0
+        if 0 < rows <= 8 * ONE_TASK_ROWS:
+            run = in_one_task(table, plan, sizes, val is not None)
+            return to_model(spark, run, run.kept(plan.patience), edges, plan, label), run
     done = [k for k in range(CUT, plan.rounds + 1, CUT) if path and exists(spark, f"{_state(folder, k)[1]}/_SUCCESS")]
     if done:
         run = _read_trees(spark, _state(folder, done[-1])[1])

@@ -71,6 +71,7 @@ def predictions(model, df):
     return np.array([r.prediction for r in model.transform(df).orderBy("datetime").collect()])
 
 
+@pytest.mark.parametrize("one_task", [B.ONE_TASK_ROWS, 0])
 @pytest.mark.parametrize(
     "plan",
     [
@@ -78,7 +79,8 @@ def predictions(model, df):
         dict(depth=None, leaves=7), dict(depth=None, leaves=9, l1=2.0, l2=3.0, min_leaf=15), dict(depth=3, leaves=6),
     ],
 )
-def test_trees_equal_plain_ones(table, plan):
+def test_trees_equal_plain_ones(table, plan, one_task, monkeypatch):
+    monkeypatch.setattr(B, "ONE_TASK_ROWS", one_task)
     plan = {"rounds": 4, "step": 0.4, "rows": 1.0, "columns": 1.0, **plan}
     model = trees.fit_gbt(table, None, COLS, **plan)
     x, y = rows()
@@ -89,6 +91,7 @@ def test_trees_equal_plain_ones(table, plan):
 
 
 def test_one_tree_a_round_and_no_round_twice(table, monkeypatch):
+    monkeypatch.setattr(B, "ONE_TASK_ROWS", 0)
     grown, passes = [], []
     grow, sums = B.grow, B.Spread.sums
     monkeypatch.setattr(B, "grow", lambda *args: grown.append(1) or grow(*args))
