@@ -150,6 +150,39 @@ def test_wide_codes_and_quantile_cuts(spark):
         assert sum(len(b["id"]) // 8 for b in blocks) == 2000 and all(len(b["x"]) == kind * len(b["id"]) // 8 for b in blocks)
 
 
+def test_inputs_of_few_bins_share_codes_and_come_apart():
+    rng = np.random.default_rng(5)
+    sizes = [3, 1, 300, 4, 70, 2]
+    x = np.stack([rng.integers(0, s, 500) for s in sizes]).astype(np.uint16)
+    packing = B.Packing.of(sizes)
+    assert sorted(f for g in packing.groups for f in g) == [0, 2, 3, 4, 5] and len(packing.groups) < 4
+    codes, rest = packing.codes(x), rng.normal(0, 1, 500)
+    block = (False, codes, rest, np.zeros(500), np.arange(500), None)
+    inputs = [1, 2, 3, 5]
+    count, total = (packing.apart(s, inputs) for s in B.summed(block, iter([(0, np.arange(500))]), 1, packing, inputs))
+    want = [np.bincount(x[f], minlength=sizes[f]) for f in inputs], [np.bincount(x[f], rest, sizes[f]) for f in inputs]
+    assert (count[0] == np.concatenate(want[0])).all() and np.allclose(total[0], np.concatenate(want[1]))
+
+
+def test_passes_below_the_root_read_only_the_drawn_rows(table, monkeypatch):
+    monkeypatch.setattr(B, "ONE_TASK_ROWS", 0)
+    read, sums = [], B.Spread.sums
+
+    def spy(self, of):
+        read.append(sums(self, lambda b: [0 if b[0] else len(b[2])])[0])
+        return sums(self, of)
+
+    monkeypatch.setattr(B.Spread, "sums", spy)
+    B.fit(table, table, B.Plan(rounds=2, depth=3, rows=0.5), COLS, "departures", 32)
+    below = [n for n in read if n != 600]
+    assert len(below) == 4 and all(240 < n < 360 for n in below)
+
+
+def test_only_codes_are_exchanged(spark, table):
+    plan = B.binned(table, None, COLS, "departures", B.cut_points(table, COLS, 32))._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange") < plan.rindex("MapInArrow") and plan.count("MapInArrow") == 2
+
+
 def test_null_inputs_raise(spark):
     df = spark.createDataFrame([(1.0, 2.0), (None, 1.0)], "a double, departures double")
     with pytest.raises(Exception, match="null or NaN"):
