@@ -17,6 +17,8 @@ SLACK = 0.002
 # Slices that a bracket is cut into in each pass, and groups whose brackets the driver may hold.
 SLICES = 256
 MOST_GROUPS = 10_000
+# Where there are more groups: values of a group that is ordered at once.
+FEW_VALUES = 10_000
 
 
 def exact_quantiles(
@@ -27,9 +29,10 @@ def exact_quantiles(
     A sketch first brackets each wanted rank. Every further pass counts the values below the
     bracket and in equal slices of it, and goes on with the slice that holds the rank, until that
     slice is a single value. Only counts per slice leave the tasks, so no task and no window ever
-    sees the values of a group, whatever their number; the answer is exact for any input.
-    Null values are left out. The brackets of few groups travel with the passes; those of more than
-    ``MOST_GROUPS`` stay a table that meets the values in a join, so any number of groups will do.
+    sees more than ``FEW_VALUES`` values of a group, whatever their number; the answer is exact for any
+    input. Null values are left out. The brackets of few groups travel with the passes. Of more than
+    ``MOST_GROUPS`` groups the small ones are ordered, and the brackets of the others stay a table that
+    meets the values in a join, so any number of groups will do.
     """
     by = by or []
     spark = df.sparkSession
@@ -39,9 +42,11 @@ def exact_quantiles(
     clipped = [min(max(q + d, 0.0), 1.0) for q in probs for d in (-SLACK, SLACK)]
     sketch = F.percentile_approx("_v", clipped or [0.5], ACCURACY).alias("_edges")
     limits = [F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), sketch]
-    groups = x.groupBy(*by).agg(*limits).limit(MOST_GROUPS + 1).collect()
-    if len(groups) > MOST_GROUPS:
-        return _of_many_groups(x, by, probs, limits)
+    if by:
+        sizes = materialize(x.groupBy(*by).agg(F.count("*").alias("_n")), "quantile-sizes")
+        if sizes.count() > MOST_GROUPS:
+            return _of_many_groups(x, sizes.where(F.col("_n") > FEW_VALUES), by, probs, limits)
+    groups = x.groupBy(*by).agg(*limits).collect()
     groups = [g for g in groups if g["_n"]]
 
     open_, found = {}, {}
@@ -91,14 +96,49 @@ def _slice() -> Column:
     return F.when(F.col("_v") < F.col("_lo"), -1).when(width <= 0, 0).otherwise(inside)
 
 
-def _of_many_groups(x: DataFrame, by: list[str], probs: list[float], limits: list[Column]) -> DataFrame:
+def _of_many_groups(x: DataFrame, large: DataFrame, by: list[str], probs: list[float], limits: list[Column]) -> DataFrame:
+    """Groups of at most ``FEW_VALUES`` values are ordered after one exchange of the values; the larger ones are
+    narrowed down by counting, so no task orders a group without a bound. ``large``: the keys of the latter.
+    """
+    keys = [f"_b{i}" for i in range(len(by))]
+    x = x.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], "_v")
+    if large.isEmpty():
+        return _ordered(x, keys, by, probs)
+    large = large.select(*[F.col(c).alias(f"_l{k}") for c, k in zip(by, keys)])
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_l{k}")) for k in keys])
+    few, many = x.join(large, same, "left_anti"), x.join(large, same, "left_semi")
+    return _ordered(few, keys, by, probs).unionByName(_narrowed(many, keys, by, probs, limits))
+
+
+def _ordered(x: DataFrame, keys: list[str], by: list[str], probs: list[float]) -> DataFrame:
+    """The ranks of small groups by their place in the order; values are exchanged once."""
+    group = Window.partitionBy(*keys)
+    at = x.withColumn("_i", F.row_number().over(group.orderBy("_v")) - 1).withColumn("_n", F.count("*").over(group))
+    # The place as ``_narrowed`` computes it, in double precision.
+    pos = [F.lit(float(q)) * (F.col("_n") - 1) for q in probs]
+    ends = [
+        F.max(F.when(F.col("_i") == end(p), F.col("_v"))).alias(f"_{side}{i}")
+        for i, p in enumerate(pos) for side, end in (("a", F.floor), ("z", F.ceil))
+    ]
+    found = at.groupBy(*keys).agg(F.max("_n").alias("_n"), *ends)
+    rows = F.explode(
+        F.array(*[
+            F.struct(
+                F.lit(float(q)).alias("prob"),
+                (F.col(f"_a{i}") + (F.col(f"_z{i}") - F.col(f"_a{i}")) * (p - F.floor(p))).alias("quantile"),
+            )
+            for i, (q, p) in enumerate(zip(probs, pos, strict=True))
+        ])
+    )
+    return found.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], rows.alias("_w")).select(*by, "_w.prob", "_w.quantile")
+
+
+def _narrowed(x: DataFrame, keys: list[str], by: list[str], probs: list[float], limits: list[Column]) -> DataFrame:
     """The same with brackets as a table by group; ranks that are found leave it, until it is empty.
 
     Values and brackets meet in a join by group, which Spark splits where a group is hot; a rank has at
     most ``SLICES`` + 1 rows of counts.
     """
-    keys = [f"_b{i}" for i in range(len(by))]
-    x = x.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], "_v")
     groups = materialize(x.groupBy(*keys).agg(*limits), "quantile-groups")
     wanted = F.array(*[F.struct(F.lit(float(q)).alias("q"), F.lit(i).alias("i")) for i, q in enumerate(probs)])
     asked = groups.select(*keys, "_n", "_min", "_max", "_edges", F.explode(wanted).alias("_w")).select(

@@ -234,3 +234,17 @@ def test_both_ways_to_quantiles_agree(spark, monkeypatch, slack):
     monkeypatch.setattr(quantile, "SLICES", 4)
     got = quantile.exact_quantiles(df, "v", probs, ["g", "h"])
     assert got.columns == ["g", "h", "prob", "quantile"] and sorted(map(tuple, got.collect()), key=repr) == want
+
+
+def test_small_groups_are_ordered_and_large_ones_narrowed(spark, monkeypatch):
+    rows = [(g, float(v)) for g, m in ((1, 500), (None, 30), (2, 40), (3, 41)) for v in np.sin(np.arange(m)) * 100]
+    df = spark.createDataFrame([*rows, (4, None)], "g int, v double").repartition(3)
+    narrowed, asked = quantile._narrowed, []
+    monkeypatch.setattr(quantile, "MOST_GROUPS", 2)
+    monkeypatch.setattr(quantile, "FEW_VALUES", 40)
+    monkeypatch.setattr(quantile, "_narrowed", lambda x, *rest: asked.extend(r[0] for r in x.select("_b0").distinct().collect()) or narrowed(x, *rest))
+    probs = [0.0, 0.05, 0.5, 0.77, 1.0]
+    got = {(r.g, r.prob): r.quantile for r in quantile.exact_quantiles(df, "v", probs, ["g"]).collect()}
+    values = {g: [v for k, v in rows if k == g] for g in (1, None, 2, 3)}
+    assert sorted(asked) == [1, 3] and len(got) == 4 * len(probs)
+    assert all(x == pytest.approx(np.quantile(values[g], q), abs=1e-12) for (g, q), x in got.items())
