@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hourloom.models import boosting as B
 from hourloom.models import curve, trees
+from hourloom.plans import queries as Q
 
 COLS = ["a", "b", "c"]
 
@@ -198,3 +199,30 @@ def test_a_nested_layout_gives_exact_pruned_prefixes(spark, table):
         part = layout.first(n)
         assert part.columns == table.columns and {r.datetime for r in part.collect()} == set(want[:n])
     assert "PushedFilters: [IsNotNull(_place), LessThan(_place" in layout.first(5)._jdf.queryExecution().toString()
+
+
+def test_a_layout_has_tasks_by_its_rows_and_serves_several_calls(spark, table, monkeypatch):
+    monkeypatch.setattr(curve, "LAYOUT_ROWS", 60)
+    layout = curve.nested_layout(table, ["station_id", "datetime"], 42)
+    assert layout.total == 600 and len([n for n in layout.sizes if n]) == 10 and max(layout.sizes) < 120
+    monkeypatch.setattr(curve, "nested_layout", lambda *args: pytest.fail("laid out again"))
+    fit = {"ridge": lambda train, val: curve.fit_ridge(train, COLS)}
+    runs = curve.learning_curve(spark, table, table, table, ["ridge"], fit, [0.5, 1.0], layout=layout)
+    assert sorted(r.n_rows for r in runs.collect()) == [300, 600]
+
+
+@pytest.mark.parametrize("ask", [Q.learning_curve, Q._runs])
+def test_curves_of_one_input_store_only_that_input(spark, ask, monkeypatch):
+    class Stop(Exception):
+        pass
+
+    def store(df, label):
+        seen.extend(df.columns)
+        raise Stop
+
+    seen = []
+    monkeypatch.setattr(Q, "_model_rows", lambda spark, sf: spark.range(1).selectExpr("1 AS split", *[f"1 AS {c}" for c in (*Q.ROW, "departures", *Q.S.FEATURES)]))
+    monkeypatch.setattr(Q.sinks, "materialize", store)
+    with pytest.raises(Stop):
+        ask(spark, None)
+    assert len(seen) == 5 and "departures" in seen
