@@ -1,6 +1,7 @@
 import bz2
 import gzip
 import io
+import time
 import zipfile
 from concurrent.futures import ThreadPoolExecutor
 
@@ -314,3 +315,19 @@ def test_appended_results_stay_few_files(spark, tmp_path):
     assert sorted(r.rmse for r in got.collect()) == [float(k) for k in range(20)] and len(got.inputFiles()) == 1
     assert len(list((tmp_path / "runs").glob("data-*"))) == sinks.KEPT_VERSIONS
     assert not files.write_if_absent(spark, f"{path}/_log/00000019", "data-late")
+
+
+def test_threads_of_one_driver_create_a_file_in_turn(spark, tmp_path, monkeypatch):
+    inside, most, opened = [], [], files._file_system
+
+    def slow(spark, path):
+        inside.append(1)
+        most.append(len(inside))
+        time.sleep(0.05)
+        inside.pop()
+        return opened(spark, path)
+
+    monkeypatch.setattr(files, "_file_system", slow)
+    with ThreadPoolExecutor(4) as pool:
+        won = list(pool.map(lambda i: files.write_if_absent(spark, f"file://{tmp_path}/one", f"t{i}"), range(4)))
+    assert sum(won) == 1 and max(most) == 1
