@@ -226,3 +226,37 @@ def test_curves_of_one_input_store_only_that_input(spark, ask, monkeypatch):
     with pytest.raises(Stop):
         ask(spark, None)
     assert len(seen) == 5 and "departures" in seen
+
+
+def test_models_over_shared_codes_are_those_of_their_inputs_alone(spark, table):
+    codes = B.quantised(table, None, COLS, "departures", 64)
+    plan = {"rounds": 3, "depth": 2, "rows": 0.7, "columns": 1.0, "bins": 64}
+    for names in (["b"], ["c", "a"]):
+        alone, shared = (trees.fit_gbt(table, None, names, codes=c, **plan).stages[-1] for c in (None, codes))
+        strip = lambda m: [t.toDebugString.split("\n", 1)[1] for t in m.trees]
+        assert strip(alone) == strip(shared)
+    with pytest.raises(ValueError):
+        trees.fit_gbt(table, table, COLS, codes=codes, bins=64, rounds=1)
+    with pytest.raises(ValueError):
+        trees.fit_gbt(table, None, COLS, codes=codes, bins=32, rounds=1)
+
+
+def test_tree_gains_quantises_its_rows_once(spark, sf, monkeypatch):
+    made, binned = [], B.binned
+    monkeypatch.setattr(B, "binned", lambda train, val, features, *rest: made.append(features) or binned(train, val, features, *rest))
+    assert Q.tree_gains(spark, sf).count() == len(Q.FEW_VALUES)
+    assert made == [Q.FEW_VALUES]
+
+
+def test_without_validation_no_pass_follows_the_last_tree():
+    x, y = rows()
+    block = (False, np.searchsorted(np.arange(9), x.T).astype(np.uint8), y, np.zeros(len(y)), np.arange(len(y), dtype=np.uint64), None)
+    passes = []
+
+    class Counted(B.Held):
+        def sums(self, of):
+            passes.append(of)
+            return super().sums(of)
+
+    B.boost(Counted([block]), B.Plan(rounds=2, depth=1, rows=1.0, columns=1.0), [10, 10, 10], False)
+    assert len(passes) == 1 + 2  # the start value, then one root a tree
