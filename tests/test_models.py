@@ -213,3 +213,25 @@ def test_learning_curve_resumes(spark, data, tmp_path):
     with pytest.raises(ValueError):
         curve.parse_models("ridge, nope")
     assert curve.parse_models(" Ridge,RF") == ["ridge", "rf"]
+
+
+def test_steps_of_the_network_are_adam_in_single_precision():
+    rng = np.random.default_rng(4)
+    shapes = mlp._shapes(3, (5, 4))
+    start = mlp._initial(shapes, 1)
+    x, y = rng.normal(size=(60, 3)), rng.normal(size=60)
+    adam = mlp._Adam(start, shapes, 0.01, 0.1)
+    flat, m, v = start.copy(), np.zeros_like(start), np.zeros_like(start)
+
+    def loss(w, at):
+        weights = mlp._unpack(w, shapes)
+        miss = mlp._forward(x[at], weights)[-1][:, 0] - y[at]
+        return (miss @ miss + 0.1 * sum((a * a).sum() for a, _ in weights)) / 2 / len(at)
+
+    for t in range(1, 4):
+        at = np.arange(60)[(t - 1) * 20 : t * 20]
+        g = np.array([(loss(flat + d, at) - loss(flat - d, at)) / 2e-6 for d in 1e-6 * np.eye(len(flat))])
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        flat = flat - 0.01 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        adam.learn(x[at].astype(np.float32), y[at].astype(np.float32))
+    assert adam.flat.dtype == np.float32 and np.abs(adam.flat - flat).max() < 2e-3
