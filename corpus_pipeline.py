@@ -42,9 +42,12 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE ids of what is left, checked by decoding them."""
+    """Byte-level BPE ids of what is left, checked by decoding them.
+
+    The ids are written before they are decoded, so that a task has one Python worker at a time.
+    """
     path = public_tokenizers.path(BYTE_RANKS)
-    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN, carry=("text", "lang", "source"))
+    encoded = stored(bpe.encode(docs, path, public_tokenizers.PATTERN, carry=("text", "lang", "source")), "stage-ids")
     back = bpe.decode(encoded, path)
     same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return back.select("doc_id", "lang", "source", "n_tokens", "ids", same.alias("round_trip"))

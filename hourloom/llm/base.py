@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -75,11 +77,28 @@ def worker_cache(key: tuple, make: Callable[[], Any]) -> Any:
     """An object built once per Python worker; workers outlive jobs, so they hold one object at a time."""
     held = sys.__dict__.setdefault("_hourloom_llm_cache", {})
     if key not in held:
-        held.clear()
+        if held:
+            held.clear()
+            _give_back()
         held[key] = make()
+        _give_back()
     return held[key]
 
 
+def forget_cached() -> None:
+    """Drop what an earlier operator left in this worker, for operators that hold nothing themselves."""
+    worker_cache(("nothing",), lambda: None)
+
+
+def _give_back() -> None:
+    """Return freed memory to the system; an idle worker would otherwise keep it beside the others."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class Remembered(dict):
     """Values by text that a worker has met, in two generations of bounded size.
 

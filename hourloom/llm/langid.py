@@ -137,34 +137,35 @@ class CodeTable:
         self.languages = stats.languages
         n_lang = len(stats.languages)
         # Row 0 is the uniform distribution; then the rows of the contexts, shorter ones first.
-        table = np.full((1, 256, n_lang), 1 / 256, np.float32)
         room = min(_SEARCHED, max(1, TABLE_BYTES // (256 * 4 * n_lang)))
+        # Filled in place; rows that are never reached take no memory.
+        table, used = np.empty((room, 256, n_lang), np.float32), 1
+        table[0] = 1 / 256
         step = max(1, 4 * _ROWS // n_lang)
         self.row_of = np.zeros(1, np.uint16)  # by context value, for the order so far
         self.searched: list[Searched] = []
         for order in range(ORDER + 1):
             contexts, counts = _context_counts(stats, order)
             keep = np.arange(len(contexts))
-            if len(table) + len(contexts) > room:
+            if used + len(contexts) > room:
                 weight = np.zeros(len(contexts))
                 for at, n in counts:
                     weight += np.bincount(at // 256, n, len(contexts))
-                keep = np.sort(np.argsort(-weight, kind="stable")[: max(0, room - len(table))])
+                keep = np.sort(np.argsort(-weight, kind="stable")[: max(0, room - used)])
             if order:
                 self.row_of = np.tile(self.row_of, 256)
             # A context without room leaves none for longer ones, so the suffix of a kept context is kept.
             parents = self.row_of[contexts[keep]]
-            grown = np.empty((len(table) + len(keep), 256, n_lang), np.float32)
-            grown[: len(table)] = table
             for start in range(0, len(keep), step):
                 part = slice(start, start + step)
                 made = _predictions(keep[part], counts, table[parents[part]])
-                grown[len(table) + start : len(table) + start + len(made)] = made
+                table[used + start : used + start + len(made)] = made
             self.row_of[contexts] = _SEARCHED
-            self.row_of[contexts[keep]] = len(table) + np.arange(len(keep))
-            table = grown
+            self.row_of[contexts[keep]] = used + np.arange(len(keep))
+            used += len(keep)
         if (self.row_of == _SEARCHED).any():
             self.searched = [Searched(g, n) for g, n in zip(stats.grams, stats.counts, strict=True)]
+        table = table[:used]
         np.log2(table, out=table)
         self.bits = np.negative(table, out=table).reshape(-1, n_lang)
 

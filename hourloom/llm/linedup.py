@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm.base import bounded, cut_points, range_of, shared_folder, small_batches, stored
+from hourloom.llm.base import bounded, cut_points, forget_cached, range_of, shared_folder, small_batches, stored
 
 MIN_CHARS, MIN_DOCS = 20, 3
 BATCHES, FANOUT = 3, 2
@@ -38,6 +38,7 @@ def line_hash(line: bytes) -> bytes | None:
 
 
 def _hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget_cached()
     for batch in small_batches(batches, 1):
         keys, lines = [], []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -108,6 +109,7 @@ class LineRuns:
 
 
 def _drop_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget_cached()
     for batch in small_batches(batches, 1):
         keys, texts, drops = (batch.column(i) for i in range(3))
         kept, n_lines, n_dropped = [], [], []

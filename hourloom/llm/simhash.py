@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hourloom.llm.base import bounded, small_batches, stored
+from hourloom.llm.base import bounded, forget_cached, small_batches, stored
 from hourloom.llm.components import components
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
@@ -61,6 +61,7 @@ def fingerprint_of(text: str, shingle: int = SHINGLE) -> int:
 
 def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_cached()
         for batch in small_batches(batches, 1):
             got = [fingerprint_of(t.as_py() or "", shingle) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.int64())], ["_key", "_fp"])
@@ -329,6 +330,7 @@ def one_of_each_group(
     kinds = T.StructType([T.StructField("_fp", T.LongType()), *rows.schema.fields[1:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_cached()
         for batch in small_batches(batches, 0):
             got = [fingerprint_of(t.as_py() or "", shingle) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64()), *batch.columns[1:]], kinds.names)
