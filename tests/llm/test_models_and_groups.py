@@ -318,7 +318,7 @@ def test_neighbours_are_exact_with_ties():
 # --- queries and pipeline
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ("op6_line_dedup", "op10_decontamination")])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ("op6_line_dedup", "op10_decontamination", "op13_hard_negatives")])
 def test_queries_give_a_row_per_document(spark, sf, name):
     df = QUERIES[name](spark, sf)
     want = spark.read.parquet(f"{sf}/documents.parquet")
@@ -345,3 +345,20 @@ def test_pipeline_on_odd_and_empty_tables(spark, sf, odd, empty):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, sf)
         assert docs.select("doc_id").distinct().count() == docs.count()
+
+
+def test_token_stage_has_one_python_worker_a_task(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(5)
+    plan = corpus_pipeline.token_ids(spark, docs, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_a_worker_gives_back_what_it_held(monkeypatch):
+    from hourloom.llm import base
+
+    given = []
+    monkeypatch.setattr(base, "_give_back", lambda: given.append(1))
+    monkeypatch.setitem(base.sys.__dict__, "_hourloom_llm_cache", {("old",): 1})
+    assert base.worker_cache(("new",), lambda: 2) == base.worker_cache(("new",), lambda: 3) == 2 and given
+    base.forget_cached()
+    assert list(base.sys.__dict__["_hourloom_llm_cache"]) == [("nothing",)]
