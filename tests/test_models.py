@@ -104,6 +104,27 @@ def test_row_cap_trains_on_an_exact_sample(spark, data):
     assert rmse_of(model, parts["test"]) < spread
 
 
+def test_a_forest_of_many_rows_is_fitted_in_groups_of_trees(spark, data, monkeypatch):
+    parts, spread = data
+    fitted, n = [], parts["train"].count()
+
+    class Counted(trees.RandomForestRegressor):
+        def _fit(self, rows):
+            fitted.append(super()._fit(rows))
+            assert self.getMaxMemoryInMB() <= 256
+            return fitted[-1]
+
+    monkeypatch.setattr(trees, "RandomForestRegressor", Counted)
+    monkeypatch.setattr(trees, "ROWS_TIMES_TREES", 3 * n)
+    model = trees.fit_rf(parts["train"], COLS, trees=7, depth=4)
+    assert sorted(f.getNumTrees for f in fitted) == [2, 2, 3]
+    whole = model.stages[-1]
+    assert whole.getNumTrees == 7 and whole.numFeatures == len(COLS)
+    drawn = lambda f: [t.toDebugString.split("\n", 1)[1] for t in f.trees]
+    assert drawn(whole) == [t for f in fitted for t in drawn(f)] and len(set(drawn(whole))) == 7
+    assert rmse_of(model, parts["test"]) < 0.7 * spread
+
+
 def test_shorter_boosting_run_is_a_prefix(spark, data):
     parts, _ = data
     long = trees.fit_gbt(parts["train"], None, COLS, rounds=6, depth=3).stages[-1]
