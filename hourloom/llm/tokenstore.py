@@ -24,7 +24,6 @@ import gc
 import hashlib
 import json
 import os
-import string
 import uuid
 from array import array
 from collections.abc import Callable, Iterator
@@ -32,6 +31,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +44,8 @@ SHARD_BYTES = 8 << 20  # of text, on average
 KEYS_PER_BUCKET = 4
 CACHE_WORDS, CACHED_CHARS = 300_000, 64
 SEPARATORS = " \t\r\n"
-_LAST_LATIN = "\u00ff"
+# Letters up to U+00FF, then ASCII marks.
+LATIN_WORD = "^(?P<body>[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(?P<marks>[!-/:-@\\[-`{-~]*)$"
 
 
 # --- encoding -------------------------------------------------------------------------------------
@@ -82,7 +83,7 @@ class WordEncoder:
         self.by_words = encodes_words(json.loads(definition))
         self.code = "H" if width == 2 else "I"
         self.end = self._bytes([end_id])
-        self.known = Remembered(CACHE_WORDS, CACHED_CHARS)
+        self.pieces, self.others = (Remembered(CACHE_WORDS, CACHED_CHARS) for _ in range(2))
         self.character = {b: c for c, b in byte_of_character().items()}
 
     def _bytes(self, ids: list[int]) -> bytes:
@@ -94,50 +95,92 @@ class WordEncoder:
             part = "".join(map(self.character.__getitem__, part.encode()))
         return self._bytes([t.id for t in self.tokenizer.model.tokenize(part)])
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of new words. Case does not count, and marks behind letters are a piece of their own.
+    def _ids(self, known: Remembered, words: pa.Array, learn: Callable[[list[str]], Iterator[bytes]]) -> list[bytes]:
+        """Ids of different words, those of new ones by ``learn``."""
+        asked = words.to_numpy(zero_copy_only=False).tolist()
+        new = known.lacking([asked])
+        known.update(zip(new, learn(new), strict=True))
+        ids = [*map(known.__getitem__, asked)]
+        known.forget_long(new)
+        return ids
+
+    def _of_pieces(self, words: list[str]) -> Iterator[bytes]:
+        return map(self._one, words)
+
+    def _of_others(self, words: list[str]) -> Iterator[bytes]:
+        for start in range(0, len(words), 1024):
+            got = self.tokenizer.encode_batch_fast(words[start : start + 1024], add_special_tokens=False)
+            yield from (self._bytes(e.ids) for e in got)
+
+    def _of_words(self, words: pa.Array) -> _Ids:
+        """Ids of different words. Case does not count, and marks behind letters are a piece of their own.
 
         That is said of Latin letters up to U+00FF only, which have one lower case and no marks to join;
         their pieces go to the merges at once, all other words through the whole tokenizer.
         """
-        pieces, others, known = {"": b""}, [], self.known
-
-        def ids(piece: str) -> bytes:
-            if piece not in pieces:
-                pieces[piece] = known.get(piece) or self._one(piece)
-            return pieces[piece]
-
-        for w in words:
-            body = w.rstrip(string.punctuation)
-            if body.isalpha() and (body.isascii() or max(body) <= _LAST_LATIN):
-                known[w] = ids(body.lower()) + ids(w[len(body) :])
-            else:
-                others.append(w)
-        for start in range(0, len(others), 1024):
-            some = others[start : start + 1024]
-            got = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            known.update((w, self._bytes(e.ids)) for w, e in zip(some, got, strict=True))
+        cut = pc.extract_regex(words, LATIN_WORD)
+        plain = cut.is_valid().to_numpy(zero_copy_only=False)
+        cut = cut.drop_null()
+        body = pc.utf8_lower(cut.field("body")).dictionary_encode()
+        marks = cut.field("marks").dictionary_encode()
+        others = words.filter(pa.array(~plain))
+        parts = [
+            self._ids(self.pieces, body.dictionary, self._of_pieces), self._ids(self.pieces, marks.dictionary, self._of_pieces),
+            self._ids(self.others, others, self._of_others),
+        ]
+        first = np.cumsum([0, *map(len, parts)])
+        # Two pieces of every word; the second of the others is empty.
+        place = np.full((len(words), 2), first[-1], np.int64)
+        place[plain, 0] = body.indices.to_numpy()
+        place[plain, 1] = marks.indices.to_numpy() + first[1]
+        place[~plain, 0] = np.arange(len(others)) + first[2]
+        pieces = _Ids.of([*parts[0], *parts[1], *parts[2], b""], self.code)
+        return pieces.gathered(place.ravel(), np.arange(2, 2 * len(words) + 1, 2))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        return self.encode_column(pa.array(texts, pa.string())).to_pylist()
+
+    def encode_column(self, texts: pa.Array) -> pa.Array:
+        """Ids of every text, as bytes. Each different word of the column is looked up once."""
         if not self.by_words:
-            got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-            return [self._bytes(e.ids) + self.end for e in got]
-        split = []
-        for t in texts:
-            for c in SEPARATORS[1:]:
-                if c in t:
-                    t = t.replace(c, " ")
-            split.append(t.split(" "))
-        new = self.known.lacking(split)
+            got = self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)
+            return pa.array([self._bytes(e.ids) + self.end for e in got], pa.binary())
+        for c in SEPARATORS[1:]:
+            texts = pc.replace_substring(texts, c, " ")
+        split = pc.split_pattern(texts, " ")
+        ends = np.cumsum(pc.list_value_length(split).to_numpy())
+        words = split.flatten().dictionary_encode()
         gc.disable()  # many small objects, no cycles
         try:
-            self._learn(new)
+            known = self._of_words(words.dictionary)
         finally:
             gc.enable()
-        get = self.known.__getitem__
-        out = [b"".join(map(get, words)) + self.end for words in split]
-        self.known.forget_long(new)
-        return out
+        # The end id is the last word of each text.
+        known = _Ids(np.append(known.flat, np.frombuffer(self.end, self.code)), np.append(known.size, 1))
+        word = np.insert(words.indices.to_numpy(), ends, len(known.size) - 1)
+        found = known.gathered(word, ends + np.arange(1, len(ends) + 1))
+        offsets = (np.concatenate([[0], np.cumsum(found.size)]) * found.flat.itemsize).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(found.flat)])
+
+
+@dataclass
+class _Ids:
+    """Ids of many words or texts one after the other, and how many each has."""
+
+    flat: np.ndarray
+    size: np.ndarray
+
+    @classmethod
+    def of(cls, ids: list[bytes], code: str) -> _Ids:
+        flat = np.frombuffer(b"".join(ids), code)
+        return cls(flat, np.fromiter(map(len, ids), np.int64, len(ids)) // flat.itemsize)
+
+    def gathered(self, place: np.ndarray, ends: np.ndarray) -> _Ids:
+        """The ids at ``place`` one after the other; each result holds those up to one of ``ends``."""
+        many = self.size[place]
+        until = np.cumsum(many)
+        spot = np.arange(many.sum()) + np.repeat((np.cumsum(self.size) - self.size)[place] - (until - many), many)
+        return _Ids(self.flat[spot], np.diff(np.concatenate([[0], until])[ends], prepend=0))
 
 
 def _encode(held, end_id: int, width: int):
@@ -145,10 +188,8 @@ def _encode(held, end_id: int, width: int):
         name = hashlib.blake2b(held.value, digest_size=16).hexdigest()
         encoder = worker_cache(("words", name, end_id, width), lambda: WordEncoder(held.value, end_id, width))
         for batch in small_batches(batches, 2):
-            ids = encoder.encode([t or "" for t in batch.column(2).to_pylist()])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["shard", "_key", "ids"]
-            )
+            ids = encoder.encode_column(pc.fill_null(batch.column(2), ""))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], ["shard", "_key", "ids"])
 
     return run
 

@@ -243,6 +243,17 @@ def test_words_give_the_ids_of_the_text(tokenizer, text):
     assert enc.encode([text])[0] == packed(tokenizer.encode(text, add_special_tokens=False).ids + [2])
 
 
+def test_pieces_of_words_meet_the_merges_once(tokenizer, monkeypatch):
+    with open(WORDS, "rb") as f:
+        enc = tokenstore.WordEncoder(f.read(), 2, 4)
+    met, one = [], enc._one
+    monkeypatch.setattr(enc, "_one", lambda part: met.append(part) or one(part))
+    for texts in (["Zürich Zürich, zürich!", ""], ["ZÜRICH, gate", "Gate! 日本 Σς"], ["zürich gate, 日本"]):
+        want = [packed(tokenizer.encode(t, add_special_tokens=False).ids + [2]) for t in texts]
+        assert enc.encode(texts) == want
+    assert sorted(p for p in met if p) == ["!", ",", "gate", "zürich"]
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 50, 3000])
 def test_the_index_is_minimal_and_perfect(n):
     keys = np.random.default_rng(n).integers(-(2**62), 2**62, n)
