@@ -24,6 +24,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from itertools import chain, islice
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ from tokenizers import Tokenizer
 from hourloom.llm.base import bounded, file_bytes, frequent, small_batches, stored, worker_cache
 
 BLANK = "▁"
+END = itemgetter(1)
 # Before a blank or line break that stands alone between visible characters.
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 # Stretches and characters of their groups that a worker remembers, how many stay when it forgets, and how many
@@ -132,10 +134,10 @@ class Aligner:
         """Align stretches and remember them."""
         gc.disable()  # millions of small lists that live for a moment and hold no cycles
         try:
+            # Regular: a blank or line break, then something with no white space at either end.
             plain, other = [], []
             for s in new:
-                regular = self.cuts and s[0] in " \n" and len(s) > 1 and not s[1].isspace() and not s[-1].isspace()
-                (plain if regular else other).append(s)
+                (plain if self.cuts and s[0] in " \n" and 1 < len(s) == len(s.strip()) + 1 else other).append(s)
             for k in range(0, len(plain), AT_ONCE):
                 if not self._learn_joined(plain[k : k + AT_ONCE]):
                     other += plain[k : k + AT_ONCE]
@@ -152,14 +154,15 @@ class Aligner:
         shift = int(text[0] == " ")
         by_b = self.b.encode(text[shift:], return_type="offset_mapping", return_bytes=True)
         ids = [by_a.ids, by_b["ids"]]
-        ends = [[end for _, end in by_a.offsets], [end + shift for _, end in by_b["offsets"]]]
+        ends = [np.fromiter(map(END, found), np.int64, len(found)) for found in (by_a.offsets, by_b["offsets"])]
         if not shift:  # the space that B puts before the text is not part of it
-            del ids[1][0], ends[1][0]
+            del ids[1][0]
+            ends[1] = ends[1][1:]
         if not all(kind.joined([own], [data])[0] for kind, own in zip(self.kinds, ids, strict=True)):
             return False
         byte_at = _bytes_before(text)
         tokens = [np.array(i, np.int64) for i in ids]
-        coarse = [byte_at[np.array(ends[0], np.int64)], np.array(ends[1], np.int64)]
+        coarse = [byte_at[ends[0]], ends[1] + shift]
         stop = [kind.ends(t, c) for kind, t, c in zip(self.kinds, tokens, coarse, strict=True)]
         until = byte_at[np.cumsum([len(s) for s in some])]
         of = [np.searchsorted(until, x, "left") for x in stop]
@@ -200,7 +203,8 @@ class Aligner:
         common = [np.isin(stop[0], stop[1], assume_unique=True), np.isin(stop[1], stop[0], assume_unique=True)]
         begin = [np.concatenate([[0], s[:-1]]) if len(s) else s for s in stop]
         # Each place where a token of either kind begins is one link: the tokens that hold it.
-        where = np.union1d(*begin)
+        where = np.sort(np.concatenate(begin), kind="stable")  # two sorted runs
+        where = where[np.diff(where, prepend=-1) > 0]
         a, b = (np.searchsorted(x, where, "right") - 1 for x in begin)
         pairs = tokens[0][a] << 32 | tokens[1][b]
         links = np.bincount(of[0][a], minlength=len(kept))
@@ -236,15 +240,15 @@ class Aligner:
         cut = [[] if not t else stretches(t) if self.cuts else [" " + t] for t in texts]
         self._meet(cut)
         place = self.place
-        rows = [[place[s] for s in stretches] for stretches in cut]
-        good = np.array(self.good, bool)
-        for k, row in enumerate(rows):
-            if not good[row].all():
-                self._meet([[" " + texts[k]]])
-                i = place[" " + texts[k]]
-                rows[k] = [i] if self.good[i] else []
-        of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        at = np.fromiter(chain.from_iterable(rows), np.int64, len(of))
+        rows = [list(map(place.__getitem__, stretches)) for stretches in cut]
+        of, at = _placed(rows)
+        bad = np.unique(of[np.array(self.good, np.int64)[at] == 0]).tolist()
+        for k in bad:
+            self._meet([[" " + texts[k]]])
+            i = place[" " + texts[k]]
+            rows[k] = [i] if self.good[i] else []
+        if bad:
+            of, at = _placed(rows)
         size = np.array(self.n_links, np.int64)
         first = (np.cumsum(size) - size)[at]
         size = size[at]
@@ -254,12 +258,19 @@ class Aligner:
             for part in (self.n_a, self.n_b, self.n_groups, self.n_links)
         ]
         groups = self.groups
-        return numbers, [";".join([groups[i] for i in row]) for row in rows], np.repeat(of, size), np.array(self.flat, np.int64)[spot]
+        return numbers, [";".join([groups[i] for i in row]) for row in rows], np.repeat(of, size), np.frombuffer(self.flat, np.int64)[spot]
 
     def _meet(self, cut: list[list[str]]) -> None:
-        new = set().union(*cut).difference(self.place)
+        # In the order of the texts, in which they lie side by side in memory.
+        new = [s for s in dict.fromkeys(chain.from_iterable(cut)) if s not in self.place]
         if new:
-            self.learn(list(new))
+            self.learn(new)
+
+
+def _placed(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Of all numbers in the rows one after the other, the row and the number."""
+    of = np.repeat(np.arange(len(rows)), list(map(len, rows)))
+    return of, np.fromiter(chain.from_iterable(rows), np.int64, len(of))
 
 
 def _bytes_before(text: str) -> np.ndarray:

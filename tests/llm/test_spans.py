@@ -162,3 +162,11 @@ def test_whole_query(spark, sf):
     want = by_hand(short)
     for i, *_, groups in want:
         assert got[i].groups_sha256 == (hashlib.sha256(groups.encode()).hexdigest() if groups else "")
+
+
+def test_new_stretches_are_met_in_the_order_of_the_texts():
+    with open(public_tokenizers.path(BYTE_TOKENIZER), "rb") as a, open(public_tokenizers.path(PIECE_MODEL), "rb") as b:
+        aligner = spans.Aligner(a.read(), b.read())
+    words = [f"{c}{n}" for n in range(40) for c in "zyx"]
+    aligner.batch([" ".join(words), None, "", " ".join(["new", *words[::-1]])])
+    assert list(aligner.place) == [f" {w}" for w in [*words, "new"]]
