@@ -2,9 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hourloom.models import boosting as B
 from hourloom.models import trees
+from hourloom.plans import queries as Q
 
 COLS = ["a", "b", "c", "d"]
 
@@ -55,3 +57,16 @@ def test_larger_tables_are_boosted_by_the_compiled_loops(table, monkeypatch):
     monkeypatch.setattr(B, "grow", lambda *args: pytest.fail("a pass in Python"))
     model = trees.fit_gbt(table, table, COLS, rounds=3, depth=3)
     assert model.stages[-1].getNumTrees == 4  # the start value is a tree
+
+
+def test_rows_are_scored_once_for_a_report(spark):
+    rows = spark.createDataFrame([(s, float(i), float(i + 1)) for i, s in enumerate(["val", "test"] * 3)], "split string, departures double, lag_1h double")
+    asked = []
+
+    class Model:
+        def transform(self, df):
+            asked.append(1)
+            return df.withColumn("prediction", F.col("departures") - 0.5)
+
+    got = {r.split: (r.n, r.n_negative, r.n_missing, r.beats_naive) for r in Q._report(Model(), rows, "m").collect()}
+    assert got == {"val": (3, 0, 0, True), "test": (3, 0, 0, True)} and len(asked) == 1
